@@ -30,11 +30,13 @@ from kelpie.common import blanks, cut, lookup
 
 MEASURES = ("chars", "bytes", "utf16", "html", "json", "crlf")
 SPIKE, RATIO, NEAR = 5, 8.0, 12  # a limit holds at least 5 texts and 8 times the mean of the 12 lengths on either side
+_FEW_SOURCES = 10_000  # limits of up to so many sources are broadcast
 ENDS = 0.3  # share of a word's occurrences that end a line, from which the word counts as an ending
 
 _WORD = re.compile(r"\d+(?:[.,:]\d+)*[^\W_]*|(?=[^\W\d_]+\d)[^\W_]+|[^\W\d_]+(?:'[^\W\d_]+)*|\S")
 _FORMAT = re.compile("[\u200b-\u200f\u2060\ufeff\u00ad]")
-_MARK = re.compile(r"\s*(?:\.\.\.+|…|\[(?:\.\.\.|…|truncated|cut|snip|more)[^\]\n]{0,40}\]|<(?:truncated|cut|snip)[^>\n]{0,40}>|\((?:truncated|cut|snip|more)[^)\n]{0,40}\))$", re.I)
+_ANSI = re.compile(r"\x1b\[[0-9;]*m?|\x1b$")
+_MARK = re.compile(r"\s*(?:(?<=\n)\[[a-z][^\]\n]{3,60}\]?|\.\.\.+|…|\[(?:\.\.\.|…|truncated|cut|snip|more)[^\]\n]{0,40}\]|<(?:truncated|cut|snip)[^>\n]{0,40}>|\((?:truncated|cut|snip|more)[^)\n]{0,40}\))$", re.I)
 _TERMINAL = re.compile(r"[.!?。！？][\"'”’»」』）)\]*_`]*$")
 _LIST = re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s+\S")
 _LOG = re.compile(r"^(?:\d{1,2}:\d\d|tests?/|E  |\x1b\[|##\[|==|\s+File \"|downloading |Job |Process |\[\w+\])")
@@ -65,7 +67,7 @@ def _mask(t: str) -> str:
 
 
 def _plain(text: str) -> str:
-    return _FORMAT.sub("", text).replace("\u00a0", " ").rstrip()
+    return _FORMAT.sub("", _ANSI.sub("", text)).replace("\u00a0", " ").rstrip()
 
 
 def _lines(text: str, source: str) -> Iterator[tuple[str, str, bool]]:
@@ -78,14 +80,17 @@ def _lines(text: str, source: str) -> Iterator[tuple[str, str, bool]]:
         yield rows[i], _kind(rows[i], i == full[0], alone, log or bool(_LOG.match(rows[i])) and len(full) > 3 and bool(_LOG.match(rows[full[0]]))), i == full[-1]
 
 
-def _count(text: str, source: str, any_: Counter, end: Counter) -> None:
+def _count(text: str, source: str, any_: Counter, end: Counter, at_limit: bool) -> None:
+    """Counts of one text; the end of a text at a storage limit is no example of how lines end."""
     text = _plain(text)
     for line, kind, last in _lines(text, source):
         toks = [_mask(t) for t in _WORD.findall(_MARK.sub("", line) if last else line)]
         if not toks:
             continue
         whole = toks[:-1] if last else toks
-        any_.update(("word", t) for t in whole if t[0].isalpha())
+        scope = "log" if kind == "log" else "text"
+        any_.update(("word", f"{scope} {t}") for t in whole if t[0].isalpha())
+        any_.update(("vocabulary", f"{scope} {t}") for t in toks if t[0].isalpha())
         form = shape(line)
         if not last:
             any_["shape", form] += 1
@@ -101,23 +106,23 @@ def _count(text: str, source: str, any_: Counter, end: Counter) -> None:
             if b[0].isdigit():
                 any_["frac", a] += 1
                 end["frac", a] += "." in b
-        open_ = not _TERMINAL.search(line.rstrip())
+        open_ = not _TERMINAL.search(line.rstrip()) and not (last and at_limit)
         if kind in ("subject", "prose"):
             for d in range(3):
                 any_.update((f"{kind}{d}", f"{source} {t}") for t in toks)
                 if len(toks) > d and open_:
                     end[f"{kind}{d}", f"{source} {toks[-1 - d]}"] += 1
             any_.update(("marked", f"{a} {b}") for a, b in zip(toks, toks[1:]))
-        for scope in (source, ""):
-            any_.update(("last" if scope else "lastall", f"{scope} {t}") for t in toks if t[0].isalpha())
+        any_.update(("last", f"{source} {t}") for t in toks if t[0].isalpha())
+        any_.update(("lastall", f" {t}") for t in toks if t[0].isalpha())
         any_.update(("last2", f"{source} {a} {b}") for a, b in zip(toks, toks[1:]))
-        if open_ or kind == "log":
+        if open_ or kind == "log" and not (last and at_limit):
             if toks[-1][0].isalpha():
                 end["last", f"{source} {toks[-1]}"] += 1
                 end["lastall", f" {toks[-1]}"] += 1
             if len(toks) > 1:
                 end["last2", f"{source} {toks[-2]} {toks[-1]}"] += 1
-        if last and (m := _MARK.search(text.rstrip())) and len(toks) > 1:
+        if last and not at_limit and _MARK.search(text) and len(toks) > 1:
             end["marked", f"{toks[-2]} {toks[-1]}"] += 1
 
 
@@ -132,8 +137,8 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     for b in batches:
-        for text, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            _count(text, source or "", any_, end)
+        for text, source, at_limit in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            _count(text, source or "", any_, end, at_limit)
             if len(any_) > 200_000:
                 yield flush()
                 any_.clear(), end.clear()
@@ -188,7 +193,8 @@ def _ending(text: str, source: str) -> dict:
         if kind in ("subject", "prose"):
             keys += [(f"{kind}{d}", f"{source} {toks[-1 - d]}") for d in range(min(3, len(toks)))]
     if last and last[0].isalpha() and sure is None:
-        keys += [("word", last), ("prefix", last)]
+        scope = "log" if kind == "log" else "text"
+        keys += [("word", f"{scope} {last}"), ("prefix", f"{scope} {last}")]
     return {"kind": kind, "mark": mark, "sure": sure, "last": last, "terminal": bool(_TERMINAL.search(stripped)) and not mark, "keys": [{"type": a, "key": b} for a, b in dict.fromkeys(keys)]}
 
 
@@ -196,13 +202,13 @@ def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = [_ending(t, s or "") for t, s in zip(b.column("text").to_pylist(), b.column("source").to_pylist())]
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("source"), *(pa.array([r[c] for r in rows], t) for c, t in (("kind", pa.string()), ("mark", pa.bool_()), ("sure", pa.string()), ("last", pa.string()), ("terminal", pa.bool_()), ("keys", pa.list_(pa.struct([("type", pa.string()), ("key", pa.string())])))))],
-            names=["doc_id", "source", "kind", "mark", "sure", "last", "terminal", "keys"],
+            [b.column("doc_id"), b.column("source"), b.column("at_limit"), *(pa.array([r[c] for r in rows], t) for c, t in (("kind", pa.string()), ("mark", pa.bool_()), ("sure", pa.string()), ("last", pa.string()), ("terminal", pa.bool_()), ("keys", pa.list_(pa.struct([("type", pa.string()), ("key", pa.string())])))))],
+            names=["doc_id", "source", "at_limit", "kind", "mark", "sure", "last", "terminal", "keys"],
         )
 
 
-def lengths(documents: DataFrame) -> DataFrame:
-    """doc_id, source and the stored length of each text under every measure, as rows (measure, length)."""
+def lengths():
+    """The stored length of a text under every measure: an array of (measure, length)."""
     t = F.col("text")
     n = F.length(t)
     count = lambda c: F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))
@@ -216,12 +222,12 @@ def lengths(documents: DataFrame) -> DataFrame:
         "json": n + count('"') + count("\\") + breaks + count("\t") + count("\r"),
         "crlf": n + breaks - F.regexp_count(t, F.lit("\r\n")),
     }
-    return documents.select("doc_id", "source", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), values[m].cast("int").alias("length")) for m in MEASURES])).alias("m")).select("doc_id", "source", "m.*")
+    return F.array(*[F.struct(F.lit(m).alias("measure"), values[m].cast("int").alias("length")) for m in MEASURES])
 
 
 def limits(documents: DataFrame) -> DataFrame:
     """(source, measure, length, n): hidden storage limits, the lengths that hold far more texts than their neighbours."""
-    counts = lengths(documents).groupBy("source", "measure", "length").agg(F.count("*").alias("n"))
+    counts = documents.select("source", F.inline(lengths())).groupBy("source", "measure", "length").agg(F.count("*").alias("n"))
     near = Window.partitionBy("source", "measure").orderBy("length").rangeBetween(-NEAR, NEAR)
     mean = (F.sum("n").over(near) - F.col("n")) / (2 * NEAR)
     return counts.withColumn("mean", mean).filter((F.col("n") >= SPIKE) & (F.col("n") >= RATIO * F.col("mean"))).select("source", "measure", "length", "n")
@@ -238,21 +244,23 @@ def inspect(documents: DataFrame) -> DataFrame:
     Reads doc_id, text, source; sources are compared without case and outer blanks. A repeated doc_id is judged once,
     by any of its rows. Corpus statistics count all texts; keys of any frequency are summed before the shuffle.
     """
-    texts = _texts(documents)
-    stats = cut(texts.select("text", "source").mapInArrow(_stats, "type string, key string, n_end long, n_any long").groupBy("type", "key").agg(F.sum("n_end").alias("n_end"), F.sum("n_any").alias("n_any")))
-    words = stats.filter("type = 'word'").select("key", "n_any")
-    longer = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("key") - 1, F.lit(24))), lambda i: F.substring("key", F.lit(1), i))).alias("key"), "n_any").filter("key <> ''")
+    plain = _texts(documents)
+    held = cut(limits(plain).groupBy("source").agg(F.collect_set(F.struct("measure", "length")).alias("limits")))
+    held = F.broadcast(held) if held.count() <= _FEW_SOURCES else held
+    at = F.coalesce(F.arrays_overlap(lengths(), "limits"), F.lit(False))
+    texts = plain.join(held, "source", "left").select("doc_id", "source", "text", at.alias("at_limit"))
+    stats = cut(texts.select("text", "source", "at_limit").mapInArrow(_stats, "type string, key string, n_end long, n_any long").groupBy("type", "key").agg(F.sum("n_end").alias("n_end"), F.sum("n_any").alias("n_any")))
+    words = stats.filter("type = 'vocabulary'").select("key", "n_any")
+    cuts = F.sequence(F.lit(1), F.least(F.length("key") - 1, F.lit(32)))
+    longer = words.select(F.explode(F.transform(cuts, lambda i: F.substring("key", F.lit(1), i))).alias("key"), "n_any")
     prefixes = longer.groupBy("key").agg(F.sum("n_any").alias("n_any")).select(F.lit("prefix").alias("type"), "key", F.lit(0).cast("long").alias("n_end"), "n_any")
-    ends = cut(texts.mapInArrow(_endings, "doc_id long, source string, kind string, mark boolean, sure string, last string, terminal boolean, keys array<struct<type string, key string>>"))
+    ends = cut(texts.mapInArrow(_endings, "doc_id long, source string, at_limit boolean, kind string, mark boolean, sure string, last string, terminal boolean, keys array<struct<type string, key string>>"))
     asked = ends.select("doc_id", F.inline("keys"))
     known = lookup(asked, stats.union(prefixes), ["type", "key"], "inner")
     facts = known.groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("type", F.struct("n_end", "n_any").alias("v")))).alias("f"))
-    spikes = limits(texts)
-    hit = lengths(texts).join(spikes.select("source", "measure", "length"), ["source", "measure", "length"], "left_semi")
-    at = hit.groupBy("doc_id").agg(F.lit(True).alias("at_limit"))
-    e = ends.dropDuplicates(["doc_id"]).join(facts, "doc_id", "left").join(at, "doc_id", "left")
+    e = ends.dropDuplicates(["doc_id"]).join(facts, "doc_id", "left")
     n = lambda t, c="n_any": F.coalesce(F.col("f")[t][c], F.lit(0))
-    e = e.withColumn("at_limit", F.coalesce("at_limit", F.lit(False))).withColumn("reason", _reason(n))
+    e = e.withColumn("reason", _reason(n))
     return e.select("doc_id", "source", "kind", "reason", "at_limit")
 
 
