@@ -10,7 +10,6 @@ rounding along a hash order, by running totals in two levels.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -23,7 +22,7 @@ from kelpie.llm.encode import TOKENIZERS, token_counts
 
 FEATURES = 1 << 14
 _BUCKETS = 1024
-_DIGITS = 2  # posteriors of texts without a source are kept to two digits, so that classes stay few
+_DIGITS = 2  # posteriors of texts without a source are rounded, so that many share a class
 
 
 def _named(documents: DataFrame) -> DataFrame:
@@ -58,19 +57,24 @@ def memberships(documents: DataFrame, sources: list[str]) -> DataFrame:
     return sure.union(model.transform(tf.transform(words(rest))).select("doc_id", member.alias("member")))
 
 
-def fit_rates(member: np.ndarray, tokens: np.ndarray, caps: np.ndarray, target: np.ndarray, rounds: int = 500) -> np.ndarray:
-    """Rates of classes in [0, cap] that bring member.T @ (tokens * rate) to ``target`` in the least-squares sense."""
-    a = member * (tokens / max(tokens.sum(), 1.0))[:, None]
-    goal = target / max(tokens.sum(), 1.0)
-    rate = np.minimum(1.0, caps)
-    scale = np.maximum((a**2).sum(axis=1), 1e-18)
-    for _ in range(rounds):
-        step = a @ (a.T @ rate - goal) / np.maximum(scale, 1e-18)
-        new = np.clip(rate - step / max(1, a.shape[1] ** 0.5), 0, caps)
-        if np.abs(new - rate).max(initial=0) < 1e-12:
+def fit_rates(classes: DataFrame, targets: list[float], rounds: int = 40, close: float = 1e-6) -> DataFrame:
+    """Adds ``rate`` in [0, cap] to classes (member, cap, n): sum(member * n * rate) comes close to ``targets``.
+
+    Projected gradient on the squared residuals over the sources' tokens; a step needs one aggregate of a sum per source.
+    """
+    k = len(targets)
+    sums = lambda w: [F.coalesce(F.sum(F.col("member")[s] * F.col("n") * w), F.lit(0.0)).alias(f"s{s}") for s in range(k)]
+    have = list(classes.agg(*sums(F.lit(1.0))).first())
+    out = classes.withColumn("rate", F.least(F.lit(1.0), F.col("cap").cast("double")))
+    for i in range(rounds):
+        off = [a - b for a, b in zip(out.agg(*sums(F.col("rate"))).first(), targets)]
+        if max(map(abs, off), default=0.0) <= close * max(sum(targets), 1.0):
             break
-        rate = new
-    return rate
+        step = sum((F.col("member")[s] * (off[s] / have[s]) for s in range(k) if have[s]), F.lit(0.0))
+        out = out.withColumn("rate", F.greatest(F.lit(0.0), F.least(F.col("cap").cast("double"), F.col("rate") - step)))
+        if i % 8 == 7:
+            out = cut(out)
+    return out
 
 
 def _plan(documents: DataFrame, targets: DataFrame, total: float | None, folder: str, name: str) -> tuple[DataFrame, list]:
@@ -80,23 +84,20 @@ def _plan(documents: DataFrame, targets: DataFrame, total: float | None, folder:
     # equal texts are one text: only the first of them, in its own source, can be drawn
     first = docs.withColumn("h", F.sha2("text", 256)).groupBy("h").agg(F.min_by(F.struct("doc_id", "source", "text"), F.struct("doc_id", "source")).alias("d")).select("d.*").filter("text <> ''")
     if not sources:
-        return first.select("doc_id", "source", F.lit(0).cast("long").alias("n_tokens"), F.lit(0.0).alias("rate"), F.lit(0).alias("cap")).limit(0), rows
+        return first.select("doc_id", "source", F.lit(0).cast("long").alias("n_tokens"), F.array().cast("array<double>").alias("member"), F.lit(0.0).alias("rate"), F.lit(0).alias("cap")).limit(0), rows
     tokens = token_counts(first, ["doc_id", "source"], folder, name)
     member = memberships(first, sources)
     units = cut(tokens.join(member, "doc_id"))
-    shares = np.array([r.target_share for r in rows], float)
-    shares = shares / shares.sum()
-    reps = np.array([r.max_repeats for r in rows], float)
-    cap_of = F.floor(F.aggregate(F.zip_with("member", F.array(*[F.lit(float(x)) for x in reps]), lambda m, x: m * x), F.lit(0.0), lambda a, x: a + x) + 1e-9).cast("int")
-    units = units.withColumn("cap", cap_of)
-    classes = units.groupBy("member", "cap").agg(F.sum("n_tokens").alias("n")).collect()  # at most one per source, and the rounded posteriors of texts without one
-    m = np.array([c.member for c in classes], float).reshape(len(classes), len(sources))
-    n, caps = np.array([c.n for c in classes], float), np.array([c.cap for c in classes], float)
-    room = m.T @ (n * caps)
-    size = total if total is not None else float((room / shares).min()) if len(classes) else 0.0
-    rate = fit_rates(m, n, caps, shares * size)
-    table = documents.sparkSession.createDataFrame([(list(c.member), c.cap, float(r)) for c, r in zip(classes, rate)], "member array<double>, cap int, rate double")
-    return lookup(units, table, ["member", "cap"], "inner").select("doc_id", "source", "n_tokens", "rate", "cap"), rows
+    scale = sum(r.target_share for r in rows)
+    shares = [r.target_share / scale for r in rows]
+    most = F.aggregate(F.zip_with("member", F.array(*[F.lit(float(r.max_repeats)) for r in rows]), lambda m, x: m * x), F.lit(0.0), lambda a, x: a + x)
+    units = units.withColumn("cap", F.floor(most + 1e-9).cast("int"))
+    classes = cut(units.groupBy("member", "cap").agg(F.sum("n_tokens").alias("n")))
+    if total is None:
+        room = classes.agg(*[F.sum(F.col("member")[s] * F.col("n") * F.col("cap")).alias(f"s{s}") for s in range(len(rows))]).first()
+        total = min(((room[s] or 0.0) / shares[s] for s in range(len(rows))), default=0.0)
+    rates = fit_rates(classes, [x * total for x in shares])
+    return lookup(units, rates.select("member", "cap", "rate"), ["member", "cap"], "inner").select("doc_id", "source", "n_tokens", "member", "rate", "cap"), rows
 
 
 def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
@@ -107,24 +108,38 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, fo
     caps. A text that occurs in several rows counts as one text, under its smallest doc_id. Null and empty texts, and rows
     without doc_id, are never drawn; targets without share or repeats are left out; empty tables give no rows.
     """
-    drawn, _ = _plan(documents, targets, total, folder, name)
-    h = drawn.withColumn("h", F.xxhash64("doc_id")).withColumn("bucket", F.pmod("h", F.lit(_BUCKETS)))
-    h = h.withColumn("w", F.col("n_tokens") * (F.col("rate") - F.floor("rate")))
-    before = h.groupBy("source", "bucket").agg(F.sum("w").alias("w")).select("source", "bucket", (F.sum("w").over(Window.partitionBy("source").orderBy("bucket")) - F.col("w")).alias("base"))
-    order = Window.partitionBy("source", "bucket").orderBy("h", "doc_id")
-    # a text gets one more repeat than its whole rate where the running total of wanted tokens is ahead of those drawn
-    ahead = lookup(h, before, ["source", "bucket"], "inner").withColumn("upto", F.col("base") + F.sum("w").over(order))
-    pick = F.floor(F.col("upto") / F.col("n_tokens") + 0.5) > F.floor((F.col("upto") - F.col("w")) / F.col("n_tokens") + 0.5)
+    return _drawn(_plan(documents, targets, total, folder, name)[0]).select("doc_id", "source", "n_tokens", "repeats")
+
+
+def _drawn(planned: DataFrame) -> DataFrame:
+    part = F.col("rate") - F.floor("rate")
+    h = planned.withColumn("h", F.xxhash64("doc_id")).withColumn("bucket", F.pmod("h", F.lit(_BUCKETS))).withColumn("part", part).withColumn("w", F.col("n_tokens") * part)
+    sure = F.array_max("member") == 1.0
+    h = h.withColumn("sure", sure)
+    per = h.groupBy("source", "sure", "bucket").agg(F.sum("n_tokens").alias("t"), F.sum("part").alias("p"), F.sum("w").alias("w"))
+    along, whole = Window.partitionBy("source", "sure").orderBy("bucket"), Window.partitionBy("source", "sure")
+    before = per.select("source", "sure", "bucket", (F.sum("t").over(along) - F.col("t")).alias("t0"), (F.sum("p").over(along) - F.col("p")).alias("p0"), F.sum("w").over(whole).alias("want"))
+    order = Window.partitionBy("source", "sure", "bucket").orderBy("h", "doc_id")
+    at = lookup(h, before, ["source", "sure", "bucket"], "inner").withColumn("t1", F.col("t0") + F.sum("n_tokens").over(order)).withColumn("p1", F.col("p0") + F.sum("part").over(order))
+    # texts of one source share a rate: one more repeat for the first of the hash order, until the wanted tokens are reached;
+    # the others get one where the running sum of their rates passes a whole number
+    pick = F.when(F.col("sure"), F.col("t1") - F.col("n_tokens") / 2 <= F.col("want")).otherwise(F.floor("p1") > F.floor(F.col("p1") - F.col("part")))
     repeats = F.least(F.col("cap"), (F.floor("rate") + F.when(pick, 1).otherwise(0)).cast("int"))
-    return ahead.select("doc_id", "source", "n_tokens", repeats.alias("repeats")).filter("repeats > 0")
+    return at.withColumn("repeats", repeats).filter("repeats > 0").select("doc_id", "source", "n_tokens", "member", "repeats")
 
 
 def report(documents: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
-    """Per target source: target_share, reached_share, n_tokens drawn, n_texts and the most repeats of a text."""
-    drawn = cut(mix(documents, targets, total))
-    per = drawn.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("n_tokens"), F.count("*").alias("n_texts"), F.max("repeats").alias("most_repeats"))
-    all_ = per.agg(F.sum("n_tokens").alias("all_tokens"))
-    goal = targets.select(F.lower(blanks("source")).alias("source"), "target_share")
-    n = F.coalesce("n_tokens", F.lit(0)).cast("long")
-    out = goal.join(per, "source", "left").crossJoin(F.broadcast(all_))
+    """Per target source: target_share, reached_share, n_tokens, n_texts and the most repeats of a text.
+
+    A text without a known source counts towards the sources by its posterior.
+    """
+    planned, rows = _plan(documents, targets, total, TOKENIZERS, "byte_bpe_50k")
+    drawn = cut(_drawn(planned))
+    tokens = F.col("n_tokens") * F.col("repeats")
+    m = drawn.select("doc_id", "repeats", tokens.alias("t"), F.posexplode("member").alias("at", "m")).filter("m > 0")
+    per = m.groupBy("at").agg(F.sum(F.col("t") * F.col("m")).alias("n_tokens"), F.count("*").alias("n_texts"), F.max("repeats").alias("most_repeats"))
+    all_ = drawn.agg(F.sum(tokens).alias("all_tokens"))
+    goal = documents.sparkSession.createDataFrame([(i, r.source, r.target_share) for i, r in enumerate(rows)], "at int, source string, target_share double")
+    n = F.coalesce("n_tokens", F.lit(0.0))
+    out = goal.join(per, "at", "left").crossJoin(F.broadcast(all_))
     return out.select("source", "target_share", (n / F.col("all_tokens")).alias("reached_share"), n.alias("n_tokens"), F.coalesce("n_texts", F.lit(0)).cast("long").alias("n_texts"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"))
