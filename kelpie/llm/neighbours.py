@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 from kelpie.common import cut
 
 SHARD, MAX_CELLS, SAMPLE = 2048, 4096, 65536
-PROBES, DEGREE, BEAM, ALPHA = 4, 24, 48, 1.2
+PROBES, DEGREE, BEAM, ALPHA = 10, 24, 40, 1.2
 _BATCH, _STEP = 512, 4
 
 
