@@ -1,17 +1,327 @@
-"""Queries by name and their SQL twins, gathered from the modules of this package."""
+"""Queries by name over the test tables, each with its SQL twin where SQL can say the same.
+
+Doubles are rounded once at the end, with a small offset that keeps exact decimal ties off the rounding edge; both sides
+do the same.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kelpie.common import table
-from kelpie.operators import badrows
+from kelpie.common import even, table
+from kelpie.operators import badrows, codetext, graph, registry, scoring, similarity, telemetry
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p7_found": lambda spark, d: badrows.found(table(spark, d, "presubmit_raw")),
-    "p7_load": lambda spark, d: badrows.load(table(spark, d, "presubmit_raw")),
-    "p7_report": lambda spark, d: badrows.report(table(spark, d, "presubmit_raw")),
-}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[even(F.col(c), digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+
+
+def _query(name: str, *tables: str, sql: str | None = None):
+    def wrap(f: Callable[..., DataFrame]):
+        QUERIES[name] = lambda spark, d: _rounded(f(*[table(spark, d, t) for t in tables]))
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return wrap
+
+
+def _r(x: str, name: str) -> str:
+    return f"round(CAST({x} AS DOUBLE) + 1.234567e-9, 6) AS {name}"
+
+
+def _t(x: str) -> str:
+    return f"trim({x}, ' ' || chr(9) || chr(10) || chr(13))"
+
+
+# -- rows that fail to parse
+
+_query("p7_found", "presubmit_raw")(badrows.found)
+_query("p7_load", "presubmit_raw")(badrows.load)
+_query("p7_report", "presubmit_raw")(badrows.report)
+
+# -- telemetry
+
+_TYPED = f"""
+d AS (SELECT DISTINCT phase, {_t('build')} AS build, {_t('test_name')} AS test_name, CASE WHEN isnan(test_duration) THEN NULL ELSE test_duration END AS duration, upper({_t('test_result')}) AS r FROM ci_runs),
+typed AS (SELECT phase, build, test_name, CASE WHEN duration >= 0 THEN duration END AS duration, CASE r WHEN 'PASSED' THEN 1 WHEN 'FAILED' THEN 0 END AS result FROM d WHERE build IS NOT NULL OR test_name IS NOT NULL)"""
+_CLEAN = f"""{_TYPED},
+m AS (SELECT phase, build, test_name, coalesce(duration, median(duration) OVER (PARTITION BY phase, test_name)) AS duration, result FROM typed),
+g AS (SELECT phase, median(duration) AS gm FROM m GROUP BY phase),
+i AS (SELECT m.phase, build, test_name, coalesce(duration, gm) AS duration, result FROM m JOIN g USING (phase)),
+q AS (SELECT phase, quantile_cont(duration, 0.25) AS q1, quantile_cont(duration, 0.75) AS q3 FROM i GROUP BY phase),
+cleaned AS (SELECT i.*, CASE WHEN duration < q1 - 3 * (q3 - q1) OR duration > q3 + 3 * (q3 - q1) THEN 1 ELSE 0 END AS is_outlier FROM i JOIN q USING (phase) WHERE result IS NOT NULL)"""
+
+_query("clean_runs", "ci_runs", sql=f"WITH {_CLEAN} SELECT phase, build, test_name, {_r('duration', 'duration')}, result, is_outlier FROM cleaned")(telemetry.clean)
+_query(
+    "combined_delta", "ci_runs",
+    sql=f"""WITH {_CLEAN},
+k AS (SELECT phase, build, test_name, avg(duration) AS dm, stddev_samp(duration) AS ds, avg(result) AS pr, count(*) FILTER (WHERE result = 0) AS fc, count(*) AS n FROM cleaned WHERE build IS NOT NULL AND test_name IS NOT NULL GROUP BY ALL),
+a AS (SELECT * FROM k WHERE phase = 'pre'), b AS (SELECT * FROM k WHERE phase = 'post')
+SELECT build, test_name, {_r('a.dm', 'duration_mean_pre')}, {_r('a.ds', 'duration_std_pre')}, {_r('a.pr', 'pass_rate_pre')}, coalesce(a.fc, 0) AS failure_count_pre, coalesce(a.n, 0) AS total_runs_pre,
+{_r('b.dm', 'duration_mean_post')}, {_r('b.ds', 'duration_std_post')}, {_r('b.pr', 'pass_rate_post')}, coalesce(b.fc, 0) AS failure_count_post, coalesce(b.n, 0) AS total_runs_post,
+{_r('b.pr - a.pr', 'delta_pass_rate')}, {_r('b.dm - a.dm', 'delta_duration')}, CASE WHEN a.pr >= 0.8 AND b.pr < 0.5 THEN 1 ELSE 0 END AS regression_detected,
+CASE WHEN b.n IS NULL THEN 1 ELSE 0 END AS only_in_pre, CASE WHEN a.n IS NULL THEN 1 ELSE 0 END AS only_in_post FROM a FULL JOIN b USING (build, test_name)""",
+)(telemetry.combined)
+_query(
+    "duration_features", "ci_runs",
+    sql=f"""WITH {_CLEAN}, p AS (SELECT phase, avg(duration) AS m, stddev_samp(duration) AS s, min(duration) AS lo, max(duration) AS hi FROM cleaned GROUP BY phase),
+t AS (SELECT phase, test_name, avg(duration) AS tm, coalesce(stddev_samp(duration), 0) AS ts FROM cleaned WHERE test_name IS NOT NULL GROUP BY ALL)
+SELECT phase, build, test_name, {_r('duration', 'duration')}, {_r('ln(1 + duration)', 'log_duration')}, {_r('(duration - m) / (s + 1e-8)', 'z')}, {_r('CASE WHEN hi > lo THEN (duration - lo) / (hi - lo) ELSE 0 END', 'scaled')},
+{_r('tm', 'test_mean')}, {_r('ts', 'test_std')}, {_r('duration / (tm + 1e-8)', 'ratio')} FROM cleaned JOIN p USING (phase) JOIN t USING (phase, test_name)""",
+)(lambda t: telemetry.duration_features(telemetry.clean(t)))
+_query(
+    "test_history", "ci_runs",
+    sql=f"""WITH {_CLEAN} SELECT phase, test_name, {_r('avg(result)', 'pass_rate')}, {_r('1 - avg(result)', 'failure_rate')}, count(*) AS n_runs, count(*) FILTER (WHERE result = 0) AS n_failures,
+{_r('1 - 2 * abs(avg(result) - 0.5)', 'flakiness')} FROM cleaned GROUP BY phase, test_name""",
+)(lambda t: telemetry.history(telemetry.clean(t)))
+_query(
+    "build_stats", "ci_runs",
+    sql=f"WITH {_CLEAN} SELECT phase, build, {_r('avg(result)', 'pass_rate')}, count(*) AS n_runs, count(*) FILTER (WHERE result = 0) AS n_failures, max(1 - result) AS has_failure FROM cleaned GROUP BY phase, build",
+)(lambda t: telemetry.build_stats(telemetry.clean(t)))
+_FLAGS = ", ".join(f"CASE WHEN regexp_matches(test_name, '{p}') THEN 1 ELSE 0 END AS {k}" for k, p in telemetry.NAME_FLAGS.items())
+_query(
+    "test_name_features", "ci_runs",
+    sql=rf"""SELECT test_name, {_FLAGS}, length(test_name) AS name_length, len(list_filter(regexp_split_to_array(test_name, '[./:#_\-]'), lambda x: x <> '')) AS name_depth,
+CAST('0x' || substr(md5(test_name), 1, 8) AS BIGINT) AS name_hash FROM (SELECT DISTINCT {_t('test_name')} AS test_name FROM ci_runs) WHERE test_name <> ''""",
+)(telemetry.name_features)
+_SEG = ", ".join(f"coalesce(p[{i}], '') AS segment_{i}" for i in range(1, 5))
+_query(
+    "build_segments", "ci_runs",
+    sql=f"""SELECT build, {_SEG}, len(p) AS depth, dense_rank() OVER (ORDER BY build) - 1 AS code FROM (SELECT build, regexp_split_to_array(build, '[/_]') AS p FROM (SELECT DISTINCT {_t('build')} AS build FROM ci_runs) WHERE build <> '')""",
+)(telemetry.build_segments)
+_query(
+    "eda_summary", "ci_runs",
+    sql=f"""WITH {_TYPED} SELECT phase, count(*) AS n_rows, count(DISTINCT build) AS n_builds, count(DISTINCT test_name) AS n_tests, {_r('avg(duration)', 'mean_duration')},
+count(*) FILTER (WHERE duration IS NULL) AS null_durations, count(*) FILTER (WHERE result IS NULL) AS null_results FROM typed GROUP BY phase""",
+)(telemetry.summary)
+_query(
+    "describe_duration", "ci_runs",
+    sql=f"""WITH {_CLEAN} SELECT phase, count(duration) AS n, {_r('avg(duration)', 'mean')}, {_r('stddev_samp(duration)', 'std')}, {_r('min(duration)', 'least')}, {_r('quantile_cont(duration, 0.25)', 'q25')},
+{_r('quantile_cont(duration, 0.5)', 'q50')}, {_r('quantile_cont(duration, 0.75)', 'q75')}, {_r('max(duration)', 'most')} FROM cleaned GROUP BY phase""",
+)(lambda t: telemetry.describe(telemetry.clean(t)))
+_query(
+    "top_failing", "ci_runs",
+    sql=f"""WITH {_CLEAN}, f AS (SELECT phase, test_name, count(*) AS n_failures FROM cleaned WHERE result = 0 AND test_name IS NOT NULL GROUP BY ALL)
+SELECT phase, test_name, n_failures, row_number() OVER (PARTITION BY phase ORDER BY n_failures DESC, test_name) AS rank FROM f QUALIFY rank <= 10""",
+)(lambda t: telemetry.top_failing(telemetry.clean(t)))
+_query(
+    "class_balance", "ci_runs",
+    sql=f"""WITH {_CLEAN}, c AS (SELECT phase, result, count(*) AS n FROM cleaned GROUP BY ALL)
+SELECT phase, result, n, {_r('n / sum(n) OVER (PARTITION BY phase)', 'share')}, {_r('CAST(max(n) OVER (PARTITION BY phase) AS DOUBLE) / min(n) OVER (PARTITION BY phase)', 'imbalance')} FROM c""",
+)(lambda t: telemetry.class_balance(telemetry.clean(t)))
+_query(
+    "training_matrix", "combined_submit",
+    sql=f"""SELECT record_id, {_r('coalesce(abs(delta_duration) / 500, 0)', 'change_size')}, {_r('1 - coalesce(pass_rate_pre, 1)', 'module_impact')}, {_r('coalesce(CAST(failure_count_pre AS DOUBLE) / greatest(total_runs_pre, 1), 0)', 'failure_rate')},
+{_r('ln(greatest(coalesce(duration_mean_pre, 30), 1) + 1)', 'log_duration')}, CAST(regexp_matches(lower(coalesce(test_name, '')), 'db|database|sql') AS INT) AS touches_db,
+CAST(regexp_matches(lower(coalesce(test_name, '')), 'kafka|queue|stream') AS INT) AS touches_queue, CAST(regexp_matches(lower(coalesce(test_name, '')), 'api|http|rest') AS INT) AS touches_api, coalesce(regression_detected, 0) AS label FROM combined_submit""",
+)(telemetry.training_matrix)
+_query(
+    "history_rates_last", "combined_submit",
+    sql=f"""SELECT stem, {_r("arg_max(rate, (build, test_name, record_id))", 'failure_rate')} FROM (SELECT *, regexp_extract(string_split(test_name, '/')[-1], '^(.+?)(?:\\.[^.]*)?$', 1) AS stem,
+coalesce(CAST(failure_count_pre AS DOUBLE) / greatest(total_runs_pre, 1), 0) AS rate FROM combined_submit WHERE build IS NOT NULL AND test_name IS NOT NULL AND test_name NOT LIKE '%/') GROUP BY stem""",
+)(telemetry.last_rates)
+
+# -- registry and run log
+
+_LATEST = """latest AS (SELECT repo, file_path, arg_max(x, (coalesce(x.updated_at, TIMESTAMP '1970-01-01'), coalesce(x.file_hash, ''), x.module_id)) AS x
+FROM (SELECT repo, file_path, {'module_id': module_id, 'file_hash': file_hash, 'updated_at': updated_at, 'f': ast_features, 'language': language} AS x FROM module_registry) GROUP BY repo, file_path)"""
+_query("registry_latest", "module_registry", sql=f"WITH {_LATEST} SELECT repo, file_path, x.module_id AS module_id, x.file_hash AS file_hash, x.language AS language, x.updated_at AS updated_at FROM latest")(
+    lambda t: registry.latest(t.select("repo", "file_path", "module_id", "file_hash", "language", "updated_at"))
+)
+_query("registry_stats", "module_registry", sql="SELECT repo, count(*) AS n_modules, count(embedding) AS n_embedded, count(DISTINCT file_hash) AS n_hashes FROM module_registry GROUP BY repo")(registry.stats)
+_query(
+    "registry_upsert", "module_registry", "file_ast",
+    sql="""WITH c AS (SELECT repo, file_path, file_hash FROM file_ast WHERE file_id % 3 = 0), s AS (SELECT DISTINCT repo, file_path, file_hash FROM module_registry)
+SELECT * FROM s ANTI JOIN c USING (repo, file_path) UNION ALL SELECT * FROM c""",
+)(lambda m, f: registry.upsert(m.select("repo", "file_path", "file_hash").distinct(), f.filter("file_id % 3 = 0").select("repo", "file_path", "file_hash")))
+_query("registry_delete", "module_registry", "file_ast", sql="SELECT m.module_id, m.repo, m.file_path FROM module_registry m ANTI JOIN (SELECT repo, file_path FROM file_ast WHERE language IS NULL) d USING (repo, file_path)")(
+    lambda m, f: registry.delete(m.select("module_id", "repo", "file_path"), f.filter("language IS NULL"))
+)
+_query(
+    "incremental_plan", "file_ast", "module_registry",
+    sql=f"""WITH {_LATEST} SELECT file_id, f.repo, f.file_path, CASE WHEN x.file_hash IS NULL THEN 'new' WHEN x.file_hash IS NOT DISTINCT FROM f.file_hash THEN 'unchanged' ELSE 'changed' END AS state
+FROM file_ast f LEFT JOIN latest USING (repo, file_path)""",
+)(registry.plan)
+_query("copy_detection", "file_ast", sql="SELECT file_hash, count(*) AS n_files, count(DISTINCT repo) AS n_repos, min(file_id) AS first_file FROM file_ast WHERE file_hash IS NOT NULL GROUP BY file_hash HAVING count(*) > 1")(registry.copies)
+_SCORE = "0.4 * coalesce(x.f.num_functions, 0) + 0.3 * coalesce(x.f.num_imports, 0) + 0.2 * ln(coalesce(x.f.num_lines, 0) + 1) + 0.1 * coalesce(x.f.num_classes, 0)"
+_query("value_scores", "module_registry", sql=f"WITH {_LATEST} SELECT x.module_id AS module_id, repo, file_path, {_r(_SCORE, 'score')} FROM latest")(registry.value_scores)
+_query(
+    "value_score_topk", "module_registry",
+    sql=f"""WITH {_LATEST}, s AS (SELECT x.module_id AS module_id, repo, file_path, {_r(_SCORE, 'score')} FROM latest)
+SELECT *, row_number() OVER (PARTITION BY repo ORDER BY score DESC, module_id) AS rank FROM s QUALIFY rank <= 10""",
+)(registry.top_by_value)
+_ONCE = """once AS (SELECT run_id, arg_max(x, (x.created_at, coalesce(x.pr, -1), coalesce(x.co, -1))) AS x
+FROM (SELECT run_id, {'repo': repo, 'pr_number': pr_number, 'created_at': created_at, 'pr': pruning_rate, 'co': carbon_gco2} AS x FROM pr_run_log) GROUP BY run_id)"""
+_query(
+    "run_log_once", "pr_run_log", sql=f"WITH {_ONCE} SELECT run_id, x.repo AS repo, x.pr_number AS pr_number, x.created_at AS created_at, {_r('x.pr', 'pruning_rate')} FROM once"
+)(lambda t: registry.runs_once(t).select("run_id", "repo", "pr_number", "created_at", "pruning_rate"))
+_query(
+    "run_log_recent", "pr_run_log",
+    sql=f"WITH {_ONCE} SELECT x.repo AS repo, run_id, x.pr_number AS pr_number, x.created_at AS created_at, row_number() OVER (PARTITION BY x.repo ORDER BY x.created_at DESC, run_id) AS rank FROM once QUALIFY rank <= 50",
+)(registry.recent)
+_query(
+    "pruning_share", "pr_run_log",
+    sql=f"""WITH g AS (SELECT repo, count(*) AS n_runs, CAST(sum(coalesce(len(selected_tests), 0)) AS BIGINT) AS n_selected, CAST(sum(coalesce(len(pruned_tests), 0)) AS BIGINT) AS n_pruned FROM pr_run_log GROUP BY repo)
+SELECT *, {_r('CAST(n_pruned AS DOUBLE) / greatest(n_selected + n_pruned, 1)', 'pruned_share')} FROM g""",
+)(registry.pruning)
+_query("change_counts", "pr_run_log", sql="SELECT file, count(DISTINCT run_id) AS n_runs FROM (SELECT run_id, trim(unnest(changed_files)) AS file FROM pr_run_log) WHERE file <> '' GROUP BY file")(registry.change_counts)
+
+# -- graphs
+
+_EDGES = """SELECT DISTINCT importer, imported FROM (
+ SELECT p_partkey AS importer, CAST(floor(p_partkey / 2) AS BIGINT) AS imported FROM part WHERE p_partkey > 0
+ UNION ALL SELECT p_partkey, CAST(floor(p_partkey / 3) AS BIGINT) FROM part WHERE p_partkey % 3 = 0 AND p_partkey > 0
+ UNION ALL SELECT CAST(floor(p_partkey / 2) AS BIGINT), p_partkey FROM part WHERE p_partkey % 50 = 0 AND p_partkey > 0) e"""
+
+
+def _edges(part: DataFrame) -> DataFrame:
+    k, half, third = F.col("p_partkey"), F.floor(F.col("p_partkey") / 2).alias("imported"), F.floor(F.col("p_partkey") / 3)
+    p = part.filter(k > 0)
+    return p.select(k.alias("importer"), half).union(p.filter(k % 3 == 0).select(k, third)).union(p.filter(k % 50 == 0).select(F.floor(k / 2), k)).distinct()
+
+
+def _seeds(part: DataFrame) -> DataFrame:
+    return part.filter("p_partkey % 101 = 5").select(F.col("p_partkey").alias("node"))
+
+
+def _test_map(part: DataFrame) -> DataFrame:
+    k = F.col("p_partkey")
+    return part.select(k.alias("module"), F.concat(F.lit("test_"), (k % 97).cast("string")).alias("test")).union(part.filter(k % 4 == 0).select(k, F.concat(F.lit("test_x"), (k % 53).cast("string"))))
+
+
+_GRAPH = f"""edges AS ({_EDGES}), seeds AS (SELECT p_partkey AS n FROM part WHERE p_partkey % 101 = 5),
+r(n, d) AS (SELECT n, 0 FROM seeds UNION SELECT e.importer, r.d + 1 FROM r JOIN edges e ON e.imported = r.n WHERE r.d < 5),
+up AS (SELECT n AS node, min(d) AS depth FROM r GROUP BY n),
+tm AS (SELECT p_partkey AS module, 'test_' || (p_partkey % 97) AS test FROM part UNION ALL SELECT p_partkey, 'test_x' || (p_partkey % 53) FROM part WHERE p_partkey % 4 = 0)"""
+_query("upstream_closure", "part", sql=f"WITH RECURSIVE {_GRAPH} SELECT node, depth FROM up")(lambda p: graph.upstream(_edges(p), _seeds(p)))
+_query(
+    "closure_per_seed", "part",
+    sql=f"""WITH RECURSIVE edges AS ({_EDGES}), r(s, n, d) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey % 101 = 5 UNION SELECT r.s, e.importer, r.d + 1 FROM r JOIN edges e ON e.imported = r.n WHERE r.d < 5)
+SELECT s AS seed, n AS node, min(d) AS depth FROM r GROUP BY s, n""",
+)(lambda p: graph.closure(_edges(p), _seeds(p)))
+_query(
+    "select_tests", "part",
+    sql=f"WITH RECURSIVE {_GRAPH} SELECT test, max(CASE WHEN depth = 0 THEN 1 ELSE 0 END) AS is_direct, max(CASE WHEN depth > 0 THEN 1 ELSE 0 END) AS is_transitive, min(depth) AS depth FROM tm JOIN up ON up.node = tm.module GROUP BY test",
+)(lambda p: graph.select_tests(_edges(p), _test_map(p), _seeds(p)))
+_query(
+    "explain_selection", "part",
+    sql=f"""WITH RECURSIVE {_GRAPH} SELECT test, CASE WHEN min(depth) = 0 THEN 'direct' ELSE 'via ' || array_to_string(list_slice(list_sort(list_distinct(list(node) FILTER (WHERE depth > 0))), 1, 3), ', ') END AS reason
+FROM tm JOIN up ON up.node = tm.module GROUP BY test""",
+)(lambda p: graph.explain(_edges(p), _test_map(p), _seeds(p)))
+_query("graph_degrees", "part", sql=f"WITH e AS ({_EDGES}), o AS (SELECT importer AS node, count(DISTINCT imported) AS a FROM e GROUP BY 1), i AS (SELECT imported AS node, count(DISTINCT importer) AS b FROM e GROUP BY 1) SELECT node, coalesce(a, 0) AS n_imports, coalesce(b, 0) AS n_importers FROM o FULL JOIN i USING (node)")(
+    lambda p: graph.degrees(_edges(p))
+)
+_query("forward_depth", "part")(lambda p: graph.forward_depth(_edges(p), _seeds(p)))
+_query("cycles", "part")(lambda p: graph.cycles(_edges(p)).select(F.array_join(F.transform("cycle", lambda x: x.cast("string")), ">").alias("cycle")))
+_PAIRS = "SELECT 'f' || (l_suppkey % 500) AS src, 'test_' || (l_partkey % 300) AS test, max(l_discount * 8 + l_tax * 2) AS sim FROM lineitem GROUP BY ALL"
+
+
+def _pairs(lineitem: DataFrame) -> DataFrame:
+    s = F.max(F.col("l_discount") * 8 + F.col("l_tax") * 2)
+    return lineitem.groupBy(F.concat(F.lit("f"), (F.col("l_suppkey") % 500).cast("string")).alias("src"), F.concat(F.lit("test_"), (F.col("l_partkey") % 300).cast("string")).alias("test")).agg(s.alias("sim"))
+
+
+_query("test_weights", "lineitem", sql=f"WITH w AS (SELECT test, sum(sim) AS weight FROM ({_PAIRS}) WHERE sim >= 0.5 GROUP BY test) SELECT test, {_r('weight', 'weight')}, {_r('weight / max(weight) OVER ()', 'pf')} FROM w")(
+    lambda l: graph.test_weights(_pairs(l))
+)
+_query("function_test_graph", "lineitem", sql=f"SELECT src, array_to_string(list_sort(list_distinct(list(test) FILTER (WHERE sim >= 0.9))), ',') AS tests FROM ({_PAIRS}) GROUP BY src")(
+    lambda l: graph.bipartite(_pairs(l), 0.9).select("src", F.array_join("tests", ",").alias("tests"))
+)
+_query(
+    "name_convention_map", "file_ast",
+    sql=r"""WITH p AS (SELECT repo, file_path, regexp_extract(file_path, '([^/]*)\.[^./]*$', 1) AS stem, regexp_extract(file_path, '\.([^./]*)$', 1) AS ext FROM file_ast),
+t AS (SELECT repo, ext, file_path AS test_path, unnest(list_distinct([regexp_replace(stem, '^test_', ''), regexp_replace(stem, '^test', '')])) AS stem FROM p WHERE stem LIKE 'test%')
+SELECT DISTINCT repo, test_path, p.file_path AS module_path FROM t JOIN p USING (repo, ext, stem) WHERE p.stem NOT LIKE 'test%'""",
+)(graph.name_convention)
+
+# -- similarity
+
+_VEC = """v AS (SELECT module_id, arg_max(CAST(embedding AS DOUBLE[]), updated_at) AS v FROM module_registry WHERE len(embedding) = 64
+ AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY module_id)"""
+_query(
+    "vector_search", "module_registry",
+    sql=f"""WITH {_VEC}, q AS (SELECT v AS q FROM v WHERE module_id = (SELECT min(module_id) FROM v)), s AS (SELECT module_id, {_r('list_cosine_similarity(v, q)', 'sim')} FROM v, q WHERE module_id <> (SELECT min(module_id) FROM v))
+SELECT module_id, sim, row_number() OVER (ORDER BY sim DESC, module_id) AS rank, sim >= 0.75 AS is_relevant FROM s QUALIFY rank <= 20""",
+)(lambda m: similarity.search(similarity.usable(m), similarity.usable(m).agg(F.min("module_id")).first()[0] or 0, 20, -1.0))
+_query(
+    "cosine_topk_per_source", "module_registry",
+    sql=f"""WITH {_VEC}, s AS (SELECT a.module_id AS src, b.module_id AS module_id, {_r('list_cosine_similarity(a.v, b.v)', 'sim')} FROM v a JOIN v b ON a.module_id <> b.module_id WHERE a.module_id % 100 = 0)
+SELECT src, module_id, sim, row_number() OVER (PARTITION BY src ORDER BY sim DESC, module_id) AS rank FROM s WHERE sim >= 0.2 QUALIFY rank <= 20""",
+)(lambda m: similarity.top_per_source(similarity.usable(m)))
+_query(
+    "mean_pool", "module_registry",
+    sql=f"WITH {_VEC}, r AS (SELECT DISTINCT module_id, repo FROM module_registry), e AS (SELECT repo, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS pos FROM v JOIN r USING (module_id)) SELECT repo, CAST(pos AS INT) AS pos, {_r('avg(x)', 'value')} FROM e GROUP BY repo, pos",
+)(similarity.mean_vectors)
+
+# -- code and text
+
+_LANG = "CASE ext " + " ".join(f"WHEN '{e}' THEN '{l}'" for e, l in codetext.EXTENSIONS.items()) + " ELSE 'unknown' END"
+_query(
+    "file_facts", "file_ast",
+    sql=rf"""SELECT file_id, name, regexp_replace(name, '\.[^.]*$', '') AS stem, ext AS extension, {_LANG} AS language, length(t) - length(replace(t, chr(10), '')) + 1 AS n_lines, sha256(t) AS sha256
+FROM (SELECT file_id, string_split(file_path, '/')[-1] AS name, lower(regexp_extract(file_path, '\.([A-Za-z0-9]+)$', 1)) AS ext, coalesce(source_text, '') AS t FROM file_ast)""",
+)(codetext.file_facts)
+_COUNTS = ", ".join(f"len(regexp_extract_all(replace(replace(coalesce(source_text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '{p}')) AS {k}" for k, p in codetext.STRUCTURE.items())
+_query("regex_structure", "file_ast", sql=f"SELECT file_id, {_COUNTS} FROM file_ast")(codetext.structure)
+_query(
+    "python_imports", "file_ast",
+    sql=r"""SELECT DISTINCT file_id, module FROM (SELECT file_id, unnest(regexp_extract_all(replace(replace(source_text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '(?m)^[ \t]*(?:import|from)[ \t]+([A-Za-z_][A-Za-z0-9_.]*)', 1)) AS module FROM file_ast WHERE lower(file_path) LIKE '%.py')""",
+)(codetext.python_imports)
+_query("js_requires", "file_ast")(codetext.js_requires)
+_query("import_edges", "file_ast")(lambda f: codetext.resolve_imports(codetext.python_imports(f), f))
+_WORDS = " + ".join(f"CAST(contains(t, '{w}') AS INT)" for w in codetext.RISK_WORDS)
+_query(
+    "impact_keywords", "documents",
+    sql=f"SELECT doc_id, n AS n_words, CASE WHEN n >= 3 THEN 'HIGH' WHEN n >= 1 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM (SELECT doc_id, {_WORDS} AS n FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents))",
+)(codetext.impact)
+_query("diff_lines", "documents")(lambda d: codetext.diff_lines(codetext.embedded_diffs(d)))
+_query("diff_files", "documents")(lambda d: codetext.diff_files(codetext.diff_lines(codetext.embedded_diffs(d))))
+_query("python_functions", "file_ast")(codetext.python_functions)
+_query("call_edges", "file_ast")(lambda f: codetext.call_edges(codetext.python_functions(f)))
+
+# -- scores, decisions, models
+
+_CAND = """c AS (SELECT o_orderkey AS candidate, (o_totalprice % 1000) / 1000 AS sim, (o_custkey % 10) / 10.0::DOUBLE AS pf, o_orderkey % 3 = 0 AS in_dep, o_orderkey % 5 = 0 AS hashed,
+ CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 4 ELSE 999 END AS depth, (o_custkey % 7) / 20.0::DOUBLE AS failure FROM orders),
+s AS (SELECT *, 0.25 * sim + 0.2 * in_dep::INT + 0.15 * hashed::INT + 0.2 * greatest(0, 1 - depth / 6.0::DOUBLE) + 0.1 * failure AS impact, 0.4 * sim + 0.25 * in_dep::INT + 0.2 * failure + 0.15 * hashed::INT AS h FROM c)"""
+
+
+def _candidates(orders: DataFrame) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    d = orders.select(k.alias("candidate"), ((F.col("o_totalprice") % 1000) / 1000).alias("sim"), ((c % 7) / 20).alias("failure"), ((c % 10) / 10).alias("pf"), (k % 3 == 0).alias("in_dep"), (k % 5 == 0).alias("hashed"), F.when(k % 3 == 0, k % 4).otherwise(999).alias("depth"))
+    one = lambda x: F.col(x).cast("int")
+    return d.withColumn("impact", scoring.composite(F.col("sim"), one("in_dep"), one("hashed"), F.lit(0.0), F.col("depth"), F.col("failure"))).withColumn("h", scoring.heuristic(F.col("sim"), one("in_dep"), F.col("failure"), one("hashed")))
+
+
+def _decided(orders: DataFrame, dirty: bool) -> DataFrame:
+    d = _candidates(orders)
+    cols = {k: F.col(k) for k in ("sim", "in_dep", "hashed", "depth", "pf", "impact")} | {"always": F.col("failure") >= 0.2}
+    return d.select("candidate", scoring.cascade(cols, F.lit(dirty)).alias("rule"))
+
+
+_query("composite_impact", "orders", sql=f"WITH {_CAND} SELECT candidate, {_r('impact', 'impact')}, {_r('h', 'heuristic_pf')} FROM s")(lambda o: _candidates(o).select("candidate", "impact", F.col("h").alias("heuristic_pf")))
+_query("gatekeeper_3way", "orders", sql=f"WITH {_CAND} SELECT candidate, CASE WHEN h >= 0.6 THEN 'RUN_ALL_TESTS' WHEN h >= 0.35 THEN 'RUN_TEST' ELSE 'PRUNE_TEST' END AS decision FROM s")(
+    lambda o: _candidates(o).select("candidate", scoring.gate(F.col("h")).alias("decision"))
+)
+for _name, _dirty, _thr in (("run_prune_cascade", False, 0.65), ("run_prune_cascade_dirty", True, 0.70)):
+    _query(
+        _name, "orders",
+        sql=f"""WITH {_CAND} SELECT candidate, CASE WHEN failure >= 0.2 THEN 'ALWAYS_RUN' WHEN hashed AND in_dep AND depth <= 1 THEN 'DIRECT_DEPENDENCY' WHEN sim >= {_thr}::DOUBLE THEN 'HIGH_SIMILARITY'
+WHEN in_dep AND sim >= {_thr}::DOUBLE / 2 THEN 'TRANSITIVE_DEP' WHEN pf >= 0.3::DOUBLE THEN 'HIGH_PF' WHEN impact >= 0.15::DOUBLE THEN 'COMPOSITE_IMPACT' ELSE 'PRUNED' END AS rule FROM s""",
+    )(lambda o, dirty=_dirty: _decided(o, dirty))
+
+
+@_query("gbt_scores", "combined_submit")
+def _gbt(c: DataFrame) -> DataFrame:
+    m = telemetry.training_matrix(c)
+    return scoring.score(scoring.fit(m), m)
+
+
+_query("tfidf_embed", "file_ast")(scoring.tfidf)

@@ -14,7 +14,7 @@ def read(spark: SparkSession, path: str, schema) -> DataFrame:
 
 def windowed(runs: DataFrame, late: str = "7 days", width: str = "1 day") -> DataFrame:
     """Runs and failures per repo and window of started_at; a ci_run_id counts once, rows later than ``late`` are dropped."""
-    once = runs.withWatermark("started_at", late).dropDuplicatesWithinWatermark(["ci_run_id"])
+    once = runs.withColumn("started_at", F.col("started_at").cast("timestamp")).withWatermark("started_at", late).dropDuplicatesWithinWatermark(["ci_run_id"])
     failed = F.upper(blanks("test_result")) == "FAILED"
     return once.groupBy(F.window("started_at", width), "repo").agg(F.count("*").alias("n_runs"), F.count_if(failed).alias("n_failures")).select(
         F.col("window.start").alias("window_start"), "repo", "n_runs", "n_failures"
