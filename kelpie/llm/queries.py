@@ -54,7 +54,7 @@ SQL: dict[str, str] = {
     "p2_found": r"SELECT item_id FROM embedding_result WHERE len(regexp_extract_all(coalesce(snippet, ''), '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n]')) > 512",
     "p5_found": """
 WITH good AS (SELECT module_id, CAST(embedding AS DOUBLE[]) AS v, updated_at FROM module_registry WHERE len(embedding) = 64 AND module_id IS NOT NULL
-  AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 vec AS (SELECT module_id, arg_max(v, updated_at) AS v FROM good GROUP BY module_id),
 near AS (SELECT a.module_id AS a, b.module_id AS b, list_cosine_similarity(a.v, b.v) AS c FROM vec a JOIN vec b ON a.module_id <> b.module_id),
 top AS (SELECT a, b FROM near QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) <= 10 AND c >= 0.85)
