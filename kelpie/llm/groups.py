@@ -44,8 +44,8 @@ def test_key(c: str) -> Column:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node connected to each node of ``edges`` (u, v, both bigint, self edges allowed).
 
-    Each round points every node at its smallest neighbour, jumps pointers twice, and contracts the edges along the
-    pointers, which at least halves the nodes of every unfinished component. Minima are pre-aggregated before the
+    Each round points every node at its smallest neighbour, jumps pointers until each reaches a root, and contracts
+    the edges to the roots, which at least halves the nodes of every unfinished component. Minima are pre-aggregated before the
     shuffle and pointer lookups are salted, so a node that touches a third of all edges is no bottleneck. An empty
     table gives an empty table.
     """
@@ -54,10 +54,12 @@ def components(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.union(edges.select("v", "u"))
         point = cut(both.groupBy("u").agg(F.min("v").alias("p")).filter("p < u"))
-        for _ in range(2):
+        while True:  # doubles the reach of every pointer, so a chain of n nodes takes log2(n) jumps
             nxt = point.select(F.col("u").alias("p"), F.col("p").alias("p2"))
-            point = lookup(point, nxt, "p").select("u", F.coalesce("p2", "p").alias("p"))
-        point = cut(point)
+            jumped = cut(lookup(point, nxt, "p").select("u", F.coalesce("p2", "p").alias("p"), F.col("p2").isNotNull().alias("moved")))
+            point = jumped.select("u", "p")
+            if jumped.filter("moved").isEmpty():
+                break
         to = lambda df, c: lookup(df, point.select(F.col("u").alias(c), F.col("p").alias("__p")), c).withColumn(c, F.coalesce("__p", c)).drop("__p")
         labels = cut(to(labels, "label"))
         moved = to(to(edges, "u"), "v").filter("u <> v")

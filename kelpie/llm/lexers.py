@@ -68,6 +68,9 @@ def _role(lang: str, opener: str, stmt: list[str], prev: str, outer: str) -> str
             return "params"
         return "args"
     if lang == "java":
+        # the body of an enum constant
+        if outer == "enum" and (stmt[-2:] == ["i", "("] and stmt[-3:-2] in ([], [","]) or stmt[-1:] == ["i"] and stmt[-2:-1] in ([], [","])):
+            return "class"
         if any(w in stmt for w in ("class", "interface")) or head == "enum" or "enum" in stmt or "record" in stmt[:-1] and outer in ("top", "class") or len(stmt) > 2 and prev == "(" and "new" in stmt[-4:]:
             return "enum" if "enum" in stmt else "class"
         if "switch" in stmt and prev == "(":
@@ -189,14 +192,14 @@ def _clike(text: str, lang: str) -> list[Token]:
             sym = tok
         out.append((sym, 0, ""))
         prev = sym
-        if sym == ";" or sym == "," and outer in ("args", "object", "index", "init", "lit"):
+        if sym == ";" and lang == "go" and stmt and stmt[0] in ("if", "for", "switch", "else"):
+            stmt.append(sym)  # part of the header
+        elif sym == ";" or sym == "," and outer in ("args", "object", "index", "init", "lit"):
             stmt = []
         elif sym == ":" and stmt and stmt[0] in ("case", "default") and lang != "js":
             stmt = []
         else:
             stmt.append(sym)
-        if lang == "js" and prev == ")" :
-            prev = ")"
     if lang == "go" and prev in _GO_ENDS:
         out.append((";", 0, ""))
     return out

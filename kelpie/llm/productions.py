@@ -595,9 +595,13 @@ class _Parser:
     def java_switch(self) -> None:
         while not self.done():
             if self.take("case"):
-                self.expr() if not self.attempt(lambda: (self.type(), self.need("i"))) else None
-                while self.take(","):
-                    self.expr()
+                while True:
+                    if self.peek() == "i" and self.peek(1) in ("->", ":", ","):
+                        self.next()
+                    elif not self.attempt(lambda: (self.type(), self.need("i"))):
+                        self.expr()
+                    if not self.take(","):
+                        break
             else:
                 self.need("default")
             arrow = self.need(":", "->") == "->"
@@ -1021,6 +1025,10 @@ class _Parser:
             raise _Bad
 
     def go_args(self) -> None:
+        if self.t == ["type"]:  # of a type switch
+            self.next()
+            return
+
         def one() -> None:
             if not self.attempt(lambda: (self.expr(), self.take("..."), self.stop())):
                 self.go_type()
