@@ -3,7 +3,8 @@
 Long texts are cut into overlapping chunks that are pre-tokenised in parallel. Two neighbouring chunks are stitched
 at the first position in their overlap where both see a pre-token begin; from there on both scans agree, as a
 pre-token depends only on the text that follows its start. The pieces between stitches are then encoded in parallel
-and their ids joined. Where an overlap holds no such position the chunks are encoded as one piece.
+and their ids joined. A text with an overlap that holds no such position (a pre-token as long as the overlap) is encoded
+as one piece.
 """
 
 from __future__ import annotations
@@ -62,7 +63,7 @@ def token_counts(documents: DataFrame, keep: list[str], folder: str = TOKENIZERS
     return _encoded(documents, keep, "n_tokens", folder, name)
 
 
-_STARTS = regex.compile(PATTERN)
+_STARTS, _SPACE = regex.compile(PATTERN), regex.compile(r"\s")
 
 
 def _starts(batches: Iterator[pa.RecordBatch], overlap: int) -> Iterator[pa.RecordBatch]:
@@ -70,7 +71,8 @@ def _starts(batches: Iterator[pa.RecordBatch], overlap: int) -> Iterator[pa.Reco
     for b in batches:
         head, tail = [], []
         for text, at, last in zip(b.column("text").to_pylist(), b.column("at").to_pylist(), b.column("last").to_pylist()):
-            pos = [m.start() for m in _STARTS.finditer(text)]
+            # not behind white space, whose pre-token also depends on the character that follows it
+            pos = [m.start() for m in _STARTS.finditer(text) if m.start() and not _SPACE.match(text, m.start() - 1)]
             sure = len(text) - (0 if last else min(_EDGE, overlap // 4))
             head.append([at + p for p in pos if p < overlap and p < sure])
             tail.append([at + p for p in pos if len(text) - overlap <= p < sure])
@@ -87,7 +89,9 @@ def _pieces(long: DataFrame, chunk: int, overlap: int) -> DataFrame:
     by = Window.partitionBy("doc").orderBy("no")
     sync = F.array_min(F.filter(F.array_intersect("head", F.lag("tail").over(by)), lambda p: p > F.col("at")))
     marks = seen.select("doc", "no", F.when(F.col("no") == 0, 0).otherwise(sync).alias("start"))
-    starts = marks.filter("start IS NOT NULL").groupBy("doc").agg(F.sort_array(F.collect_list("start")).alias("starts"))
+    # a chunk that never meets its neighbour leaves all that follow unproven: such a text is encoded whole
+    met = F.count("start") == F.count("*")
+    starts = marks.groupBy("doc").agg(F.when(met, F.sort_array(F.collect_list("start"))).otherwise(F.array(F.lit(0))).alias("starts"))
     text = long.join(starts, "doc")
     ends = F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.length("text")))
     spans = F.arrays_zip(F.col("starts").alias("s"), ends.alias("e"))
