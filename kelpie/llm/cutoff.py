@@ -10,6 +10,9 @@ storage limit. Endings are then inspected against statistics of the whole corpus
 * a subject or other line without a full stop is whole if its last words usually end such lines;
 * prose ends in a full stop or the like, unless the point belongs to a number or an abbreviation.
 
+Copies are no evidence for one another: limits and statistics count each distinct text once, and a text is judged by
+statistics from which its own last line is taken.
+
 A mark left at the cut ("...") makes nothing whole, except after words that are always followed by it. Where an ending
 leaves both open, a length exactly at a hidden limit decides.
 """
@@ -28,11 +31,15 @@ from pyspark.sql.window import Window
 
 from kelpie.common import blanks, cut, lookup
 
+_GROUP = ["source", "hash", "at_limit"]  # what copies have in common
 MEASURES = ("chars", "bytes", "utf16", "html", "json", "crlf")
 SPIKE, RATIO, NEAR = 5, 8.0, 12  # a limit holds at least 5 texts and 8 times the mean of the 12 lengths on either side
 _FEW_SOURCES = 10_000  # limits of up to so many sources are broadcast
 ENDS = 0.3  # share of a word's occurrences that end a line, from which the word counts as an ending
 
+_BY_SOURCE = re.compile(r"(?:subject|prose)\d|last2?")  # types of statistics that are kept per source
+_OWN = re.compile(r"(?:subject|prose)\d|last2?|lastall|head|form|marked")  # types that a text's own last line feeds
+
 _WORD = re.compile(r"\d+(?:[.,:]\d+)*[^\W_]*|(?=[^\W\d_]+\d)[^\W_]+|[^\W\d_]+(?:'[^\W\d_]+)*|\S")
 _FORMAT = re.compile("[\u200b-\u200f\u2060\ufeff\u00ad]")
 _ANSI = re.compile(r"\x1b\[[0-9;]*m?|\x1b$")
@@ -80,10 +87,12 @@ def _lines(text: str, source: str) -> Iterator[tuple[str, str, bool]]:
         yield rows[i], _kind(rows[i], i == full[0], alone, log or bool(_LOG.match(rows[i])) and len(full) > 3 and bool(_LOG.match(rows[full[0]]))), i == full[-1]
 
 
-def _count(text: str, source: str, any_: Counter, end: Counter, at_limit: bool) -> None:
-    """Counts of one text; the end of a text at a storage limit is no example of how lines end."""
+def _count(text: str, source: str, any_: Counter, end: Counter, at_limit: bool, own: bool = False) -> None:
+    """Counts of one text, or of its last line if ``own``; the end of a text at a storage limit is no example of how lines end."""
     text = _plain(text)
     for line, kind, last in _lines(text, source):
+        if own and not last:
+            continue
         toks = [_mask(t) for t in _WORD.findall(_MARK.sub("", line) if last else line)]
         if not toks:
             continue
@@ -137,8 +146,14 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     for b in batches:
-        for text, source, at_limit in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            _count(text, source or "", any_, end, at_limit)
+        for text, source, at_limit, lead, near in zip(*(b.column(c).to_pylist() for c in ("text", "source", "at_limit", "lead", "near"))):
+            if lead:
+                _count(text, source, any_, end, at_limit)
+            elif near:  # counted under another source; here only what is kept per source
+                some, ends = Counter(), Counter()
+                _count(text, source, some, ends, at_limit)
+                any_.update({k: n for k, n in some.items() if _BY_SOURCE.fullmatch(k[0])})
+                end.update({k: n for k, n in ends.items() if _BY_SOURCE.fullmatch(k[0])})
             if len(any_) > 200_000:
                 yield flush()
                 any_.clear(), end.clear()
@@ -150,8 +165,26 @@ def _last(source: str, toks: list[str]) -> list[tuple[str, str]]:
     return one + ([("last2", f"{source} {toks[-2]} {toks[-1]}")] if len(toks) > 1 else [])
 
 
-def _ending(text: str, source: str) -> dict:
-    """What the end of a text shows by itself, and the keys under which the corpus tells more."""
+def _own(text: str, source: str, here: bool, home: str, home_limit: bool):
+    """A function of a key: what the text's own last line added to its counts, (n_end, n_any)."""
+    near = Counter(), Counter()
+    _count(text, source, *near, here, True)
+    far = near
+    if (home, home_limit) != (source, here):
+        far = Counter(), Counter()
+        _count(text, home, *far, home_limit, True)
+
+    def of(key: tuple[str, str]) -> tuple[int, int]:
+        if not _OWN.fullmatch(key[0]):
+            return 0, 0
+        any_, end = near if _BY_SOURCE.fullmatch(key[0]) else far
+        return end[key], any_[key]
+
+    return of
+
+
+def _ending(text: str, source: str, own) -> dict:
+    """What the end of a text shows by itself, and the keys under which the corpus tells more, with the text's own share."""
     text = _plain(text)
     mark = bool(_MARK.search(text))
     body = _MARK.sub("", text)
@@ -195,15 +228,16 @@ def _ending(text: str, source: str) -> dict:
     if last and last[0].isalpha() and sure is None:
         scope = "log" if kind == "log" else "text"
         keys += [("word", f"{scope} {last}"), ("prefix", f"{scope} {last}")]
-    return {"kind": kind, "mark": mark, "sure": sure, "last": last, "terminal": bool(_TERMINAL.search(stripped)) and not mark, "keys": [{"type": a, "key": b} for a, b in dict.fromkeys(keys)]}
+    return {"kind": kind, "mark": mark, "sure": sure, "last": last, "terminal": bool(_TERMINAL.search(stripped)) and not mark, "keys": [{"type": k[0], "key": k[1], "own_end": (o := own(k))[0], "own_any": o[1]} for k in dict.fromkeys(keys)]}
 
 
 def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [_ending(t, s or "") for t, s in zip(b.column("text").to_pylist(), b.column("source").to_pylist())]
+        rows = [_ending(t, s, _own(t, s, *o)) for t, s, *o in zip(*(b.column(c).to_pylist() for c in ("text", "source", "here", "home", "home_limit")))]
+        key = pa.struct([("type", pa.string()), ("key", pa.string()), ("own_end", pa.int64()), ("own_any", pa.int64())])
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("source"), b.column("at_limit"), *(pa.array([r[c] for r in rows], t) for c, t in (("kind", pa.string()), ("mark", pa.bool_()), ("sure", pa.string()), ("last", pa.string()), ("terminal", pa.bool_()), ("keys", pa.list_(pa.struct([("type", pa.string()), ("key", pa.string())])))))],
-            names=["doc_id", "source", "at_limit", "kind", "mark", "sure", "last", "terminal", "keys"],
+            [*(b.column(c) for c in _GROUP), *(pa.array([r[c] for r in rows], t) for c, t in (("kind", pa.string()), ("mark", pa.bool_()), ("sure", pa.string()), ("last", pa.string()), ("terminal", pa.bool_()), ("keys", pa.list_(key))))],
+            names=[*_GROUP, "kind", "mark", "sure", "last", "terminal", "keys"],
         )
 
 
@@ -227,7 +261,11 @@ def lengths():
 
 def limits(documents: DataFrame) -> DataFrame:
     """(source, measure, length, n): hidden storage limits, the lengths that hold far more texts than their neighbours."""
-    counts = documents.select("source", F.inline(lengths())).groupBy("source", "measure", "length").agg(F.count("*").alias("n"))
+    return _limits(documents.select("source", lengths().alias("lengths")))
+
+
+def _limits(texts: DataFrame) -> DataFrame:
+    counts = texts.select("source", F.inline("lengths")).groupBy("source", "measure", "length").agg(F.count("*").alias("n"))
     near = Window.partitionBy("source", "measure").orderBy("length").rangeBetween(-NEAR, NEAR)
     mean = (F.sum("n").over(near) - F.col("n")) / (2 * NEAR)
     return counts.withColumn("mean", mean).filter((F.col("n") >= SPIKE) & (F.col("n") >= RATIO * F.col("mean"))).select("source", "measure", "length", "n")
@@ -238,30 +276,46 @@ def _texts(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", source.alias("source"), "text").filter(F.col("text").rlike(r"(?U)[^\s\u200b-\u200f\u2060\ufeff]") & F.col("doc_id").isNotNull())
 
 
+def _hash():
+    """The same for copies, whatever ``_plain`` takes away."""
+    t = F.regexp_replace("text", r"\x1b\[[0-9;]*m?|\x1b$|[\u200b-\u200f\u2060\ufeff\u00ad]", "")
+    return F.sha2(F.regexp_replace(F.translate(t, "\u00a0", " "), r"(?U)\s+$", ""), 256)
+
+
 def inspect(documents: DataFrame) -> DataFrame:
     """doc_id, source, reason (null for a whole text), at_limit; null, empty and blank texts and null ids are left out.
 
     Reads doc_id, text, source; sources are compared without case and outer blanks. A repeated doc_id is judged once,
-    by any of its rows. Corpus statistics count all texts; keys of any frequency are summed before the shuffle.
+    by any of its rows. Limits and corpus statistics count every distinct text once, and copies of a source are judged
+    together, so a text that holds a third of the rows costs and tells as much as one; keys of any frequency are summed
+    before the shuffle.
     """
-    plain = _texts(documents)
-    held = cut(limits(plain).groupBy("source").agg(F.collect_set(F.struct("measure", "length")).alias("limits")))
+    plain = _texts(documents).withColumn("hash", _hash()).withColumn("lengths", lengths())
+    held = cut(_limits(plain.select("source", "hash", "lengths").distinct()).groupBy("source").agg(F.collect_set(F.struct("measure", "length")).alias("limits")))
     held = F.broadcast(held) if held.count() <= _FEW_SOURCES else held
-    at = F.coalesce(F.arrays_overlap(lengths(), "limits"), F.lit(False))
-    texts = plain.join(held, "source", "left").select("doc_id", "source", "text", at.alias("at_limit"))
-    stats = cut(texts.select("text", "source", "at_limit").mapInArrow(_stats, "type string, key string, n_end long, n_any long").groupBy("type", "key").agg(F.sum("n_end").alias("n_end"), F.sum("n_any").alias("n_any")))
+    at = F.coalesce(F.arrays_overlap("lengths", "limits"), F.lit(False))
+    rows = plain.join(held, "source", "left").select("doc_id", "source", "hash", at.alias("at_limit"), "text")
+    # a text counts once per source for what is kept per source, and once, under its first source, for all else
+    first = F.min(F.struct("source", "at_limit")).over(Window.partitionBy("hash"))
+    here = F.min("at_limit").over(Window.partitionBy("hash", "source"))
+    texts = rows.groupBy(*_GROUP).agg(F.min("text").alias("text")).select("*", first.alias("first"), here.alias("here"))
+    texts = cut(texts.select(*_GROUP, "text", "here", F.col("first.source").alias("home"), F.col("first.at_limit").alias("home_limit")))
+    near = F.col("at_limit") == F.col("here")
+    counted = texts.select("text", "source", "at_limit", (near & (F.col("source") == F.col("home"))).alias("lead"), near.alias("near"))
+    stats = cut(counted.mapInArrow(_stats, "type string, key string, n_end long, n_any long").groupBy("type", "key").agg(F.sum("n_end").alias("n_end"), F.sum("n_any").alias("n_any")))
     words = stats.filter("type = 'vocabulary'").select("key", "n_any")
     cuts = F.sequence(F.lit(1), F.least(F.length("key") - 1, F.lit(32)))
     longer = words.select(F.explode(F.transform(cuts, lambda i: F.substring("key", F.lit(1), i))).alias("key"), "n_any")
     prefixes = longer.groupBy("key").agg(F.sum("n_any").alias("n_any")).select(F.lit("prefix").alias("type"), "key", F.lit(0).cast("long").alias("n_end"), "n_any")
-    ends = cut(texts.mapInArrow(_endings, "doc_id long, source string, at_limit boolean, kind string, mark boolean, sure string, last string, terminal boolean, keys array<struct<type string, key string>>"))
-    asked = ends.select("doc_id", F.inline("keys"))
+    ends = cut(texts.mapInArrow(_endings, "source string, hash string, at_limit boolean, kind string, mark boolean, sure string, last string, terminal boolean, keys array<struct<type string, key string, own_end long, own_any long>>"))
+    asked = ends.select(*_GROUP, F.inline("keys"))
     known = lookup(asked, stats.union(prefixes), ["type", "key"], "inner")
-    facts = known.groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("type", F.struct("n_end", "n_any").alias("v")))).alias("f"))
-    e = ends.dropDuplicates(["doc_id"]).join(facts, "doc_id", "left")
+    v = F.struct((F.col("n_end") - F.col("own_end")).alias("n_end"), (F.col("n_any") - F.col("own_any")).alias("n_any"))
+    facts = known.groupBy(*_GROUP).agg(F.map_from_entries(F.collect_set(F.struct("type", v.alias("v")))).alias("f"))
+    e = ends.join(facts, _GROUP, "left")
     n = lambda t, c="n_any": F.coalesce(F.col("f")[t][c], F.lit(0))
-    e = e.withColumn("reason", _reason(n))
-    return e.select("doc_id", "source", "kind", "reason", "at_limit")
+    judged = e.withColumn("reason", _reason(n)).select(*_GROUP, "kind", "reason")
+    return lookup(rows.select("doc_id", *_GROUP), judged, _GROUP, "inner").dropDuplicates(["doc_id"]).select("doc_id", "source", "kind", "reason", "at_limit")
 
 
 def _reason(n):

@@ -321,3 +321,14 @@ def test_limits_are_found(spark):
     t = [("x" * int(n)) for n in r.integers(10, 900, 300)] + ["é" * 250] * 9 + ["y" * 500] * 9
     d = spark.createDataFrame([(i, x, "s") for i, x in enumerate(t)], "doc_id long, text string, source string")
     assert ("bytes", 500, 18) in {(r.measure, r.length, r.n) for r in cutoff.limits(d).collect()}
+
+
+def test_copies_of_a_cut_text_are_no_evidence(spark):
+    whole = [f"The gate kept {i} of the {w} tests. We skip the {w} suite when nothing changes." for i in range(12) for w in ("north", "south", "east", "west", "middle")]
+    t = [(i, x, "body") for i, x in enumerate(whole)]
+    cuts = ["Zebra runs are slow. We skip the", "Yaks run {} of the tests. We kept …", "Xenon lamps of the suite. We skip when the"]
+    t += [(900 + 10 * k + i, x + " " * (i % 2), ("body", "title")[k == 2 and i % 2]) for k, x in enumerate(cuts) for i in range(8)]
+    d = spark.createDataFrame(t, "doc_id long, text string, source string")
+    assert {r.doc_id for r in cutoff.found(d).collect()} == {900 + 10 * k + i for k in range(3) for i in range(8)}
+    hot = spark.createDataFrame([(i, "One text that is stored again and again.", "s") for i in range(50)] + [(100 + i, "y" * (20 + i) + ".", "s") for i in range(9)], "doc_id long, text string, source string")
+    assert cutoff.inspect(hot).filter("at_limit").count() == 0
