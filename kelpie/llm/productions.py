@@ -1182,6 +1182,8 @@ def valid_python_line(line: str) -> bool:
         try:
             ast.parse(text if not (first == "match" and text.endswith("case a : pass")) else line + "\n case a : pass")
             return True
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
+        except (SyntaxError, ValueError):
             continue
+        except (RecursionError, MemoryError):
+            return True  # too deep to tell
     return False

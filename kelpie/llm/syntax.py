@@ -8,7 +8,9 @@ Files are lexed into rows, one per token (one per logical line for Python). Thre
    (or Python line) of the corpus is derived once from the productions of its role and joined back. For Python,
    windows over neighbouring lines check blocks (indents, clauses, decorators).
 
-Python files found this way are then confirmed by the parser of the running Python, an exact check on those files only.
+For Python the pair check is left out, and the checks on lines only name a reason: they do not see fields of long f-strings,
+escapes or what a match holds. The parser of the running Python judges every Python file; where it gives up for
+depth, which is no syntax error, the checks on lines decide.
 """
 
 from __future__ import annotations
@@ -185,14 +187,17 @@ def _line_faults(tok: DataFrame) -> DataFrame:
 def _rejected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     warnings.simplefilter("ignore")
     for b in batches:
-        bad = []
+        sure = []
         for text in b.column(1).to_pylist():
             try:
                 ast.parse(text.lstrip("﻿"))
-                bad.append(False)
-            except (SyntaxError, ValueError, RecursionError, MemoryError):
-                bad.append(True)
-        yield b.select([0]).filter(pa.array(bad, pa.bool_()))
+                sure.append(None)
+            except (SyntaxError, ValueError):
+                sure.append(True)
+            except (RecursionError, MemoryError):
+                sure.append(False)
+        out = pa.RecordBatch.from_arrays([b.column(0), pa.array(sure, pa.bool_())], names=["file_id", "sure"])
+        yield out.filter(out.column(1).is_valid())
 
 
 def faults(files: DataFrame) -> DataFrame:
@@ -210,9 +215,10 @@ def faults(files: DataFrame) -> DataFrame:
     found = lexical.union(_pair_faults(tok)).union(_group_faults(whole))
     flagged = found.groupBy("file_id").agg(F.min("fault").alias("reason"))
     maybe = _line_faults(tok).groupBy("file_id").agg(F.min("fault").alias("reason"))
-    suspects = files.filter(language(F.col("file_path")) == "python").join(maybe.select("file_id"), "file_id", "left_semi")
-    sure = suspects.select("file_id", "source_text").mapInArrow(_rejected, "file_id long").distinct()
-    out = flagged.union(maybe.join(sure, "file_id", "left_semi"))
+    python = files.filter((language(F.col("file_path")) == "python") & F.col("source_text").isNotNull() & F.col("file_id").isNotNull())
+    judged = python.select(F.col("file_id").cast("long").alias("file_id"), "source_text").mapInArrow(_rejected, "file_id long, sure boolean").groupBy("file_id").agg(F.max("sure").alias("sure"))
+    refused = judged.join(maybe, "file_id", "left").filter("sure OR reason IS NOT NULL").select("file_id", F.coalesce("reason", F.lit("rejected by the parser")).alias("reason"))
+    out = flagged.union(refused)
     return files.select("file_id", language(F.col("file_path")).alias("lang")).dropDuplicates(["file_id"]).join(out, "file_id")
 
 

@@ -69,6 +69,12 @@ def test_deep_and_long_files(spark):
     assert 1 not in got and 3 not in got and 2 in got
 
 
+def test_python_faults_inside_tokens_and_blocks(spark):
+    bad = ['x = f"""{a b}"""\n', "x = '\\x1'\n", "x = b'\u00e9'\n", "case a:\n    pass\n", "match a:\n    case 1:\n        pass\n    x = 1\n"]
+    good = ['x = f"""{a + b}"""\n', "x = '\\x11'\n", "match a:\n    case 1:\n        pass\n", "x = " + "-" * 20_000 + "1\n"]
+    assert {r.file_id for r in syntax.found(files(spark, [("a.py", t) for t in bad + good])).collect()} == set(range(len(bad)))
+
+
 # -- 2
 
 TOK = re.compile(r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n]")
