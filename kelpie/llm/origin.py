@@ -7,7 +7,8 @@ that no rule compresses; tables of data are nearly all literals. Across files, p
 copies of other projects' files, patched or not.
 
 Only the code counts: file names, directories and comments that merely mention generated files have no influence, except
-that a leading comment may attribute the file to an upstream project whose files are found in several repositories.
+that a leading comment may attribute the file to an upstream project, not the repository's own, if it names the upstream's
+release or files of two or more other repositories bear the name.
 """
 
 from __future__ import annotations
@@ -37,9 +38,10 @@ _NUMBER = re.compile(r"\b\d[\d._]*\b")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]")
 _WORD = re.compile(r"[A-Za-z_]\w*|\d+|[^\s\w]")
 # Phrases by which a leading comment attributes a file to an upstream project.
+_LEADING = re.compile(r"\ufeff?(?:\s+|#[^\r\n]*|//[^\r\n]*|/\*[\s\S]*?\*/)*+")
 _UPSTREAM = re.compile(r"(?:\(c\) the (\w+) contributors|this file is part of (\w+), version|copyright (?:\(c\) )?\d{4}(?:-\d{4})? the (\w+) project)", re.I)
 
-_SCHEMA = "file_id long, repo string, n_tokens int, reuse double, ratio double, literals double, literal_chars int, longest int, blank double, upstream string, phrases array<long>"
+_SCHEMA = "file_id long, repo string, n_tokens int, reuse double, ratio double, literals double, literal_chars int, longest int, blank double, upstream string, release boolean, phrases array<long>"
 
 
 def _phrases(words: list[str], cache: dict[str, int]) -> np.ndarray:
@@ -81,7 +83,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _measure(b: pa.RecordBatch, texts: list[str], cache: dict[str, int]) -> pa.RecordBatch:
     n = len(texts)
-    syms, lit, longest, blank, up, phrases = [], [], [], [], [], []
+    syms, lit, longest, blank, up, release, phrases = [], [], [], [], [], [], []
     for t in texts:
         strings = sum(map(len, _STRING.findall(t)))
         plain = _STRING.sub(" s ", t)
@@ -91,8 +93,9 @@ def _measure(b: pa.RecordBatch, texts: list[str], cache: dict[str, int]) -> pa.R
         longest.append(max(map(len, re.split(r"[\r\n]+", t))))
         solid = len("".join(t.split()))
         blank.append((solid, len(t)))
-        m = _UPSTREAM.search(t[:600])
+        m = _UPSTREAM.search(head := re.sub(r"[\s*#/]+", " ", _LEADING.match(t).group()))
         up.append(next((g.lower() for g in m.groups() if g), None) if m else None)
+        release.append(bool(m) and re.search(rf"\b{up[-1]},? (?:version )?v?\d+\.\d", head, re.I) is not None)
         phrases.append(_phrases(_WORD.findall(t), cache))
     fid = np.repeat(np.arange(n), [len(s) for s in syms])
     sym = np.concatenate(syms)
@@ -105,7 +108,7 @@ def _measure(b: pa.RecordBatch, texts: list[str], cache: dict[str, int]) -> pa.R
     solid = np.array([max(s, 1) for s, _ in blank])
     space = np.array([1 - s / max(total, 1) for s, total in blank])
     lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(p) for p in phrases])], pa.int32()), pa.array(np.concatenate(phrases)))
-    cols = [b.column("file_id"), b.column("repo"), pa.array(size.astype(np.int32)), pa.array(reuse), pa.array(ratio), pa.array(np.array(lit) / solid), pa.array(np.array(lit, np.int32)), pa.array(np.array(longest, np.int32)), pa.array(space), pa.array(up, pa.string()), lists]
+    cols = [b.column("file_id"), b.column("repo"), pa.array(size.astype(np.int32)), pa.array(reuse), pa.array(ratio), pa.array(np.array(lit) / solid), pa.array(np.array(lit, np.int32)), pa.array(np.array(longest, np.int32)), pa.array(space), pa.array(up, pa.string()), pa.array(release, pa.bool_()), lists]
     return pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in _SCHEMA.split(", ")])
 
 
@@ -129,10 +132,15 @@ def judge(modules: DataFrame, files: DataFrame) -> DataFrame:
     common = phrases.groupBy("phrase").agg(F.min("repo").alias("a"), F.max("repo").alias("b")).filter("a <> b").select("phrase")
     hits = lookup(phrases, common, "phrase", "inner").groupBy("file_id").agg(F.count("*").alias("n_shared"))
     j = f.join(hits, "file_id", "left").withColumn("shared", F.coalesce(F.col("n_shared") / F.size("phrases"), F.lit(0.0)))
+    # a project's own header names no release of it, and is not found in other repositories
+    elsewhere = f.filter(F.element_at(F.split(F.lower("repo"), "/"), -1) != F.col("upstream"))
+    spread = elsewhere.groupBy("upstream").agg(F.min("repo").alias("a"), F.max("repo").alias("b")).filter("a <> b").select("upstream", F.lit(True).alias("spread"))
+    own = F.element_at(F.split(F.lower("repo"), "/"), -1) == F.col("upstream")
+    j = lookup(j, spread, "upstream").withColumn("attributed", F.coalesce((F.col("release") | F.coalesce("spread", F.lit(False))) & ~own, F.lit(False)))
     enough = F.col("n_tokens") >= MIN_TOKENS
     data = (F.col("literals") >= LITERALS) & (F.col("literal_chars") >= LITERAL_CHARS)
     minified = enough & (F.col("longest") >= LINE) & (F.col("ratio") < COMPRESSED) & (F.col("blank") < BLANK)
-    copied = enough & ((F.col("shared") >= SHARED) & (F.size("phrases") >= FEWEST) | F.col("upstream").isNotNull())
+    copied = enough & ((F.col("shared") >= SHARED) & (F.size("phrases") >= FEWEST) | F.col("attributed"))
     kind = F.when(data, "data").when(minified, "minified").when(enough & (F.col("reuse") >= REUSE) & (F.col("ratio") <= SMALL), "generated").when(copied, "vendored").otherwise("hand")
     return j.select(F.col("file_id").alias("module_id"), "repo", kind.alias("kind"), "shared", "n_tokens", "reuse", "ratio", "literals", "literal_chars", "longest", "blank", "upstream", F.size("phrases").alias("n_phrases"))
 

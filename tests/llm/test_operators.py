@@ -205,6 +205,16 @@ def test_origin_kinds(spark):
     assert origin.not_by_hand(m.limit(0), f).count() == 0 and origin.not_by_hand(m, f.limit(0)).count() == 0
 
 
+def test_attributions_need_several_repositories(spark):
+    body = "\n".join(f"def {w}(a):\n    return a.{w[::-1]} {o} {i}" for i, (w, o) in enumerate(itertools.product(("load", "save", "scan", "trim"), ("+", "*"))))
+    other = body.replace("load", "left").replace("save", "keep").replace("trim", "snip").replace("return a", "yield b")
+    long = ("# " + "licence" * 20 + "\n") * 5
+    t = [("r/own", "# Copyright 2021 the Mine project\n" + body), ("r/gen", 'HEAD = "Copyright 2021 the Far project"\n' + body.replace("a", "q")), ("r/x", long + "# Copyright 2021\n# the Far project\n" + other), ("r/y", "# Copyright 2020 the Far project\n" + other.replace("b", "z").replace("def", "async def")), ("r/far", "# Copyright 2020 the Far project\n" + body.replace("return", "raise"))]
+    f = spark.createDataFrame([(i, *r) for i, r in enumerate(t)], "file_id long, repo string, source_text string")
+    got = {r.module_id: r.kind for r in origin.judge(f.select(F.col("file_id").alias("module_id")), f).collect()}
+    assert got == {0: "hand", 1: "hand", 2: "vendored", 3: "vendored", 4: "hand"}
+
+
 # -- 5
 
 
