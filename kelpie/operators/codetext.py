@@ -103,10 +103,12 @@ def touched(functions: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def embedded_diffs(documents: DataFrame) -> DataFrame:
-    """(id, diff): the fenced diffs of texts, put behind a file header."""
-    d = F.regexp_extract("text", r"(?s)```diff\r?\n(.*?)```", 1)
-    body = F.when(d != "", d).otherwise(F.regexp_extract("text", r"(?s)```\w*\r?\n((?:---|@@|\+\+\+|diff ).*?)```", 1))
-    return documents.select(F.col("doc_id").alias("id"), body.alias("diff")).filter("diff <> ''")
+    """(id, diff): every fenced diff of a text, with id = (doc_id, block), block from 0: fences named diff, and others that begin like a diff."""
+    fences = F.regexp_extract_all("text", F.lit(r"(?s)(?:```diff|(?m:^)[ \t]*```[^\r\n`]*)\r?\n.*?```"), F.lit(0))
+    parts = F.transform(fences, lambda x: F.struct(F.regexp_extract(x, r"(?s)^[ \t]*```([^\r\n]*)\r?\n(.*?)```$", 1).alias("named"), F.regexp_extract(x, r"(?s)^[^\n]*\n(.*?)```$", 1).alias("diff")))
+    kept = F.filter(parts, lambda x: (x["diff"] != "") & ((x["named"] == "diff") | x["diff"].rlike(r"^(?:---|@@|\+\+\+|diff )")))
+    rows = documents.select("doc_id", F.posexplode(kept).alias("block", "part"))
+    return rows.select(F.struct("doc_id", "block").alias("id"), "part.diff")
 
 
 def impact(documents: DataFrame) -> DataFrame:

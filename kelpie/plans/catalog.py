@@ -281,8 +281,8 @@ _query(
     "impact_keywords", "documents",
     sql=f"SELECT doc_id, n AS n_words, CASE WHEN n >= 3 THEN 'HIGH' WHEN n >= 1 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM (SELECT doc_id, {_WORDS} AS n FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents))",
 )(codetext.impact)
-_query("diff_lines", "documents")(lambda d: codetext.diff_lines(codetext.embedded_diffs(d)))
-_query("diff_files", "documents")(lambda d: codetext.diff_files(codetext.diff_lines(codetext.embedded_diffs(d))))
+_query("diff_lines", "documents")(lambda d: codetext.diff_lines(codetext.embedded_diffs(d)).select(F.col("id.doc_id").alias("id"), "id.block", "file_path", "op", "hunk", "line", "text"))
+_query("diff_files", "documents")(lambda d: codetext.diff_files(codetext.diff_lines(codetext.embedded_diffs(d))).select(F.col("id.doc_id").alias("id"), "id.block", "file_path", "n_added", "n_removed", "n_net"))
 _query("python_functions", "file_ast")(codetext.python_functions)
 _query("call_edges", "file_ast")(lambda f: codetext.call_edges(codetext.python_functions(f)))
 

@@ -100,6 +100,14 @@ def test_diff_lines(spark):
     assert [r.name for r in codetext.touched(fn, lines).collect()] == ["f"]
 
 
+def test_every_fenced_diff(spark):
+    body = "--- a/{0}\n+++ b/{0}\n@@ -1 +1 @@\n-x\n+y\n"
+    text = "\n".join(f"see\n```{n}\n{b}```" for n, b in (("diff", body.format("a")), ("py", "x = 1\n"), ("", body.format("b")), ("diff", body.format("c"))))
+    d = codetext.embedded_diffs(spark.createDataFrame([(7, text), (8, None), (9, "no fence")], "doc_id long, text string"))
+    got = codetext.diff_files(codetext.diff_lines(d)).collect()
+    assert {(r.id.doc_id, r.id.block, r.file_path, r.n_added, r.n_removed) for r in got} == {(7, 0, "a", 1, 1), (7, 1, "b", 1, 1), (7, 2, "c", 1, 1)}
+
+
 def test_python_functions_and_calls(spark):
     src = "class A:\n    def f(self, x):\n        return g(x) if x else 0\n\n@d\nasync def g(y):\n    for i in y:\n        h(i)\n"
     d = spark.createDataFrame([(1, "a.py", src), (2, "b.py", "def broken(:"), (3, "c.py", None)], "file_id long, file_path string, source_text string")
