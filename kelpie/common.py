@@ -65,7 +65,7 @@ def lookup(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "l
 
 def blanks(c: Column) -> Column:
     """The value without outer blanks (spaces, tabs, line ends)."""
-    return F.regexp_replace(c, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
+    return F.trim(c, F.lit(" \t\r\n"))
 
 
 def even(c: Column, digits: int = 6) -> Column:
