@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LIMIT, OVERLAP = 512, 32
+_BLOCK = 64
 TOKEN = r"(?:[A-Za-z0-9_]++|[^A-Za-z0-9_ \t\r\n])"
 GAP = r"[ \t\r\n]*+"
 
@@ -38,11 +39,6 @@ def counted(items: DataFrame, id_col: str = "item_id", text_col: str = "snippet"
     return base.withColumn("n_tokens", F.size(tokens("text")))
 
 
-def oversized(items: DataFrame, limit: int = LIMIT, id_col: str = "item_id", text_col: str = "snippet") -> DataFrame:
-    """item_id of each item above the limit, whatever recorded counters say."""
-    return counted(items, id_col, text_col).filter(F.col("n_tokens") > limit).select("item_id")
-
-
 def split(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, id_col: str = "item_id", text_col: str = "snippet") -> DataFrame:
     """item_id, piece_no (from 0), piece, n_tokens, start (character offset of the piece in the text), n_overlap.
 
@@ -55,9 +51,18 @@ def split(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, id_col:
     own = big.select("item_id", F.explode(F.array(F.regexp_extract_all("text", F.lit(pattern(limit, overlap)), F.lit(0)))).alias("own"))
     head = F.lit(f"\\A(?:{GAP}{TOKEN}){{{overlap}}}")  # of the reversed piece: tokens read the same from either end
     back = F.transform("own", lambda s: F.reverse(F.regexp_substr(F.reverse(s), head))) if overlap else F.transform("own", lambda s: F.lit(""))
-    rows = own.select("item_id", "own", F.explode(F.array(back)).alias("back"))
-    offset = "aggregate(slice(own, 1, i), 0, (a, s) -> a + length(s))"
+    rows = own.select("item_id", "own", F.explode(F.array(F.struct(back.alias("back"), F.transform("own", F.length).alias("size")))).alias("x")).select("item_id", "own", "x.*")
+    # offsets in two levels: the length of all blocks before, then that of the pieces before in the block
+    block = f"transform(sequence(0, (size(own) - 1) div {_BLOCK}), b -> aggregate(slice(size, b * {_BLOCK} + 1, {_BLOCK}), 0, (a, n) -> a + n))"
+    base = "aggregate(blocks, array(0), (a, n) -> concat(a, array(element_at(a, -1) + n)))"
+    rows = rows.withColumn("blocks", F.explode(F.array(F.expr(block)))).withColumn("base", F.explode(F.array(F.expr(base))))
+    offset = f"base[i div {_BLOCK}] + aggregate(slice(size, i - i % {_BLOCK} + 1, i % {_BLOCK}), 0, (a, n) -> a + n)"
     lead = "IF(i = 0, '', coalesce(back[i - 1], ''))"
     parts = F.expr(f"transform(own, (s, i) -> struct(i AS piece_no, concat({lead}, s) AS piece, {offset} - length({lead}) AS start, IF(i = 0, 0, {overlap}) AS n_overlap))")
     out = rows.select("item_id", F.inline(parts))
     return out.withColumn("n_tokens", F.size(tokens("piece"))).select("item_id", "piece_no", "piece", "n_tokens", "start", "n_overlap")
+
+
+def oversized(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """item_id of each item that had to be cut, whatever recorded counters say; each once."""
+    return split(items, limit, overlap).select("item_id").distinct()

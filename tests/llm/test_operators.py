@@ -87,7 +87,7 @@ def test_pieces_cover_the_text(spark, sf, limit, overlap):
     by = collections.defaultdict(list)
     for r in pieces.split(items, limit, overlap).collect():
         by[r.item_id].append(r)
-    assert set(by) == {k for k, t in texts.items() if len(TOK.findall(t or "")) > limit} == {r.item_id for r in pieces.oversized(items, limit).collect()}
+    assert set(by) == {k for k, t in texts.items() if len(TOK.findall(t or "")) > limit} == {r.item_id for r in pieces.oversized(items, limit, overlap).collect()}
     for k, rows in by.items():
         seen = []
         for i, r in enumerate(sorted(rows, key=lambda r: r.piece_no)):
