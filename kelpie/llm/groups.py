@@ -1,9 +1,9 @@
 """Splits that keep related records together.
 
 Records that share a key (here a build or a test) form groups; a group is never divided between splits. Groups are
-connected components, found by contracting a star-shaped edge list (each key links its records' representatives to
-the smallest one, never all pairs) with pointer jumping, and kept in a persisted component table so that later batches
-only touch the components they reach:
+connected components: builds are nodes, named by their smallest record, and every test links the builds it occurs with to
+the smallest of them, never all pairs. Rounds of hooking and pointer jumping contract the links. The result is a component
+table with one row per key, which is kept between batches, so that later batches only touch the components they reach:
 
 * a component that is already in the table keeps its split,
 * a new component goes to the split with the largest deficit,
@@ -41,39 +41,71 @@ def test_key(c: str) -> Column:
     return _key(c, "[./:#_-]")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node connected to each node of ``edges`` (u, v, both bigint, self edges allowed).
+def _pointers(edges: DataFrame) -> DataFrame:
+    """(u, p): every node that is not the smallest of its component, with the smallest.
 
     Each round points every node at its smallest neighbour, jumps pointers until each reaches a root, and contracts
-    the edges to the roots, which at least halves the nodes of every unfinished component. Minima are pre-aggregated before the
-    shuffle and pointer lookups are salted, so a node that touches a third of all edges is no bottleneck. An empty
-    table gives an empty table.
+    the edges to the roots, which at least halves the nodes of every unfinished component. A round's pointers are written
+    once and followed once more at the end, last round first, so the work of all rounds is that of a geometric series.
     """
-    labels = cut(edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct().select("node", F.col("node").alias("label")))
-    edges = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    while not edges.isEmpty():
-        both = edges.union(edges.select("v", "u"))
-        point = cut(both.groupBy("u").agg(F.min("v").alias("p")).filter("p < u"))
+    e = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    rounds: list[DataFrame] = []
+    follow = lambda df, c, to: lookup(df, to.select(F.col("u").alias(c), F.col("p").alias("__p")), c)
+    while not e.isEmpty():
+        point = cut(e.groupBy("u").agg(F.min("v").alias("p")))
         while True:  # doubles the reach of every pointer, so a chain of n nodes takes log2(n) jumps
-            nxt = point.select(F.col("u").alias("p"), F.col("p").alias("p2"))
-            jumped = cut(lookup(point, nxt, "p").select("u", F.coalesce("p2", "p").alias("p"), F.col("p2").isNotNull().alias("moved")))
+            jumped = cut(follow(point, "p", point).select("u", F.coalesce("__p", "p").alias("p"), F.col("__p").isNotNull().alias("moved")))
             point = jumped.select("u", "p")
             if jumped.filter("moved").isEmpty():
                 break
-        to = lambda df, c: lookup(df, point.select(F.col("u").alias(c), F.col("p").alias("__p")), c).withColumn(c, F.coalesce("__p", c)).drop("__p")
-        labels = cut(to(labels, "label"))
-        moved = to(to(edges, "u"), "v").filter("u <> v")
-        edges = cut(moved.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    return labels
+        rounds.append(point)
+        e = follow(e, "u", point).select(F.coalesce("__p", "u").alias("u"), "v")
+        e = follow(e, "v", point).select("u", F.coalesce("__p", "v").alias("v")).filter("u <> v")
+        e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    if not rounds:
+        return e.select("u", F.col("v").alias("p"))
+    out = rounds.pop()
+    while rounds:
+        out = cut(follow(rounds.pop(), "p", out).select("u", F.coalesce("__p", "p").alias("p")).union(out))
+    return out
 
 
-def _pairs(records: DataFrame) -> DataFrame:
-    """Distinct (build key, test key) with the smallest record: the nodes of the graph."""
-    return records.groupBy("b", "t").agg(F.min("record_id").alias("pid"))
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label): the smallest node connected to each node of ``edges`` (u, v, both bigint, self edges allowed).
+
+    Minima are pre-aggregated before the shuffle and pointer lookups are salted, so a node that touches a third of all
+    edges is no bottleneck. An empty table gives an empty table.
+    """
+    nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
+    to = _pointers(edges).select(F.col("u").alias("node"), "p")
+    return lookup(nodes, to, "node").select("node", F.coalesce("p", "node").alias("label"))
 
 
 def keyed(records: DataFrame) -> DataFrame:
-    return records.select("record_id", build_key("build").alias("b"), test_key("test_name").alias("t"))
+    """record_id, b, t: the keys of every record that has an id."""
+    return records.filter("record_id IS NOT NULL").select(F.col("record_id").cast("long").alias("record_id"), build_key("build").alias("b"), test_key("test_name").alias("t"))
+
+
+def key_table(records: DataFrame) -> DataFrame:
+    """(key, group_id): the component table of ``records``, one row per key, with the smallest record of its component.
+
+    Builds are keyed "b:...", tests "t:...", and a record without either "r:<record_id>".
+    """
+    r = keyed(records)
+    builds = r.filter("b IS NOT NULL").groupBy("b").agg(F.min("record_id").alias("u"))
+    at = lookup(r.filter("t IS NOT NULL"), builds, "b").groupBy("t", "u").agg(F.min(F.coalesce("u", "record_id")).alias("node"))
+    at = cut(at.select("t", F.col("node").alias("u")))
+    tests = at.groupBy("t").agg(F.min("u").alias("v"))
+    to = _pointers(lookup(at, tests, "t", "inner").select("u", "v"))
+    lone = r.filter("b IS NULL AND t IS NULL").select(F.concat(F.lit("r:"), "record_id").alias("key"), F.col("record_id").alias("u")).distinct()
+    keys = builds.select(F.concat(F.lit("b:"), "b").alias("key"), "u").union(tests.select(F.concat(F.lit("t:"), "t"), "v")).union(lone)
+    return cut(lookup(keys, to, "u").select("key", F.coalesce("p", "u").alias("group_id")))
+
+
+def _grouped(records: DataFrame, keys: DataFrame) -> DataFrame:
+    """record_id, group_id of every record, by any of its keys: they all lie in one component."""
+    key = F.coalesce(F.concat(F.lit("b:"), "b"), F.concat(F.lit("t:"), "t"), F.concat(F.lit("r:"), "record_id"))
+    return lookup(keyed(records).select("record_id", key.alias("key")), keys, "key", "inner").select("record_id", "group_id")
 
 
 def group(records: DataFrame) -> DataFrame:
@@ -82,16 +114,7 @@ def group(records: DataFrame) -> DataFrame:
     Reads record_id (bigint), build and test_name. A missing key links nothing; a record without any key is its own
     group; repeated records meet in one group; rows with a null record_id are left out as they cannot be named.
     """
-    r = keyed(records.filter("record_id IS NOT NULL"))
-    pairs = cut(_pairs(r.filter("b IS NOT NULL OR t IS NOT NULL")))
-    links = []
-    for k in ("b", "t"):
-        own = pairs.filter(F.col(k).isNotNull()).select(k, "pid")
-        links.append(lookup(own, own.groupBy(k).agg(F.min("pid").alias("m")), k, "inner").select(F.col("pid").alias("u"), F.col("m").alias("v")))
-    labels = components(links[0].union(links[1]))
-    named = lookup(pairs, labels.withColumnRenamed("node", "pid"), "pid", "inner").select(F.coalesce("b", F.lit("")).alias("b"), F.coalesce("t", F.lit("")).alias("t"), "label")
-    flat = r.select("record_id", F.coalesce("b", F.lit("")).alias("b"), F.coalesce("t", F.lit("")).alias("t"))
-    return lookup(flat, named, ["b", "t"]).select("record_id", F.coalesce("label", "record_id").alias("group_id"))
+    return _grouped(records, key_table(records))
 
 
 def place(sizes: DataFrame, held: dict[str, int], splits=SPLITS) -> DataFrame:
@@ -127,47 +150,55 @@ def place(sizes: DataFrame, held: dict[str, int], splits=SPLITS) -> DataFrame:
     return big.union(rest)
 
 
+def _merge(keys: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups of a batch that meet stored components: (group_id, root, fate), and the stored components that merge: (group_id, root).
+
+    A batch group and a stored component are one if they share a key: pointers are jumped over both kinds of node. Fate is
+    the split that the merged components have in common, or quarantine, in which case the stored ones stay apart.
+    """
+    links = lookup(keys, state.select("key", F.col("group_id").alias("old")), "key", "inner").select((F.col("group_id") * 2).alias("u"), (F.col("old") * 2 + 1).alias("v")).distinct()
+    merged = cut(components(cut(links)))
+    stored = state.groupBy("group_id").agg(F.min("split").alias("split")).select((F.col("group_id") * 2 + 1).alias("node"), "split")
+    old = F.when(F.col("node") % 2 != 0, F.floor((F.col("node") - 1) / 2))
+    met = lookup(merged, stored, "node").groupBy("label").agg(F.countDistinct("split").alias("k"), F.min("split").alias("kept"), F.min(old).alias("root"))
+    fate = lookup(merged, met, "label", "inner").select("node", "root", F.when(F.col("k") > 1, "quarantine").otherwise(F.col("kept")).alias("fate"))
+    fate = cut(fate)
+    touched = fate.filter("node % 2 = 0").select((F.col("node") / 2).cast("long").alias("group_id"), "root", "fate")
+    return touched, fate.filter("node % 2 <> 0 AND fate <> 'quarantine'").select(F.floor((F.col("node") - 1) / 2).cast("long").alias("group_id"), "root")
+
+
 def assign(records: DataFrame, state: DataFrame | None = None, splits=SPLITS) -> tuple[DataFrame, DataFrame]:
     """One batch. Returns (record_id, group_id, split) and the new component table (key, group_id, split, n_records).
 
-    ``state`` is the table a former batch returned. Keys are prefixed "b:" or "t:"; a record without keys has the key
-    "r:<record_id>". Split "quarantine" marks new records whose group would join components of different splits; such
-    records leave the table as it was. Run twice on the same batch the splits stay as they are,
-    though its records then count twice in n_records, which only steers how deficits are filled.
+    ``state`` is the table a former batch returned; None starts one. Split "quarantine" marks new records whose group
+    would join components of different splits; such records leave the table as it was. Run twice on the same batch the
+    splits stay as they are, though its records then count twice in n_records, which only steers how deficits are
+    filled. A group that meets a stored component takes that component's group_id.
     """
-    r = keyed(records.filter("record_id IS NOT NULL"))
-    keys = F.array_compact(F.array(F.concat(F.lit("b:"), "b"), F.concat(F.lit("t:"), "t")))
-    keys = F.when(F.size(keys) == 0, F.array(F.concat(F.lit("r:"), F.col("record_id").cast("string")))).otherwise(keys)
-    grouped = cut(group(records))
-    kr = cut(lookup(r.select("record_id", F.explode(keys).alias("key")), grouped.distinct(), "record_id", "inner").groupBy("key", "group_id").agg(F.countDistinct("record_id").alias("n")))
+    keys = key_table(records)
+    grouped = cut(_grouped(records, keys))
+    sizes = grouped.groupBy("group_id").agg(F.count("*").alias("n"))
     if state is None:
-        spark = records.sparkSession
-        state = spark.createDataFrame([], "key string, group_id long, split string, n_records long")
-    old = kr.join(state.select("key", F.col("group_id").alias("old"), F.col("split").alias("old_split"), "n_records"), "key")
-    # A batch group and a stored component are one if they share a key: contract over both kinds of node.
-    links = old.select((F.col("group_id") * 2).alias("u"), (F.col("old") * 2 + 1).alias("v")).distinct()
-    merged = components(links)
-    stored = state.groupBy("group_id").agg(F.first("split").alias("split"), F.max("n_records").alias("n")).select((F.col("group_id") * 2 + 1).alias("node"), "split", "n")
-    seen = merged.join(stored, "node").groupBy("label").agg(F.countDistinct("split").alias("k"), F.min("split").alias("kept"), F.min(F.floor((F.col("node") - 1) / 2)).alias("root"))
-    fate = merged.join(seen, "label").select("node", "root", F.when(F.col("k") > 1, "quarantine").otherwise(F.col("kept")).alias("fate"))
-    fate = cut(fate)
-    sizes = grouped.distinct().groupBy("group_id").agg(F.count("*").alias("n"))
-    touched = fate.filter("node % 2 = 0").select((F.col("node") / 2).cast("long").alias("group_id"), "root", "fate")
-    new = cut(sizes.join(touched, "group_id", "left_anti"))
-    held = {x.split: x.n for x in stored.groupBy("split").agg(F.sum("n").alias("n")).collect()}
-    fresh = place(new, {s: held.get(s, 0) for s, _ in splits}, splits).select("group_id", F.col("group_id").alias("root"), F.col("split").alias("fate"))
-    fates = cut(touched.union(fresh))
+        fates = cut(place(cut(sizes), {}, splits).select("group_id", F.col("group_id").alias("root"), F.col("split").alias("fate")))
+        known = grown = None
+    else:
+        touched, grown = _merge(keys, state)
+        stored = state.groupBy("group_id").agg(F.min("split").alias("split"), F.max("n_records").alias("n"))
+        known = lookup(state, grown, "group_id").select("key", F.coalesce("root", "group_id").alias("group_id"), "split", "n_records")
+        held = {x.split: x.n for x in stored.groupBy("split").agg(F.sum("n").alias("n")).collect()}  # a row per split
+        new = cut(sizes.join(touched, "group_id", "left_anti"))
+        fresh = place(new, {s: held.get(s, 0) for s, _ in splits}, splits)
+        fates = cut(touched.union(fresh.select("group_id", F.col("group_id").alias("root"), F.col("split").alias("fate"))))
     out = lookup(grouped, fates, "group_id", "inner").select("record_id", F.col("root").alias("group_id"), F.col("fate").alias("split"))
-    roots = fate.filter("node % 2 = 1 AND fate <> 'quarantine'").select(F.floor((F.col("node") - 1) / 2).alias("group_id"), "root")
-    kept = state.join(roots, "group_id", "left").select("key", F.coalesce("root", "group_id").alias("group_id"), "split", "n_records")
-    added = kr.join(fates.filter("fate <> 'quarantine'"), "group_id").select("key", F.col("root").alias("group_id"), F.col("fate").alias("split"))
-    added = added.join(state.select("key"), "key", "left_anti").distinct()
-    grown = out.filter("split <> 'quarantine'").groupBy("group_id").agg(F.countDistinct("record_id").alias("more"))
-    both = kept.select("key", "group_id", "split").union(added.select("key", "group_id", "split"))
-    before = kept.select("group_id", "n_records").distinct().groupBy("group_id").agg(F.sum("n_records").alias("had"))
-    counts = both.select("group_id").distinct().join(before, "group_id", "left").join(grown, "group_id", "left")
-    n = (F.coalesce("had", F.lit(0)) + F.coalesce("more", F.lit(0))).cast("long")
-    return out, cut(lookup(both, counts.select("group_id", n.alias("n_records")), "group_id", "inner").select("key", "group_id", "split", "n_records"))
+    added = lookup(keys, fates.filter("fate <> 'quarantine'"), "group_id", "inner").select("key", F.col("root").alias("group_id"), F.col("fate").alias("split"))
+    more = lookup(sizes, fates.filter("fate <> 'quarantine'"), "group_id", "inner").select(F.col("root").alias("group_id"), "n")
+    if known is not None:
+        added = added.join(known.select("key"), "key", "left_anti").union(known.select("key", "group_id", "split"))
+        # every stored component once: its keys repeat its count
+        had = lookup(state.groupBy("group_id").agg(F.max("n_records").alias("n")), grown, "group_id").select(F.coalesce("root", "group_id").alias("group_id"), "n")
+        more = more.union(had)
+    counts = more.groupBy("group_id").agg(F.sum("n").cast("long").alias("n_records"))
+    return out, cut(lookup(added, counts, "group_id", "inner").select("key", "group_id", "split", "n_records"))
 
 
 def update(records: DataFrame, path: str, splits=SPLITS) -> DataFrame:
@@ -192,6 +223,15 @@ def splits(records: DataFrame) -> DataFrame:
     return assign(records)[0]
 
 
+def batched(records: DataFrame) -> DataFrame:
+    """record_id, batch, group_id, split of one table that arrives as two batches, the smaller half of its ids first."""
+    ends = records.agg(F.min("record_id").cast("long").alias("a"), F.max("record_id").cast("long").alias("b")).first()
+    middle = ((ends.a or 0) + (ends.b or 0)) // 2
+    first, state = assign(records.filter(F.col("record_id") <= middle))
+    second, _ = assign(records.filter(F.col("record_id") > middle), state)
+    return first.withColumn("batch", F.lit(1)).union(second.withColumn("batch", F.lit(2))).select("record_id", "batch", "group_id", "split")
+
+
 def report(assigned: DataFrame) -> DataFrame:
     """Per split: records, groups and the share of records."""
     total = assigned.agg(F.count("*").alias("total"))

@@ -24,8 +24,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_rates": _on("file_ast")(syntax.report),
     "p2_found": _on("embedding_result")(pieces.oversized),
     "p2_pieces": _on("embedding_result")(pieces.split),
-    "p3_found": _on("combined_submit")(lambda t: groups.splits(t).select("record_id", "group_id")),
+    "p3_found": _on("combined_submit")(groups.group),
     "p3_splits": _on("combined_submit")(groups.splits),
+    "p3_batches": _on("combined_submit")(groups.batched),
     "p3_report": _on("combined_submit")(lambda t: groups.report(groups.splits(t))),
     "p4_found": _on("module_registry", "file_ast")(origin.not_by_hand),
     "p4_kinds": _on("module_registry", "file_ast")(lambda m, f: origin.judge(m, f).select("module_id", "repo", "kind")),
@@ -35,6 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_pairs": _on("pr_run_log")(together.pairs),
     "p8_ids": _on("documents")(encode.encode),
     "p9_mix": _on("documents", "mix_targets")(mixing.mix),
+    "p9_likeliest": _on("documents", "mix_targets")(mixing.likeliest),
     "p9_report": _on("documents", "mix_targets")(mixing.report),
     "p10_found": _on("documents")(cutoff.found),
     "p10_rates": _on("documents")(cutoff.report),
