@@ -2,16 +2,14 @@
 
 The sequences of a batch lie one after another in one array. In every round each sequence's adjacent pairs are
 counted, and every pair that occurs at least twice and more often than the pairs it overlaps is replaced by the rule
-that stands for it; rounds go on until nothing is replaced or ``rounds`` is reached. Rules are inferred for each
-sequence on its own. All steps are sorts and gathers over the whole batch.
+that stands for it; a sequence is finished when no pair of it can be replaced. Rules are inferred for each
+sequence on its own. All steps are sorts and gathers over the unfinished part of the batch.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-_ID = 20  # bits of a symbol; a sequence has fewer symbols than that
-
 
 def dense(fid: np.ndarray, sym: np.ndarray) -> np.ndarray:
     """Symbols renumbered 0, 1, ... within each sequence; ``fid`` is sorted."""
@@ -26,7 +24,22 @@ def dense(fid: np.ndarray, sym: np.ndarray) -> np.ndarray:
     return out
 
 
-def infer(fid: np.ndarray, sym: np.ndarray, n: int, rounds: int = 12, least: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _ranked(fid: np.ndarray, sym: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of adjacent pairs by sequence and symbols, and whether each in that order differs from the one before."""
+    bits = max(1, int(sym.max()).bit_length())
+    code = np.where(pair, (sym[:-1] << bits) | sym[1:], 0)
+    owner = np.where(pair, fid[:-1], -1)
+    if 2 * bits + int(fid[-1] + 1).bit_length() < 63:
+        key = ((owner + 1) << (2 * bits)) | code
+        order = np.argsort(key, kind="stable")
+        k = key[order]
+        return order, np.r_[True, k[1:] != k[:-1]]
+    order = np.lexsort((code, owner))
+    k, o = code[order], owner[order]
+    return order, np.r_[True, (k[1:] != k[:-1]) | (o[1:] != o[:-1])]
+
+
+def infer(fid: np.ndarray, sym: np.ndarray, n: int, least: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``fid`` (sorted, below ``n``) and dense symbols to (rule's sequence, uses, expansion, first position, final length of each sequence).
 
     ``uses`` counts replacements of the rule, ``expansion`` the tokens it stands for, and ``first position`` is the
@@ -37,17 +50,13 @@ def infer(fid: np.ndarray, sym: np.ndarray, n: int, rounds: int = 12, least: int
     span = np.ones(len(sym), np.int64)
     at = np.arange(len(sym))
     rules: list[tuple[np.ndarray, ...]] = []
-    for _ in range(rounds):
-        if len(sym) < 2:
-            break
+    final = np.bincount(fid, minlength=n)
+    while len(sym) > 1:
         pair = fid[1:] == fid[:-1]
-        key = np.where(pair, (fid[:-1] << (2 * _ID)) | (sym[:-1] << _ID) | sym[1:], -1)
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        new = np.r_[True, k[1:] != k[:-1]]
+        order, new = _ranked(fid, sym, pair)
         group = np.cumsum(new) - 1
         counts = np.bincount(group)
-        of = np.empty(len(key), np.int64)
+        of = np.empty(len(pair), np.int64)
         of[order] = group
         c = np.where(pair, counts[of], 0)
         left, right = np.r_[0, c[:-1]], np.r_[c[1:], 0]
@@ -82,7 +91,12 @@ def infer(fid: np.ndarray, sym: np.ndarray, n: int, rounds: int = 12, least: int
         keep = np.ones(len(sym), bool)
         keep[pos + 1] = False
         fid, sym, span, at = fid[keep], sym[keep], span[keep], at[keep]
-    final = np.bincount(fid, minlength=n)
+        left = np.bincount(fid, minlength=n)
+        active = np.zeros(n, bool)
+        active[owner] = True
+        final[active] = left[active]
+        keep = active[fid]
+        fid, sym, span, at = fid[keep], sym[keep], span[keep], at[keep]
     if not rules:
         z = np.empty(0, np.int64)
         return z, z, z, z, final
