@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from kelpie.common import cut as checkpoint
 
 TOKENIZERS = os.environ.get("KELPIE_TOKENIZERS", "/opt/tokenizers")
-CHUNK, OVERLAP = 16384, 1024
+CHUNK, OVERLAP = 2048, 256
 _EDGE = 64  # the last characters of a chunk, whose pre-tokens may depend on what follows
 
 # Fixed value: the public pre-token pattern of the byte-level vocabulary.
