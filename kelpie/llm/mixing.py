@@ -22,29 +22,29 @@ from kelpie.llm.encode import TOKENIZERS, token_counts
 
 FEATURES = 1 << 14
 _BUCKETS = 1024
-_DIGITS = 2  # posteriors of texts without a source are rounded, so that many share a class
+MAX_SOURCES = 1000
+_UNITS = 100  # posteriors of texts without a source are whole hundredths, so that many share a class
 
 
 def _named(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lower(blanks(F.coalesce("source", F.lit("")))).alias("source"))
 
 
-def memberships(documents: DataFrame, sources: list[str]) -> DataFrame:
-    """doc_id, member (array of shares by source): one-hot where the source is a known one, else naive Bayes posteriors.
+def _hot(sources: list[str]):
+    return F.array(*[(F.col("source") == s).cast("double") for s in sources])
 
-    The classifier counts hashed words of all labelled texts; without any text to classify none is fitted, and without
-    labelled texts the others spread evenly.
+
+def posteriors(labelled: DataFrame, texts: DataFrame, sources: list[str]) -> DataFrame:
+    """doc_id, member (array of shares by source, adding to 1) of each row of ``texts`` by naive Bayes over hashed words.
+
+    Fitted on all rows of ``labelled`` (text, source), whose sources lie in ``sources``; with texts of one source only
+    that source is certain, and without any all are equally likely. Shares are whole hundredths by largest remainders.
     """
-    known = F.col("source").isin(sources)
-    hot = F.array(*[(F.col("source") == s).cast("double") for s in sources])
-    labelled, rest = documents.filter(known), documents.filter(~known)
-    sure = labelled.select("doc_id", hot.alias("member"))
-    if rest.isEmpty():
-        return sure
-    seen = [r.source for r in labelled.select("source").distinct().orderBy("source").collect()]
+    k = len(sources)
+    seen = [r.source for r in labelled.select("source").distinct().orderBy("source").collect()]  # at most MAX_SOURCES
     if len(seen) < 2:
-        even = [1.0 / len(sources)] * len(sources) if not seen else [float(s == seen[0]) for s in sources]
-        return sure.union(rest.select("doc_id", F.array(*[F.lit(x) for x in even])))
+        even = [float(s == seen[0]) for s in sources] if seen else [(_UNITS // k + (i < _UNITS % k)) / _UNITS for i in range(k)]
+        return texts.select("doc_id", F.array(*[F.lit(x) for x in even]).alias("member"))
     words = lambda d: d.withColumn("words", F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
     tf = HashingTF(inputCol="words", outputCol="features", numFeatures=FEATURES)
     label = F.lit(0.0)
@@ -53,8 +53,29 @@ def memberships(documents: DataFrame, sources: list[str]) -> DataFrame:
     model = NaiveBayes(smoothing=1.0).fit(tf.transform(words(labelled)).select("features", label.alias("label")))
     p = vector_to_array("probability")
     at = {s: i for i, s in enumerate(seen)}
-    member = F.array(*[F.round(p[at[s]], _DIGITS) if s in at else F.lit(0.0) for s in sources])
-    return sure.union(model.transform(tf.transform(words(rest))).select("doc_id", member.alias("member")))
+    share = F.array(*[p[at[s]] * _UNITS if s in at else F.lit(0.0) for s in sources])
+    got = model.transform(tf.transform(words(texts))).select("doc_id", share.alias("x"))
+    # the units that rounding down leaves over go to the largest remainders
+    got = got.withColumn("low", F.transform("x", lambda v: F.floor(v))).withColumn("over", F.lit(_UNITS) - F.aggregate("low", F.lit(0).cast("long"), lambda a, n: a + n))
+    left = F.transform("x", lambda v, i: F.struct((v - F.floor(v)).alias("r"), (-i).alias("i")))
+    got = got.withColumn("rank", F.slice(F.transform(F.sort_array(left, False), lambda v: -v["i"]), F.lit(1), F.greatest(F.col("over").cast("int"), F.lit(0))))
+    return got.select("doc_id", F.transform("low", lambda n, i: (n + F.array_contains("rank", i).cast("int")) / F.lit(float(_UNITS))).alias("member"))
+
+
+def likeliest(documents: DataFrame, targets: DataFrame) -> DataFrame:
+    """doc_id, source, likeliest, share: what the classifier makes of every text, its own label left aside; ties by name.
+
+    Rows with a null doc_id and empty and null texts are left out.
+    """
+    sources = [r.source for r in _goals(targets)]
+    docs = _named(documents).filter(F.col("doc_id").isNotNull() & (F.col("text") != ""))
+    if not sources:
+        return docs.select("doc_id", "source", F.lit("").alias("likeliest"), F.lit(0.0).alias("share")).limit(0)
+    member = posteriors(docs.filter(F.col("source").isin(sources)), docs, sources)
+    best = F.array_max(F.transform("member", lambda m, i: F.struct(m.alias("m"), (-i).alias("i"))))
+    top = member.groupBy("doc_id").agg(F.max(best).alias("b"))
+    names = F.array(*[F.lit(s) for s in sources])
+    return docs.groupBy("doc_id").agg(F.min("source").alias("source")).join(top, "doc_id").select("doc_id", "source", names[-F.col("b.i")].alias("likeliest"), F.col("b.m").alias("share"))
 
 
 def fit_rates(classes: DataFrame, targets: list[float], rounds: int = 40, close: float = 1e-6) -> DataFrame:
@@ -77,26 +98,40 @@ def fit_rates(classes: DataFrame, targets: list[float], rounds: int = 40, close:
     return out
 
 
+def _goals(targets: DataFrame) -> list:
+    """(source, target_share, max_repeats) by source; more than ``MAX_SOURCES`` of them are an error, never cut off."""
+    rows = targets.filter("target_share > 0 AND max_repeats > 0").select(F.lower(blanks("source")).alias("source"), "target_share", "max_repeats")
+    rows = rows.groupBy("source").agg(F.min_by(F.struct("target_share", "max_repeats"), F.struct("target_share", "max_repeats")).alias("g")).select("source", "g.*")
+    out = rows.orderBy("source").limit(MAX_SOURCES + 1).collect()
+    if len(out) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} target sources")
+    return out
+
+
 def _plan(documents: DataFrame, targets: DataFrame, total: float | None, folder: str, name: str) -> tuple[DataFrame, list]:
-    rows = targets.filter("target_share > 0 AND max_repeats > 0").select(F.lower(blanks("source")).alias("source"), "target_share", "max_repeats").dropDuplicates(["source"]).orderBy("source").limit(1000).collect()
+    rows = _goals(targets)
     sources = [r.source for r in rows]
-    docs = _named(documents).filter(F.col("doc_id").isNotNull())
-    # equal texts are one text: only the first of them, in its own source, can be drawn
-    first = docs.withColumn("h", F.sha2("text", 256)).groupBy("h").agg(F.min_by(F.struct("doc_id", "source", "text"), F.struct("doc_id", "source")).alias("d")).select("d.*").filter("text <> ''")
+    docs = _named(documents).filter(F.col("doc_id").isNotNull() & (F.col("text") != ""))
     if not sources:
-        return first.select("doc_id", "source", F.lit(0).cast("long").alias("n_tokens"), F.array().cast("array<double>").alias("member"), F.lit(0.0).alias("rate"), F.lit(0).alias("cap")).limit(0), rows
-    tokens = token_counts(first, ["doc_id", "source"], folder, name)
-    member = memberships(first, sources)
-    units = cut(tokens.join(member, "doc_id"))
+        return docs.select("doc_id", "source", F.lit(0).cast("long").alias("n_tokens"), F.array().cast("array<double>").alias("member"), F.lit(0.0).alias("rate"), F.lit(0).alias("cap")).limit(0), rows
+    # equal texts are one text: only the first of them, in its own source, can be drawn. Texts themselves are not shuffled
+    counted = token_counts(docs.withColumn("h", F.sha2("text", 256)), ["doc_id", "source", "h"], folder, name)
+    first = cut(counted.groupBy("h").agg(F.min(F.struct("doc_id", "source", "n_tokens")).alias("d")).select("d.*"))
+    known = F.col("source").isin(sources)
+    units = first.filter(known).select("*", _hot(sources).alias("member"))
+    rest = first.filter(~known)
+    if not rest.isEmpty():
+        texts = docs.join(rest.select("doc_id", "source"), ["doc_id", "source"], "left_semi").dropDuplicates(["doc_id", "source"])
+        units = units.union(rest.join(posteriors(docs.filter(known), texts, sources), "doc_id").select(*first.columns, "member"))
     scale = sum(r.target_share for r in rows)
     shares = [r.target_share / scale for r in rows]
     most = F.aggregate(F.zip_with("member", F.array(*[F.lit(float(r.max_repeats)) for r in rows]), lambda m, x: m * x), F.lit(0.0), lambda a, x: a + x)
-    units = units.withColumn("cap", F.floor(most + 1e-9).cast("int"))
+    units = cut(units.withColumn("cap", F.floor(most + 1e-9).cast("int")))
     classes = cut(units.groupBy("member", "cap").agg(F.sum("n_tokens").alias("n")))
-    if total is None:
-        room = classes.agg(*[F.sum(F.col("member")[s] * F.col("n") * F.col("cap")).alias(f"s{s}") for s in range(len(rows))]).first()
-        total = min(((room[s] or 0.0) / shares[s] for s in range(len(rows))), default=0.0)
-    rates = fit_rates(classes, [x * total for x in shares])
+    room = list(classes.agg(*[F.coalesce(F.sum(F.col("member")[s] * F.col("n") * F.col("cap")), F.lit(0.0)) for s in range(len(rows))]).first())
+    if total is None:  # a source without any text can't meet its share, and holds up no other
+        total = min((room[s] / shares[s] for s in range(len(rows)) if room[s] > 0), default=0.0)
+    rates = fit_rates(classes, [x * total if room[s] > 0 else 0.0 for s, x in enumerate(shares)])
     return lookup(units, rates.select("member", "cap", "rate"), ["member", "cap"], "inner").select("doc_id", "source", "n_tokens", "member", "rate", "cap"), rows
 
 
