@@ -8,6 +8,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def session(app: str = "kelpie", cores: str | None = None) -> SparkSession:
@@ -63,6 +64,48 @@ def lookup(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "l
     return salted.join(wide, [*keys, "__salt"], how).drop("__salt")
 
 
+def in_ranges(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` in ranges of ``order`` of about equal size, with the range's number in ``__p``, as a written table.
+
+    Ranges are numbered in order and equal values lie in one, so global ranks and running totals need only the sizes of
+    the ranges and work inside each; no task sees all rows.
+    """
+    return cut(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+
+
+def join_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", small: bool = False) -> DataFrame:
+    """Join by keys that may be null, null meeting null; ``small`` says that the right side has a proven bound."""
+    r = right.select(*[F.col(k).alias(f"__r_{k}") if k in on else F.col(k) for k in right.columns])
+    meet = F.lit(True)
+    for k in on:
+        meet = meet & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+    return left.join(F.broadcast(r) if small else r, meet, how).drop(*[f"__r_{k}" for k in on])
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], weight: str | None = None) -> DataFrame:
+    """``keys``, n and q (array): exact quantiles of ``value`` per key with linear interpolation, nulls left out.
+
+    Rows are counted per distinct value first, then ranked by running totals inside ranges of (keys, value), so neither a
+    key with most of the rows nor one with very many values is held by one task. ``weight`` counts rows for it.
+    """
+    c = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.sum(weight) if weight else F.count("*")).alias("__c"))
+    r = in_ranges(c, *keys, value)
+    own = r.groupBy(*keys, "__p").agg(F.sum("__c").alias("__s"))
+    key = Window.partitionBy(*keys)
+    base = own.select(*keys, "__p", (F.sum("__s").over(key.orderBy("__p")) - F.col("__s")).alias("__b"), F.sum("__s").over(key).alias("__n"))
+    at = join_safe(r, base, [*keys, "__p"])
+    hi = F.sum("__c").over(Window.partitionBy(*keys, "__p").orderBy(value)) + F.col("__b")
+    at = at.withColumn("__hi", hi).withColumn("__lo", F.col("__hi") - F.col("__c"))
+    holds = lambda k: (F.col("__lo") <= k) & (F.col("__hi") > k)
+    picks = []
+    for p in probs:
+        h = (F.col("__n") - 1) * F.lit(float(p))
+        k = F.floor(h)
+        picks.append(F.struct(F.max(F.when(holds(k), F.col(value))).alias("a"), F.max(F.when(holds(k + 1), F.col(value))).alias("b"), F.max(h - k).alias("f")))
+    g = at.groupBy(*keys).agg(F.max("__n").alias("n"), F.array(*picks).alias("__q"))
+    return g.select(*keys, "n", F.transform("__q", lambda x: x["a"] + F.coalesce((x["b"] - x["a"]) * x["f"], F.lit(0.0))).alias("q"))
+
+
 def blanks(c: Column) -> Column:
     """The value without outer blanks (spaces, tabs, line ends)."""
     return F.trim(c, F.lit(" \t\r\n"))

@@ -1,74 +1,118 @@
-"""Text and source structure: paths, regular-expression extraction, diffs, keyword impact, Python syntax trees."""
+"""Text and source structure: paths, regular-expression extraction, diffs, keyword impact."""
 
 from __future__ import annotations
 
-import ast
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# Languages by extension, patterns of structure, and words that raise the risk of a change.
+# Languages by extension, for files, for diffs, and for embedding.
 EXTENSIONS = {"py": "python", "java": "java", "js": "javascript", "mjs": "javascript", "ts": "typescript", "go": "go", "rb": "ruby", "rs": "rust"}
+DIFF_EXTENSIONS = {"py": "python", "js": "javascript", "ts": "typescript", "java": "java", "go": "go", "rb": "ruby", "rs": "rust"}
+DETECTED_EXTENSIONS = {
+    "py": "python", "java": "java", "ts": "typescript", "js": "javascript", "go": "go", "kt": "kotlin",
+    "scala": "scala", "cpp": "cpp", "c": "c", "cs": "csharp", "rb": "ruby", "rs": "rust",
+}
+
+# Patterns of imports, functions and classes by language, and how many of each are listed.
 STRUCTURE = {
-    "n_imports": r"(?m)^[ \t]*(?:import|from|package)[ \t]+[A-Za-z_]",
-    "n_functions": r"(?m)^[ \t]*(?:async[ \t]+)?(?:def|func|function)[ \t]+[A-Za-z_(]",
-    "n_classes": r"(?m)^[ \t]*(?:public[ \t]+)?(?:final[ \t]+)?class[ \t]+[A-Za-z_]",
-    "n_tests": r"(?m)^[ \t]*(?:async[ \t]+)?def[ \t]+test_|@Test",
+    "python": {"imports": r"^(?:import|from)\s+([\w.]+)", "functions": r"^def\s+(\w+)\s*\(", "classes": r"^class\s+(\w+)\s*[:(]"},
+    "javascript": {
+        "imports": r"""(?:import|require)\s*[({'"](.+?)["')}]""",
+        "functions": r"(?:function|const|let|var)\s+(\w+)\s*(?:=\s*(?:async\s+)?(?:function|\()|\()",
+        "classes": r"class\s+(\w+)",
+    },
+    "java": {"imports": r"^import\s+([\w.]+);", "functions": r"(?:public|private|protected)\s+\w+\s+(\w+)\s*\(", "classes": r"class\s+(\w+)"},
 }
-RISK_WORDS = ["migration", "schema", "deferred", "lock", "checksum", "revert", "cache", "queue", "stale", "dropped"]
+TEST_FUNCTIONS = {"python": "^test_", "javascript": "(?i)test|spec|it|describe", "java": "^test"}
+LISTED = {"imports": 50, "functions": 100, "classes": 30, "test_functions": 50}
 
+# Patterns of an outline of Java without a parser.
+JAVA_IMPORT, JAVA_CLASS = r"import\s+([\w.]+);", r"class\s+(\w+)"
+JAVA_METHOD = r"(?:public|private|protected|static|final)[\s\w<>\[\]]+\s+(\w+)\s*\("
 
-def file_facts(files: DataFrame) -> DataFrame:
-    """Name, stem, extension, language by extension, lines and content hash of each file."""
-    ext = F.lower(F.regexp_extract("file_path", r"\.([A-Za-z0-9]+)$", 1))
-    name = F.element_at(F.split("file_path", "/"), -1)
-    lang = F.lit("unknown")
-    for e, l in EXTENSIONS.items():
-        lang = F.when(ext == e, l).otherwise(lang)
-    t = F.coalesce("source_text", F.lit(""))
-    lines = F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1
-    return files.select("file_id", name.alias("name"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), ext.alias("extension"), lang.alias("language"), lines.alias("n_lines"), F.sha2(t, 256).alias("sha256"))
+# Words that raise the risk of a change, and patterns of what it touches.
+RISK_WORDS = ["migration", "schema", "alter table", "drop column", "rename column", "kafka", "message", "event", "contract", "interface", "api"]
+KAFKA = [r"(?i)kafka[_\s.]*(topic|consumer|producer|stream)", r"(?i)KafkaProducer|KafkaConsumer|@KafkaListener", r"(?i)send\s*\(.*topic|subscribe\s*\(.*topic"]
+TOPIC = r"""["'`]([a-z][a-z0-9._\-]{2,40})["'`]"""
+TABLES = [r"(?i)TABLE\s+(\w+)", r"(?i)FROM\s+(\w+)", r"(?i)INSERT\s+INTO\s+(\w+)", r"(?i)UPDATE\s+(\w+)\s+SET"]
+CONTRACT = r"@RestController|@RequestMapping|@GetMapping|@PostMapping|FastAPI|flask\.route|@app\.route"
+MIGRATION = r"(?i)migration|alembic|flyway|liquibase|alter\s+table|add\s+column"
+TAGS = ["auth", "payment", "user", "order", "cart", "api", "db", "kafka", "email", "notification"]
 
 
-def structure(files: DataFrame) -> DataFrame:
-    """Counts of imports, functions, classes and tests by line patterns."""
-    t = F.coalesce("source_text", F.lit(""))
-    return files.select("file_id", *[F.size(F.regexp_extract_all(t, F.lit(p), F.lit(0))).alias(k) for k, p in STRUCTURE.items()])
+def extension(path: Column | str) -> Column:
+    return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
 
 
-def js_requires(files: DataFrame) -> DataFrame:
-    """(file_id, target, resolved): relative modules that JavaScript files require, resolved against the file's folder."""
-    js = files.filter(F.lower("file_path").rlike(r"\.m?js$"))
-    x = js.select("file_id", "file_path", F.explode(F.regexp_extract_all("source_text", F.lit(r"""(?:require\(|from )["'](\.{1,2}/[^"']+)["']"""), F.lit(1))).alias("target")).distinct()
-    folder = F.regexp_replace("file_path", "/?[^/]*$", "")
-    up = F.regexp_replace(folder, "/?[^/]*$", "")
-    joined = F.when(F.startswith("target", F.lit("../")), F.concat_ws("/", F.when(up != "", up), F.expr("substring(target, 4)"))).otherwise(F.concat_ws("/", F.when(folder != "", folder), F.expr("substring(target, 3)")))
-    return x.select("file_id", "target", joined.alias("resolved"))
+def language(path: Column | str, names: dict[str, str] = EXTENSIONS) -> Column:
+    """The language of a path's extension, or unknown."""
+    ext, out = extension(path), F.lit("unknown")
+    for e, name in names.items():
+        out = F.when(ext == e, name).otherwise(out)
+    return out
 
 
-def python_imports(files: DataFrame) -> DataFrame:
-    """(file_id, module): distinct modules that Python files import at a line's start."""
-    py = files.filter(F.endswith(F.lower("file_path"), F.lit(".py")))
-    found = F.regexp_extract_all("source_text", F.lit(r"(?m)^[ \t]*(?:import|from)[ \t]+([A-Za-z_][A-Za-z0-9_.]*)"), F.lit(1))
-    return py.select("file_id", F.explode(F.array_distinct(found)).alias("module"))
+def stem(path: Column | str) -> Column:
+    """The last part of a path without its last extension; a leading dot is no extension."""
+    return F.regexp_extract(F.element_at(F.split(path, "/"), -1), r"^(.+?)(?:\.[^.]*)?$", 1)
 
 
-def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """(importer, imported): imports joined to files of the same repo, longest dotted prefix and plain files first.
+def one_line_end(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
-    ``imports`` has (file_id, module). Every prefix of a module and both suffixes are candidates; an equi-join finds the
-    files and the best candidate wins.
+
+def file_facts(files: DataFrame) -> DataFrame:
+    """Name, stem, extension, language by extension, lines and content hash of each file."""
+    name = F.element_at(F.split("file_path", "/"), -1)
+    t = F.coalesce("source_text", F.lit(""))
+    lines = F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1
+    return files.select("file_id", name.alias("name"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), extension("file_path").alias("extension"), language("file_path").alias("language"), lines.alias("n_lines"), F.sha2(t, 256).alias("sha256"))
+
+
+def structure(files: DataFrame) -> DataFrame:
+    """Imports, functions, classes and test functions of each file by the patterns of its language, in order of the text.
+
+    Lists are cut at ``LISTED`` entries, counts are not. Other languages and null texts have empty lists. A file is a test
+    file if its name holds test or spec, or it has a test function. Line ends of all kinds count as one.
     """
-    parts = F.split("module", r"\.")
-    prefix = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(i.alias("n"), F.array_join(F.slice(parts, F.lit(1), i), "/").alias("base"))))
-    cand = imports.join(files.select("file_id", "repo"), "file_id").select("file_id", "repo", "module", prefix.alias("p"))
-    cand = cand.select("file_id", "repo", "module", "p.n", F.explode(F.array(F.struct(F.lit(0).alias("rank"), F.concat("p.base", F.lit(".py")).alias("file_path")), F.struct(F.lit(1).alias("rank"), F.concat("p.base", F.lit("/__init__.py")).alias("file_path")))).alias("c"))
-    cand = cand.select("file_id", "repo", "module", "n", "c.rank", "c.file_path")
-    hit = cand.join(files.select("repo", "file_path", F.col("file_id").alias("imported")), ["repo", "file_path"])
-    return hit.groupBy(F.col("file_id").alias("importer"), "module").agg(F.max_by("imported", F.struct("n", -F.col("rank"))).alias("imported")).select("importer", "imported").distinct()
+    t = one_line_end(F.coalesce("source_text", F.lit("")))
+    lang = language("file_path")
+    lang = F.when(lang == "typescript", "javascript").otherwise(lang)
+    rows = files.select("file_id", "file_path", lang.alias("lang"), t.alias("t"))
+
+    def found(what: str) -> Column:
+        out = F.array().cast("array<string>")
+        for name, pats in STRUCTURE.items():
+            out = F.when(F.col("lang") == name, F.regexp_extract_all("t", F.lit("(?md)" + pats[what]), F.lit(1))).otherwise(out)
+        return out
+
+    rows = rows.select("file_id", "file_path", "lang", "t", *[found(w).alias(w) for w in ("imports", "functions", "classes")])
+    tests = F.array().cast("array<string>")
+    for name, pat in TEST_FUNCTIONS.items():
+        tests = F.when(F.col("lang") == name, F.expr(f"filter(functions, f -> f RLIKE '{pat}')")).otherwise(tests)
+    rows = rows.withColumn("test_functions", tests)
+    name = F.lower(F.element_at(F.split("file_path", "/"), -1))
+    lines = F.length("t") - F.length(F.replace("t", F.lit("\n"), F.lit(""))) + 1
+    is_test = name.contains("test") | name.contains("spec") | (F.size("test_functions") > 0)
+    return rows.select(
+        "file_id", lines.alias("num_lines"), *[F.size(w).alias(f"num_{w}") for w in ("imports", "functions", "classes")],
+        *[F.slice(w, 1, n).alias(w) for w, n in LISTED.items()], F.coalesce(is_test, F.lit(False)).alias("is_test_file"),
+    )
+
+
+def structure_scores(files: DataFrame) -> DataFrame:
+    """file_id, score: 0.4 functions + 0.3 imports + 0.2 ln(lines + 1) + 0.1 classes by ``structure``."""
+    s = structure(files)
+    return s.select("file_id", (0.4 * F.col("num_functions") + 0.3 * F.col("num_imports") + 0.2 * F.ln(F.col("num_lines") + 1.0) + 0.1 * F.col("num_classes")).alias("score"))
+
+
+def java_outline(files: DataFrame) -> DataFrame:
+    """file_id, imports, classes, methods of each Java file, by patterns; null texts have none."""
+    java = files.filter(extension("file_path") == "java")
+    t = one_line_end(F.coalesce("source_text", F.lit("")))
+    get = lambda p: F.regexp_extract_all(t, F.lit(p), F.lit(1))
+    return java.select("file_id", get(JAVA_IMPORT).alias("imports"), get(JAVA_CLASS).alias("classes"), get(JAVA_METHOD).alias("methods"))
 
 
 def diff_lines(diffs: DataFrame, id_col: str = "id", text_col: str = "diff") -> DataFrame:
@@ -96,6 +140,43 @@ def diff_files(lines: DataFrame) -> DataFrame:
     return lines.groupBy("id", "file_path").agg(plus.alias("n_added"), minus.alias("n_removed"), (plus - minus).alias("n_net"))
 
 
+def changed_files(diffs: DataFrame, id_col: str = "id", text_col: str = "diff", added_only: bool = False) -> DataFrame:
+    """One row per file section of unified diffs: id, section, file_path, language, n_changed, added_code, removed_code.
+
+    A section begins at ``+++ b/path`` and ends at the next such line or at ``diff --git``; lines count whether or not a
+    hunk header precedes them. Paths of other languages are left out: without ``added_only`` the seven of
+    ``DIFF_EXTENSIONS`` are kept; with it the twelve of ``DETECTED_EXTENSIONS``, and sections without an added line are
+    dropped. A diff is taken apart inside its row; null and empty diffs give no rows.
+    """
+    names = DETECTED_EXTENSIONS if added_only else DIFF_EXTENSIONS
+    rows = diffs.select(F.col(id_col).alias("id"), F.posexplode(F.filter(F.split(F.concat(F.lit("\n"), one_line_end(F.col(text_col))), r"\n(?=\+\+\+ b/|diff --git)"), lambda x: F.startswith(x, F.lit("+++ b/")))).alias("section", "part"))
+    lines = F.split("part", "\n")
+    rows = rows.select("id", "section", F.trim(F.substr(lines[0], F.lit(7))).alias("file_path"), F.slice(lines, F.lit(2), F.size(lines)).alias("l"))
+    take = lambda c: F.transform(F.filter("l", lambda x: F.startswith(x, F.lit(c)) & ~F.startswith(x, F.lit(c * 3))), lambda x: F.substr(x, F.lit(2)))
+    rows = rows.select("id", "section", "file_path", language("file_path", names).alias("language"), take("+").alias("a"), take("-").alias("r")).filter("language <> 'unknown'")
+    if added_only:
+        rows = rows.filter(F.size("a") > 0)
+    return rows.select("id", "section", "file_path", "language", (F.size("a") + F.size("r")).alias("n_changed"), F.array_join("a", "\n").alias("added_code"), F.array_join("r", "\n").alias("removed_code"))
+
+
+def diff_summary(changed: DataFrame) -> DataFrame:
+    """Per diff of ``changed_files``: files, languages, and lines changed."""
+    return changed.groupBy("id").agg(F.countDistinct("file_path").alias("n_files"), F.sort_array(F.collect_set("language")).alias("languages"), F.sum("n_changed").alias("lines_changed"))
+
+
+def file_slice(lines: DataFrame, file_path: str) -> DataFrame:
+    """The lines of one file of ``diff_lines``."""
+    return lines.filter(F.col("file_path") == file_path)
+
+
+def added_text(diffs: DataFrame, id_col: str = "id", text_col: str = "diff") -> DataFrame:
+    """id, text: the added lines of each diff, or the whole diff where they are blank; null diffs give an empty text."""
+    d = F.coalesce(F.col(text_col), F.lit(""))
+    plus = F.filter(F.split(d, "\n"), lambda x: F.startswith(x, F.lit("+")) & ~F.startswith(x, F.lit("+++")))
+    text = F.array_join(F.transform(plus, lambda x: F.substr(x, F.lit(2))), "\n")
+    return diffs.select(F.col(id_col).alias("id"), F.when(F.trim(text, F.lit(" \t\r\n")) == "", d).otherwise(text).alias("text"))
+
+
 def touched(functions: DataFrame, lines: DataFrame) -> DataFrame:
     """Functions (file_path, name, start_line, end_line) whose span holds an added line: an interval join by file."""
     added = lines.filter("op = '+'").select("file_path", "line")
@@ -111,70 +192,58 @@ def embedded_diffs(documents: DataFrame) -> DataFrame:
     return rows.select(F.struct("doc_id", "block").alias("id"), "part.diff")
 
 
-def impact(documents: DataFrame) -> DataFrame:
-    """Number of risk words in a text and the level they give (3 or more HIGH, 1 or more MEDIUM, else LOW)."""
-    t = F.lower(F.coalesce("text", F.lit("")))
-    n = sum((F.contains(t, F.lit(w)).cast("int") for w in RISK_WORDS), F.lit(0))
-    return documents.select("doc_id", n.alias("n_words"), F.when(n >= 3, "HIGH").when(n >= 1, "MEDIUM").otherwise("LOW").alias("level"))
-
-
-class _Functions(ast.NodeVisitor):
-    def __init__(self):
-        self.rows: list[dict] = []
-        self.owner: str | None = None
-
-    def visit_ClassDef(self, node: ast.ClassDef) -> None:
-        before, self.owner = self.owner, node.name
-        self.generic_visit(node)
-        self.owner = before
-
-    def visit_FunctionDef(self, node) -> None:
-        branch = (ast.If, ast.For, ast.While, ast.ExceptHandler, ast.With, ast.Assert, ast.comprehension, ast.BoolOp, ast.IfExp)
-        inner = list(ast.walk(node))
-        calls = [ast.unparse(x.func) for x in inner if isinstance(x, ast.Call)]
-        self.rows.append({
-            "name": node.name, "class_name": self.owner, "start_line": node.lineno, "end_line": node.end_lineno, "complexity": 1 + sum(isinstance(x, branch) for x in inner),
-            "num_args": len(node.args.args), "has_decorator": bool(node.decorator_list), "is_test": node.name.startswith("test"), "calls": list(dict.fromkeys(calls)),
-        })
-        self.generic_visit(node)
-
-    visit_AsyncFunctionDef = visit_FunctionDef
-
-
-_FUNCTION = pa.struct([("name", pa.string()), ("class_name", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("complexity", pa.int32()), ("num_args", pa.int32()), ("has_decorator", pa.bool_()), ("is_test", pa.bool_()), ("calls", pa.list_(pa.string()))])
-
-
-def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = []
-        for text in b.column(1).to_pylist():
-            v = _Functions()
-            try:
-                v.visit(ast.parse(text or ""))
-            except (SyntaxError, ValueError, RecursionError):
-                v.rows = []
-            out.append(v.rows)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(_FUNCTION))], names=["file_id", "functions"])
+def impact(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What a diff or text touches, by words: id, topics, tables, api_contract, schema_migration, n_words, level.
 
+    Topics are the first five quoted names of a text that mentions a message queue, tables up to eight names behind SQL
+    words, each once, in order. The level counts risk words: three or more HIGH, one or more MEDIUM, else LOW. A null text
+    touches nothing.
+    """
+    rows = texts.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    queue = F.lit(False)
+    for p in KAFKA:
+        queue = queue | F.col("t").rlike(p)
+    topics = F.when(queue, F.array_distinct(F.slice(F.regexp_extract_all("t", F.lit(TOPIC), F.lit(1)), 1, 5))).otherwise(F.array().cast("array<string>"))
+    named = F.concat(*[F.regexp_extract_all("t", F.lit(p), F.lit(1)) for p in TABLES])
+    tables = F.slice(F.array_distinct(F.filter(named, lambda x: F.length(x) > 2)), 1, 8)
+    low = F.lower("t")
+    n = sum((F.contains(low, F.lit(w)).cast("int") for w in RISK_WORDS), F.lit(0))
+    out = rows.select(id_col, topics.alias("topics"), tables.alias("tables"), F.col("t").rlike(CONTRACT).alias("api_contract"), F.col("t").rlike(MIGRATION).alias("schema_migration"), n.alias("n_words"))
+    return out.withColumn("level", F.when(F.col("n_words") >= 3, "HIGH").when(F.col("n_words") >= 1, "MEDIUM").otherwise("LOW"))
+
+
+def tags(paths: DataFrame, by: str = "repo") -> DataFrame:
+    """``by``, tags: the sorted tags whose word is found in the stem of a changed file."""
+    low = F.lower(stem("file_path"))
+    hit = F.explode(F.filter(F.array(*[F.lit(t) for t in TAGS]), lambda t: F.contains(low, t)))
+    return paths.select(by, hit.alias("tag")).groupBy(by).agg(F.sort_array(F.collect_set("tag")).alias("tags"))
+
+
+def summary(paths: DataFrame, levels: DataFrame, by: str = "repo") -> DataFrame:
+    """``by``, summary: how many files changed, the first three names, and the level of ``levels`` (``by``, level)."""
+    name = F.element_at(F.split("file_path", "/"), -1)
+    g = paths.groupBy(by).agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_set(F.struct("file_path", name.alias("name")))), 1, 3).alias("first"))
+    j = g.join(levels, by, "left")
+    return j.select(by, F.format_string("PR modifies %d module(s): %s. Risk level: %s.", "n", F.array_join("first.name", ", "), F.coalesce("level", F.lit("LOW"))).alias("summary"))
 
-def python_functions(files: DataFrame) -> DataFrame:
-    """One row per function of each Python file: name, class, span, complexity, arguments, decorator, test flag, calls."""
-    py = files.filter(F.endswith(F.lower("file_path"), F.lit(".py"))).select("file_id", "source_text")
-    kind = "array<struct<name string, class_name string, start_line int, end_line int, complexity int, num_args int, has_decorator boolean, is_test boolean, calls array<string>>>"
-    return py.mapInArrow(_trees, f"file_id long, functions {kind}").select("file_id", F.inline("functions"))
 
+ANSWER = "struct<summary string, kafka_topics_affected array<string>, shared_db_tables_affected array<string>, downstream_services_affected array<string>, api_contracts_changed boolean, schema_migrations_present boolean, risk_level string, risk_reason string, recommended_test_tags array<string>, safe_to_prune array<string>>"
+# How many entries or characters of an answer's fields are kept.
+ANSWER_LISTS = {"kafka_topics_affected": 10, "shared_db_tables_affected": 15, "downstream_services_affected": 10, "recommended_test_tags": 10, "safe_to_prune": 20}
+ANSWER_TEXTS = {"summary": 500, "risk_reason": 200}
 
-def call_edges(functions: DataFrame) -> DataFrame:
-    """(file_id, caller, callee): calls resolved by short name to functions of the same file."""
-    short = F.element_at(F.split("call", r"\."), -1)
-    c = functions.select("file_id", F.col("name").alias("caller"), F.explode("calls").alias("call")).select("file_id", "caller", short.alias("callee"))
-    return c.join(functions.select("file_id", F.col("name").alias("callee")).distinct(), ["file_id", "callee"]).select("file_id", "caller", "callee").distinct()
 
+def answers(raw: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Answers of a language model read as JSON: id and the fields of ``ANSWER``; rows without a JSON object are left out.
 
-def structural_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Functions added, removed or changed in complexity between two versions: full outer join by file, class and name."""
-    key = ["file_id", "class_name", "name"]
-    side = lambda d, s: d.select("file_id", F.coalesce("class_name", F.lit("")).alias("class_name"), "name", F.col("complexity").alias(s)).groupBy(*key).agg(F.max(s).alias(s))
-    j = side(old, "before").join(side(new, "after"), key, "full")
-    kind = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").when(F.col("before") != F.col("after"), "changed").otherwise("same")
-    return j.withColumn("kind", kind)
+    A code fence around the answer is dropped, the first to the last brace is read. Unknown risk levels become MEDIUM, missing
+    lists empty, missing flags false; lists and texts are cut at the sizes above.
+    """
+    body = F.trim(F.regexp_replace(F.trim(F.col(text_col), F.lit(" \t\r\n")), r"^```(?:json)?\n?|`+$", ""))
+    got = raw.select(F.col(id_col), F.from_json(F.regexp_extract(body, r"(?s)\{.*\}", 0), ANSWER).alias("a")).filter("a IS NOT NULL")
+    some = got.filter("size(filter(map_values(from_json(to_json(a), 'map<string,string>')), x -> x IS NOT NULL)) > 0")
+    risk = F.upper(F.coalesce("a.risk_level", F.lit("MEDIUM")))
+    lists = [F.slice(F.coalesce(f"a.{k}", F.array().cast("array<string>")), 1, n).alias(k) for k, n in ANSWER_LISTS.items()]
+    texts = [F.substring(F.coalesce(f"a.{k}", F.lit("")), 1, n).alias(k) for k, n in ANSWER_TEXTS.items()]
+    flags = [F.coalesce(f"a.{k}", F.lit(False)).alias(k) for k in ("api_contracts_changed", "schema_migrations_present")]
+    return some.select(id_col, *texts, *lists, *flags, F.when(risk.isin("LOW", "MEDIUM", "HIGH", "CRITICAL"), risk).otherwise("MEDIUM").alias("risk_level"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from kelpie.common import cut
+from kelpie.common import cut, in_ranges, lookup
 
 
 def reverse(edges: DataFrame) -> DataFrame:
@@ -79,6 +80,24 @@ def test_weights(pairs: DataFrame, threshold: float = 0.5) -> DataFrame:
     return w.crossJoin(F.broadcast(top)).select("test", "weight", (F.col("weight") / F.when(F.col("top") == 0, 1.0).otherwise(F.col("top"))).alias("pf"))
 
 
+def ranked_weights(pairs: DataFrame, threshold: float = 0.5, dirty: bool = False) -> DataFrame:
+    """``test_weights`` with the probability raised by 0.1 on a dirty grid, largest weight first; ties by name."""
+    w = test_weights(pairs, threshold)
+    pf = F.least(F.col("pf") + 0.1, F.lit(1.0)) if dirty else F.col("pf")
+    key = F.struct((-F.round("weight", 9)).alias("w"), "test")
+    r = in_ranges(w.withColumn("pf", pf).withColumn("__k", key), "__k")
+    sizes = r.groupBy("__p").agg(F.count("*").alias("n"))
+    base = sizes.select("__p", (F.sum("n").over(Window.orderBy("__p")) - F.col("n")).alias("b"))  # a row per range
+    rank = F.row_number().over(Window.partitionBy("__p").orderBy("__k")) + F.col("b")
+    return r.join(F.broadcast(base), "__p").select("test", "weight", "pf", rank.alias("rank"))
+
+
+def merge_edges(edges: DataFrame, proposed: DataFrame) -> DataFrame:
+    """``edges`` (src, test) and those of ``proposed`` whose src is known, each once; nothing is taken away."""
+    known = proposed.join(edges.select("src").distinct(), "src", "left_semi").select("src", "test")
+    return edges.select("src", "test").union(known).distinct()
+
+
 def expand_calls(calls: DataFrame, tests: DataFrame, depth: int = 3) -> DataFrame:
     """(function, seed, depth): callers within ``depth`` steps; each inherits from the smallest seed that first reached it."""
     seen = cut(tests.select(F.col("function"), F.col("function").alias("seed")).distinct().withColumn("depth", F.lit(0)))
@@ -92,32 +111,93 @@ def expand_calls(calls: DataFrame, tests: DataFrame, depth: int = 3) -> DataFram
     return seen
 
 
-def cycles(edges: DataFrame, longest: int = 5) -> DataFrame:
-    """Simple cycles of up to ``longest`` nodes, each once, as arrays that start at their smallest node."""
+def _core(edges: DataFrame, rounds: int = 2) -> DataFrame:
+    """Edges without those at nodes that lack an edge in or one out, which no cycle holds; a few rounds peel most of them."""
+    for _ in range(rounds):
+        inside = edges.select(F.col("a").alias("n")).intersect(edges.select(F.col("b").alias("n")))
+        edges = edges.join(inside.select(F.col("n").alias("a")), "a", "left_semi").join(inside.select(F.col("n").alias("b")), "b", "left_semi").select("a", "b")
+    return cut(edges)
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component): strongly connected components of two or more nodes, named by their smallest node, and self loops.
+
+    Forward and backward minima are spread along the edges until they settle; nodes whose two minima agree reach each
+    other and form a component, and the edges between unlike minima are dropped before the next round. State is one row
+    per node, of whatever length the cycles are.
+    """
+    e = edges.select(F.col("importer").alias("a"), F.col("imported").alias("b")).filter("a IS NOT NULL AND b IS NOT NULL").distinct()
+    loops = e.filter("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
+    e = cut(e.filter("a <> b"))
+    done = loops.limit(0)
+    while True:
+        e = _core(e)
+        if e.isEmpty():
+            break
+        f, g = _spread(e, "a", "b"), _spread(e, "b", "a")
+        both = cut(f.withColumnRenamed("least", "f").join(g.withColumnRenamed("least", "g"), "node"))
+        done = cut(done.union(both.filter("f = g").select("node", F.col("f").alias("component"))))
+        left = both.filter("f <> g")
+        x, y = (left.select(F.col("node").alias(c), F.col("f").alias(f"f{c}"), F.col("g").alias(f"g{c}")) for c in "ab")
+        e = cut(e.join(x, "a").join(y, "b").filter("fa = fb AND ga = gb").select("a", "b"))
+    many = done.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select("component")
+    done = done.join(many, "component", "left_semi").select("node", "component")
+    return done.union(loops.join(done, "node", "left_anti"))
+
+
+def _spread(e: DataFrame, src: str, dst: str) -> DataFrame:
+    """(node, least): the smallest node from which each node is reached along the edges, itself included.
+
+    A round passes minima on along the edges and then follows the pointer of every minimum, which doubles its reach.
+    """
+    low = cut(e.select(F.col("a").alias("node")).union(e.select("b")).distinct().withColumn("least", F.col("node")))
+    while True:
+        passed = e.join(low.withColumnRenamed("node", src), src).groupBy(F.col(dst).alias("node")).agg(F.min("least").alias("m"))
+        new = low.join(passed, "node", "left").select("node", "least", F.least("least", "m").alias("now"))
+        far = new.select(F.col("node").alias("now"), F.col("now").alias("further"))
+        new = cut(lookup(new, far, "now").select("node", F.least("now", "further").alias("now"), (F.least("now", "further") < F.col("least")).alias("moved")))
+        low = new.select("node", F.col("now").alias("least"))
+        if new.filter("moved").isEmpty():
+            return low
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """(component, cycle): one cycle, of any length, through the smallest node of each strongly connected component.
+
+    Cycles are arrays that begin with the component's smallest node and are shortest through it; of equally short ones the
+    way back over smaller nodes is taken. A search from that node inside the component gives every node one parent, all
+    components at once.
+    """
+    c = cut(strong_components(edges))
     e = edges.select(F.col("importer").alias("a"), F.col("imported").alias("b")).distinct()
-    paths = cut(e.filter("a < b").select(F.array("a", "b").alias("path")).union(e.filter("a = b").select(F.array("a", "b"))))
-    loops = paths.filter("path[0] = path[1]").select(F.slice("path", 1, 1).alias("cycle"))
-    paths = paths.filter("path[0] <> path[1]")
-    for _ in range(1, longest):
-        nxt = paths.withColumn("a", F.element_at("path", -1)).join(e, "a")
-        loops = loops.union(nxt.filter("b = path[0]").select(F.col("path").alias("cycle")))
-        paths = cut(nxt.filter("b > path[0] AND NOT array_contains(path, b)").select(F.concat("path", F.array("b")).alias("path")))
-        if paths.isEmpty():
+    node = lambda n: c.select(F.col("node").alias(n), F.col("component").alias(f"c{n}"))
+    e = cut(e.join(node("a"), "a").join(node("b"), "b").filter("ca = cb").select("a", "b", F.col("ca").alias("component")))
+    seen = cut(c.filter("node = component").select("component", "node", F.lit(None).cast(c.schema["node"].dataType).alias("parent"), F.lit(0).alias("depth")))
+    frontier, d = seen, 0
+    while True:
+        d += 1
+        step = frontier.select(F.col("node").alias("a")).join(e, "a").groupBy("component", F.col("b").alias("node")).agg(F.min("a").alias("parent"))
+        frontier = cut(step.join(seen.select("node"), "node", "left_anti").select("component", "node", "parent", F.lit(d).alias("depth")))
+        if frontier.isEmpty():
+            break
+        seen = cut(seen.union(frontier))
+    back = e.filter("b = component").select("component", F.col("a").alias("node")).join(seen.select("node", "depth"), "node")
+    walk = back.groupBy("component").agg(F.min(F.struct("depth", "node")).alias("m")).select("component", F.col("m.node").alias("at"), F.array("m.node").alias("cycle"))
+    done = []
+    walk = cut(walk)
+    while True:
+        done.append(walk.filter("at = component").select("component", "cycle"))
+        walk = walk.filter("at <> component").join(seen.select(F.col("node").alias("at"), "parent"), "at")
+        walk = cut(walk.select("component", F.col("parent").alias("at"), F.concat(F.array("parent"), "cycle").alias("cycle")))
+        if walk.isEmpty():
             break
-    return loops.distinct()
+    out = done[0]
+    for x in done[1:]:
+        out = out.union(x)
+    return out
 
 
 def degrees(edges: DataFrame) -> DataFrame:
     out = edges.groupBy(F.col("importer").alias("node")).agg(F.countDistinct("imported").alias("n_imports"))
     into = edges.groupBy(F.col("imported").alias("node")).agg(F.countDistinct("importer").alias("n_importers"))
     return out.join(into, "node", "full").fillna(0, ["n_imports", "n_importers"])
-
-
-def name_convention(paths: DataFrame) -> DataFrame:
-    """(test_path, module_path): test_x and x_test files joined to files of the stem x in the same repo and with the same extension."""
-    stem = F.regexp_extract("file_path", r"([^/]*)\.[^./]*$", 1)
-    ext = F.regexp_extract("file_path", r"\.([^./]*)$", 1)
-    p = paths.select("repo", "file_path", stem.alias("stem"), ext.alias("ext"))
-    t = p.filter("stem LIKE 'test%'").select("repo", "ext", F.col("file_path").alias("test_path"), F.explode(F.array_distinct(F.array(F.regexp_replace("stem", "^test_", ""), F.regexp_replace("stem", "^test", "")))).alias("stem"))
-    m = p.filter("NOT stem LIKE 'test%'").select("repo", "ext", "stem", F.col("file_path").alias("module_path"))
-    return t.join(m, ["repo", "ext", "stem"]).select("repo", "test_path", "module_path").distinct()

@@ -35,6 +35,16 @@ def plan(files: DataFrame, registry: DataFrame) -> DataFrame:
     return j.select("file_id", "repo", "file_path", state.alias("state"))
 
 
+def plan_counts(planned: DataFrame) -> DataFrame:
+    """(state, n) of a ``plan``: the counts of an extraction report."""
+    return planned.groupBy("state").agg(F.count("*").alias("n"))
+
+
+def get(registry: DataFrame, keys: DataFrame) -> DataFrame:
+    """The latest rows of ``keys`` (repo, file_path), distinct; unknown keys give none."""
+    return latest(registry.join(keys.select("repo", "file_path").distinct(), ["repo", "file_path"], "left_semi"))
+
+
 def copies(files: DataFrame) -> DataFrame:
     """Files whose content hash occurs more than once: the hash, how often, in how many repositories, and the first file."""
     g = files.filter("file_hash IS NOT NULL").groupBy("file_hash").agg(F.count("*").alias("n_files"), F.countDistinct("repo").alias("n_repos"), F.min("file_id").alias("first_file"))

@@ -1,15 +1,16 @@
-"""Failure scores and run decisions as plain expressions, and the models trained here."""
+"""Failure scores and run decisions as plain expressions."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import IDF, HashingTF, NGram, RegexTokenizer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-FEATURES = ["change_size", "module_impact", "failure_rate", "log_duration", "touches_db", "touches_queue", "touches_api"]
+# Weights of the composite impact and of two failure heuristics, and thresholds of the decisions.
+COMPOSITE = {"sim": 0.25, "in_dep": 0.20, "hashed": 0.15, "depth": 0.10, "pf": 0.20, "failure": 0.10}
+HEURISTIC = {"sim": 0.40, "direct": 0.25, "failure": 0.20, "hashed": 0.15}
+THREE = {"sim": 0.5, "impact": 0.3, "change": 0.2}
+SIM, PF, IMPACT, GATE, MARGIN, DIRTY_GRID = 0.65, 0.30, 0.15, 0.35, 0.25, 0.05
+ALONE = 0.5  # a decision by similarity alone
 
 
 def least_one(c: Column, n: float) -> Column:
@@ -19,61 +20,80 @@ def least_one(c: Column, n: float) -> Column:
 def composite(sim: Column, in_dep: Column, hashed: Column, pf: Column, depth: Column, failure: Column) -> Column:
     """Weighted impact of a candidate test; depth counts as 1 - depth / 6, at least 0."""
     near = F.greatest(F.lit(0.0), 1 - depth / 6)
-    return 0.25 * sim + 0.20 * in_dep + 0.15 * hashed + 0.10 * pf + 0.20 * near + 0.10 * failure
+    w = COMPOSITE
+    return w["sim"] * sim + w["in_dep"] * in_dep + w["hashed"] * hashed + w["depth"] * near + w["pf"] * pf + w["failure"] * failure
 
 
 def heuristic(sim: Column, direct: Column, failure: Column, hashed: Column) -> Column:
-    return 0.40 * sim + 0.25 * direct + 0.20 * failure + 0.15 * hashed
+    w = HEURISTIC
+    return w["sim"] * sim + w["direct"] * direct + w["failure"] * failure + w["hashed"] * hashed
 
 
-def gate(pf: Column, threshold: float = 0.35, margin: float = 0.25) -> Column:
-    return F.when(pf >= threshold + margin, "RUN_ALL_TESTS").when(pf >= threshold, "RUN_TEST").otherwise("PRUNE_TEST")
+def three_signal(sim: Column, impact: Column, lines: Column) -> Column:
+    """A failure probability from similarity, impact and changed lines."""
+    w = THREE
+    return w["sim"] * sim + w["impact"] * impact + w["change"] * least_one(lines, 200.0)
+
+
+def raised(threshold: float, dirty: Column | None) -> Column:
+    """The threshold, raised on a dirty grid."""
+    return F.lit(threshold) if dirty is None else F.when(dirty, F.lit(round(threshold + DIRTY_GRID, 4))).otherwise(F.lit(threshold))
+
+
+def gate(pf: Column, threshold: float = GATE, margin: float = MARGIN, dirty: Column | None = None) -> Column:
+    """Three ways by failure probability: run all, run, prune."""
+    t = raised(threshold, dirty)
+    return F.when(pf >= F.round(t + margin, 4), "RUN_ALL_TESTS").when(pf >= t, "RUN_TEST").otherwise("PRUNE_TEST")
+
+
+def alone(sim: Column) -> Column:
+    """A decision by similarity alone."""
+    return F.when(sim >= ALONE, "RUN_TEST").otherwise("PRUNE_TEST")
+
+
+def confident(action: Column, confidence: Column, least: float) -> Column:
+    """The action, or a full run where its confidence is below ``least``; a missing confidence counts as 1."""
+    return F.when(F.coalesce(confidence, F.lit(1.0)) < least, "FULL_RUN").otherwise(action)
+
+
+def valid_threshold(x: float) -> float:
+    """``x`` if it lies in (0, 1]; an error otherwise."""
+    if not 0 < x <= 1:
+        raise ValueError(f"a threshold lies above 0 and up to 1, not at {x}")
+    return x
+
+
+def boosted(pf: Column, dirty: Column, by: float = 0.1) -> Column:
+    """A failure probability raised on a dirty grid, at most 1."""
+    return F.when(dirty, F.least(pf + by, F.lit(1.0))).otherwise(pf)
 
 
 def cascade(c: dict[str, Column], dirty: Column) -> Column:
-    """The first rule that holds for a candidate, or PRUNED; the similarity threshold is 0.65, on a dirty grid 0.70."""
-    t = F.when(dirty, 0.70).otherwise(0.65)
+    """The first rule that holds for a candidate, or PRUNED."""
+    t = raised(SIM, dirty)
     yes = lambda x: F.coalesce(x, F.lit(False))
     return (
         F.when(yes(c["always"]), "ALWAYS_RUN")
         .when(yes(c["hashed"] & c["in_dep"] & (c["depth"] <= 1)), "DIRECT_DEPENDENCY")
         .when(yes(c["sim"] >= t), "HIGH_SIMILARITY")
         .when(yes(c["in_dep"] & (c["sim"] >= t / 2)), "TRANSITIVE_DEP")
-        .when(yes(c["pf"] >= 0.30), "HIGH_PF")
-        .when(yes(c["impact"] >= 0.15), "COMPOSITE_IMPACT")
+        .when(yes(c["pf"] >= PF), "HIGH_PF")
+        .when(yes(c["impact"] >= IMPACT), "COMPOSITE_IMPACT")
         .otherwise("PRUNED")
     )
 
 
-def fit(matrix: DataFrame, seed: int = 42):
-    """Boosted trees on the training matrix, the rarer class weighted up, on a stratified 80 % by hash of record_id."""
-    train = matrix.filter(F.pmod(F.xxhash64("record_id", F.lit(seed)), F.lit(10)) < 8)
-    n = {r.label: r.n for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two classes
-    ratio = n.get(0, 1) / max(n.get(1, 1), 1)
-    weighted = train.withColumn("w", F.when(F.col("label") == 1, ratio).otherwise(1.0)).withColumn("label", F.col("label").cast("double"))
-    stages = [VectorAssembler(inputCols=FEATURES, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), GBTClassifier(maxIter=20, maxDepth=4, stepSize=0.1, weightCol="w", seed=seed)]
-    return Pipeline(stages=stages).fit(weighted)
-
-
-def score(model, matrix: DataFrame) -> DataFrame:
-    return model.transform(matrix).select("record_id", "label", vector_to_array("probability")[1].alias("pf"), F.col("prediction").cast("int").alias("predicted"))
-
-
-def metrics(scored: DataFrame) -> DataFrame:
-    """Precision, recall, F1 and accuracy of a scored table, as one row."""
-    tp, fp = F.count_if((F.col("label") == 1) & (F.col("predicted") == 1)), F.count_if((F.col("label") == 0) & (F.col("predicted") == 1))
-    fn, ok = F.count_if((F.col("label") == 1) & (F.col("predicted") == 0)), F.count_if(F.col("label") == F.col("predicted"))
-    p, r = F.try_divide(tp, tp + fp), F.try_divide(tp, tp + fn)
-    return scored.agg(F.count("*").alias("n"), p.alias("precision"), r.alias("recall"), F.try_divide(2 * tp, 2 * tp + fp + fn).alias("f1"), (ok / F.count("*")).alias("accuracy"))
-
-
-def tfidf(files: DataFrame, features: int = 4096) -> DataFrame:
-    """(file_id, n_terms, norm): hashed TF-IDF of words and word pairs, as a cheap content embedding."""
-    words = RegexTokenizer(inputCol="t", outputCol="one", pattern="[A-Za-z_][A-Za-z0-9_]+", gaps=False)
-    pairs = NGram(n=2, inputCol="one", outputCol="two")
-    both = words.transform(files.select("file_id", F.coalesce("source_text", F.lit("")).alias("t")))
-    both = pairs.transform(both).withColumn("terms", F.concat("one", "two"))
-    tf = HashingTF(inputCol="terms", outputCol="tf", numFeatures=features).transform(both)
-    out = IDF(inputCol="tf", outputCol="vec").fit(tf).transform(tf)
-    v = vector_to_array("vec")
-    return out.select("file_id", F.size("terms").alias("n_terms"), F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)).alias("norm"))
+def reason(rule: Column, c: dict[str, Column], dirty: Column) -> Column:
+    """A sentence on the rule of ``cascade`` with the figures behind it."""
+    t = raised(SIM, dirty)
+    say = lambda text, *x: F.format_string(text, *[v.cast("double") for v in x])
+    return (
+        F.when(rule == "ALWAYS_RUN", F.lit("ALWAYS_RUN: historic failure rate above 20%"))
+        .when(rule == "DIRECT_DEPENDENCY", say("DIRECT_DEPENDENCY: hash changed + direct import path (sim=%.3f)", c["sim"]))
+        .when(rule == "HIGH_SIMILARITY", say("HIGH_SIMILARITY: sim=%.3f >= %.2f", c["sim"], t))
+        .when(rule == "TRANSITIVE_DEP", say("TRANSITIVE_DEP: depth=%.0f, sim=%.3f", c["depth"], c["sim"]))
+        .when(rule == "HIGH_PF", say("HIGH_PF: pf=%.3f >= %.2f", c["pf"], F.lit(PF)))
+        .when(rule == "COMPOSITE_IMPACT", say("COMPOSITE_IMPACT: score=%.3f", c["impact"]))
+        .when(rule == "PRUNED", F.concat(say("PRUNED: sim=%.3f < %.2f, pf=%.3f < %.2f, dep=", c["sim"], t, c["pf"], F.lit(PF)), F.when(c["in_dep"], "yes").otherwise("no"), say(", impact=%.3f", c["impact"])))
+        .otherwise(rule)
+    )

@@ -18,10 +18,15 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def usable(registry: DataFrame, dim: int = 64) -> DataFrame:
-    """(module_id, v): one vector per module, of ``dim`` finite values not all zero; the latest by updated_at."""
+    """(module_id, v): one vector per module, of ``dim`` finite values not all zero; the latest by updated_at, then by hash."""
     v = F.col("embedding").cast("array<double>")
     fine = F.coalesce((F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
-    return registry.filter(fine).groupBy("module_id").agg(F.max_by(v, "updated_at").alias("v"))
+    return registry.filter(fine).groupBy("module_id").agg(F.max_by(v, F.struct("updated_at", F.xxhash64("embedding"))).alias("v"))
+
+
+def cosine_or(a: Column, b: Column, missing: float) -> Column:
+    """Cosine of two arrays; ``missing`` where one is null."""
+    return F.coalesce(cosine(a, b), F.lit(missing))
 
 
 def unit(vectors: DataFrame) -> DataFrame:

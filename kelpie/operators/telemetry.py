@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kelpie.common import blanks
+from kelpie.common import blanks, cut, in_ranges, join_safe, lookup, quantiles
 
 # Flags of a test name and the pattern that sets each (letter case counts).
-NAME_FLAGS = {"is_integration": "integration|IT$|Integration", "is_unit": "unit|Unit", "is_e2e": "e2e|E2E|endtoend", "is_perf": "perf|Perf|load|bench", "is_smoke": "smoke|Smoke"}
+NAME_FLAGS = {
+    "is_unit": "unit|Unit",
+    "is_integration": "integrat|Integration|IT",
+    "is_e2e": "e2e|E2E|end.to.end",
+    "is_perf": "perf|Perf|benchmark|Benchmark|load|Load",
+    "is_smoke": "smoke|Smoke|sanity|Sanity",
+}
+# Flags of a training row and the words in its test name that set each (letter case does not count).
+TRAINING_FLAGS = {
+    "is_shared_db": "db|database|sql",
+    "is_frontend_contract": "contract|api|frontend",
+    "is_shared_utility": "util|helper|common",
+    "is_kafka_consumer": "consumer|kafka|stream",
+    "is_kafka_producer": "producer|publisher|emit",
+}
 
 
 def typed(runs: DataFrame) -> DataFrame:
@@ -26,18 +40,23 @@ def typed(runs: DataFrame) -> DataFrame:
 def clean(runs: DataFrame) -> DataFrame:
     """Typed runs with durations imputed (median of the test, then of the phase), an outlier flag (3 x IQR), and a result.
 
-    Statistics are kept per phase and taken before rows without a result are dropped. Medians are aggregates joined
-    back, not windows, so a test that holds a third of all rows costs one partial aggregate.
+    Statistics are kept per phase and taken before rows without a result are dropped. Runs are read once; medians and
+    quartiles come from counts per distinct value (``quantiles``), and medians are joined back with salt, so neither a
+    phase nor a test that holds most rows is gathered in one task. Phases and tests may be null; empty tables stay empty.
     """
-    n = typed(runs)
-    per_test = n.groupBy("phase", "test_name").agg(F.median("duration").alias("tm"))
-    m = n.join(per_test, [n.phase.eqNullSafe(per_test.phase), n.test_name.eqNullSafe(per_test.test_name)], "left").select(n["*"], "tm").withColumn("duration", F.coalesce("duration", "tm"))
-    per_phase = m.groupBy("phase").agg(F.median("duration").alias("gm"))
-    i = m.join(F.broadcast(per_phase), "phase").withColumn("duration", F.coalesce("duration", "gm"))  # two phases
-    q = i.groupBy("phase").agg(F.percentile("duration", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    n = cut(typed(runs).withColumn("key", F.concat_ws("\x1f", F.coalesce("phase", F.lit("\x1e")), F.coalesce("test_name", F.lit("\x1e")))))
+    median = quantiles(n.filter("duration IS NOT NULL"), ["key"], "duration", [0.5]).select("key", F.col("q")[0].alias("tm"))
+    m = cut(lookup(n, median, "key").select("phase", "build", "test_name", "result", F.coalesce("duration", "tm").alias("duration")))
+    counts = cut(m.groupBy("phase", "duration").agg(F.count("*").alias("c")))
+    gm = quantiles(counts, ["phase"], "duration", [0.5], "c").select("phase", F.col("q")[0].alias("gm"))
+    filled = join_safe(counts, gm, ["phase"], "left", small=True).select("phase", F.coalesce("duration", "gm").alias("duration"), "c")  # two phases
+    q = quantiles(filled, ["phase"], "duration", [0.25, 0.75], "c").select("phase", F.col("q").alias("q"))
+    facts = join_safe(gm, q, ["phase"])
     span = 3 * (F.col("q")[1] - F.col("q")[0])
     out = (F.col("duration") < F.col("q")[0] - span) | (F.col("duration") > F.col("q")[1] + span)
-    return i.join(F.broadcast(q), "phase").filter("result IS NOT NULL").select("phase", "build", "test_name", "duration", "result", out.cast("int").alias("is_outlier"))
+    i = join_safe(m.filter("result IS NOT NULL"), facts, ["phase"], "left", small=True)
+    i = i.select("phase", "build", "test_name", F.coalesce("duration", "gm").alias("duration"), "result", "q")
+    return i.select("phase", "build", "test_name", "duration", "result", F.coalesce(out, F.lit(False)).cast("int").alias("is_outlier"))
 
 
 def per_key(cleaned: DataFrame) -> DataFrame:
@@ -63,12 +82,14 @@ def combined(runs: DataFrame) -> DataFrame:
 
 
 def duration_features(cleaned: DataFrame) -> DataFrame:
-    """Log, z-score and min-max of durations per phase, and mean, deviation and ratio per test."""
+    """Log, z-score and min-max of durations per phase, and mean, deviation and ratio per test; runs without a test are left out."""
+    cleaned = cut(cleaned)
     p = cleaned.groupBy("phase").agg(F.avg("duration").alias("m"), F.stddev_samp("duration").alias("s"), F.min("duration").alias("lo"), F.max("duration").alias("hi"))
-    t = cleaned.filter("test_name IS NOT NULL").groupBy("phase", "test_name").agg(F.avg("duration").alias("test_mean"), F.coalesce(F.stddev_samp("duration"), F.lit(0.0)).alias("test_std"))
+    named = cleaned.filter("test_name IS NOT NULL AND phase IS NOT NULL")
+    t = named.groupBy("phase", "test_name").agg(F.avg("duration").alias("test_mean"), F.coalesce(F.stddev_samp("duration"), F.lit(0.0)).alias("test_std"))
     d = F.col("duration")
     span = F.col("hi") - F.col("lo")
-    return cleaned.join(F.broadcast(p), "phase").join(t, ["phase", "test_name"]).select(
+    return lookup(named.join(F.broadcast(p), "phase"), t, ["phase", "test_name"], "inner").select(
         "phase", "build", "test_name", "duration", F.log1p(d).alias("log_duration"), ((d - F.col("m")) / (F.col("s") + 1e-8)).alias("z"),
         F.when(span > 0, (d - F.col("lo")) / span).otherwise(0.0).alias("scaled"), "test_mean", "test_std", (d / (F.col("test_mean") + 1e-8)).alias("ratio"),
     )
@@ -88,35 +109,95 @@ def build_stats(cleaned: DataFrame) -> DataFrame:
     )
 
 
+def _name_columns(c: Column) -> list[Column]:
+    depth = F.size(F.filter(F.split(c, r"[./:#_\-]"), lambda x: x != ""))
+    flags = [c.rlike(p).cast("int").alias(k) for k, p in NAME_FLAGS.items()]
+    return [*flags, F.length(c).alias("name_length"), depth.alias("name_depth"), F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("long").alias("name_hash")]
+
+
 def name_features(runs: DataFrame) -> DataFrame:
     """Flags, length, depth and a stable hash of each distinct test name."""
     names = runs.select(blanks("test_name").alias("test_name")).filter("test_name <> ''").distinct()
-    c = F.col("test_name")
-    depth = F.size(F.filter(F.split(c, r"[./:#_\-]"), lambda x: x != ""))
-    return names.select(
-        c, *[c.rlike(p).cast("int").alias(k) for k, p in NAME_FLAGS.items()], F.length(c).alias("name_length"), depth.alias("name_depth"),
-        F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("long").alias("name_hash"),
-    )
+    return names.select("test_name", *_name_columns(F.col("test_name")))
+
+
+def _segments(build: Column) -> list[Column]:
+    parts = F.split(build, "[/_]")
+    return [F.coalesce(F.get(parts, F.lit(i)), F.lit("")).alias(f"segment_{i + 1}") for i in range(4)] + [F.size(parts).alias("depth")]
 
 
 def dense_codes(values: DataFrame, column: str) -> DataFrame:
-    """0-based rank of each distinct value in code-point order, without one task that sorts them all.
+    """0-based rank of each distinct value in code-point order: row numbers inside ranges, after the sizes of the ranges before."""
+    v = in_ranges(values.select(column).filter(F.col(column).isNotNull()).distinct(), column)
+    sizes = v.groupBy("__p").agg(F.count("*").alias("__n"))
+    base = sizes.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__base"))  # a row per range
+    rank = F.row_number().over(Window.partitionBy("__p").orderBy(column)) - 1 + F.col("__base")
+    return v.join(F.broadcast(base), "__p").select(column, rank.cast("long").alias("code"))
+
 
-    Values are ranked inside bounded ranges of their first two characters; the ranges' sizes are summed first.
+def build_segments(runs: DataFrame) -> DataFrame:
+    """Four segments and depth of each distinct build, and the codes of the build and of each segment among all builds."""
+    b = cut(runs.select(blanks("build").alias("build")).filter("build <> ''").distinct().select("build", *_segments(F.col("build"))))
+    long = b.select("build", F.posexplode(F.array(*[f"segment_{i}" for i in range(1, 5)])).alias("at", "value"))
+    v = in_ranges(long.select("at", "value").distinct(), "at", "value")
+    sizes = v.groupBy("__p", "at").agg(F.count("*").alias("n"))  # ranges and four positions
+    base = sizes.select("__p", "at", (F.sum("n").over(Window.partitionBy("at").orderBy("__p")) - F.col("n")).alias("base"))
+    rank = F.row_number().over(Window.partitionBy("__p", "at").orderBy("value")) - 1 + F.col("base")
+    codes = v.join(F.broadcast(base), ["__p", "at"]).select("at", "value", rank.cast("long").alias("c"))
+    wide = lookup(long, codes, ["at", "value"], "inner").groupBy("build").agg(*[F.max(F.when(F.col("at") == i, F.col("c"))).alias(f"segment_{i + 1}_code") for i in range(4)])
+    return b.join(wide, "build").join(dense_codes(b, "build"), "build")
+
+
+def engineered(cleaned: DataFrame) -> DataFrame:
+    """Every cleaned run with all features beside it: of its duration, its test's and build's history, its names.
+
+    Statistics are per phase; they are joined with salt, so a test or build that holds a third of the runs is no
+    bottleneck. A null test or build has null features of its own, and its history is that of all such runs.
     """
-    v = values.select(column).filter(F.col(column).isNotNull()).distinct().withColumn("__k", F.substring(column, 1, 2))
-    sizes = v.groupBy("__k").agg(F.count("*").alias("__n"))
-    base = sizes.select("__k", (F.sum("__n").over(Window.orderBy("__k")) - F.col("__n")).alias("__base"))
-    rank = F.row_number().over(Window.partitionBy("__k").orderBy(column)) - 1 + F.col("__base")
-    return v.join(base, "__k").select(column, rank.cast("long").alias("code"))
+    cleaned = cut(cleaned)
+    p = cleaned.groupBy("phase").agg(F.avg("duration").alias("m"), F.stddev_samp("duration").alias("s"), F.min("duration").alias("lo"), F.max("duration").alias("hi"))
+    key = lambda c: F.concat_ws("\x1f", F.coalesce("phase", F.lit("\x1e")), F.coalesce(c, F.lit("\x1e")))
+    rows = cleaned.withColumns({"tk": key("test_name"), "bk": key("build")})
+    rate = F.avg("result")
+    failed = F.count_if(F.col("result") == 0)
+    t = rows.groupBy("tk").agg(F.avg("duration").alias("test_mean"), F.coalesce(F.stddev_samp("duration"), F.lit(0.0)).alias("test_std"), rate.alias("test_pass_rate"), F.count("*").alias("test_runs"), failed.alias("test_failures"))
+    b = rows.groupBy("bk").agg(rate.alias("build_pass_rate"), F.count("*").alias("build_runs"), failed.alias("build_failures"))
+    j = lookup(lookup(rows, t, "tk", "inner"), b, "bk", "inner")
+    j = join_safe(j, p, ["phase"], small=True)
+    d, span = F.col("duration"), F.col("hi") - F.col("lo")
+    return j.select(
+        "phase", "build", "test_name", "duration", "result", "is_outlier", F.log1p(d).alias("duration_log"), ((d - F.col("m")) / (F.col("s") + 1e-8)).alias("duration_zscore"),
+        F.when(span > 0, (d - F.col("lo")) / span).otherwise(0.0).alias("duration_normalized"), "test_mean", "test_std", (d / (F.col("test_mean") + 1e-8)).alias("duration_ratio"),
+        "test_pass_rate", (1 - F.col("test_pass_rate")).alias("test_failure_rate"), "test_runs", "test_failures", (1 - 2 * F.abs(F.col("test_pass_rate") - 0.5)).alias("test_flakiness"),
+        "build_pass_rate", "build_runs", "build_failures", (F.col("build_failures") > 0).cast("int").alias("build_has_failure"), *_name_columns(F.col("test_name")), *_segments(F.col("build")),
+    )
 
 
-def build_segments(runs: DataFrame) -> DataFrame:
-    """Four segments, depth and code of each distinct build."""
-    b = runs.select(blanks("build").alias("build")).filter("build <> ''").distinct()
-    parts = F.split("build", "[/_]")
-    seg = [F.coalesce(F.get(parts, F.lit(i)), F.lit("")).alias(f"segment_{i + 1}") for i in range(4)]
-    return b.select("build", *seg, F.size(parts).alias("depth")).join(dense_codes(b, "build"), "build")
+def totals(combined_table: DataFrame) -> DataFrame:
+    """Records, regressions, and records of one phase only, as one row; null flags count as 0."""
+    s = lambda c: F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0)).alias(c)
+    return combined_table.agg(F.count("*").alias("n_records"), s("regression_detected"), s("only_in_pre"), s("only_in_post"))
+
+
+def history_of(tests: DataFrame, combined_table: DataFrame) -> DataFrame:
+    """(test, failure_rate, duration) of each test path or name: by the stem of its last part, else by its full name, else 0 and 30 s.
+
+    ``tests`` has a column test. History is keyed by the stem of the recorded test name and by the name itself; where
+    several records share a key the last in order of build, name and record wins. Both lookups are salted.
+    """
+    stem = lambda c: F.regexp_extract(F.element_at(F.split(c, "/"), -1), r"^(.+?)(?:\.[^.]*)?$", 1)
+    num = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    rate = F.coalesce(num("failure_count_pre") / F.greatest(F.coalesce(num("total_runs_pre"), F.lit(1.0)), F.lit(1.0)), F.lit(0.0))
+    c = combined_table.filter("build IS NOT NULL AND test_name IS NOT NULL").select(
+        F.struct("build", "test_name", "record_id").alias("o"), F.explode(F.array_distinct(F.array(F.struct(F.lit("s").alias("by"), stem("test_name").alias("key")), F.struct(F.lit("n").alias("by"), F.col("test_name").alias("key"))))).alias("k"),
+        F.struct(rate.alias("rate"), F.coalesce(num("duration_mean_pre"), F.lit(30.0)).alias("duration")).alias("v"),
+    )
+    last = c.filter("k.key <> ''").groupBy("k").agg(F.max_by("v", "o").alias("v"))
+    asked = tests.select("test").distinct().select("test", F.struct(F.lit("s").alias("by"), stem("test").alias("key")).alias("k"), F.struct(F.lit("n").alias("by"), F.col("test").alias("key")).alias("k2"))
+    one = lookup(asked, last.withColumnRenamed("v", "v1"), "k")
+    two = lookup(one, last.select(F.col("k").alias("k2"), F.col("v").alias("v2")), "k2")
+    v = F.coalesce("v1", "v2")
+    return two.select("test", F.coalesce(v["rate"], F.lit(0.0)).alias("failure_rate"), F.coalesce(v["duration"], F.lit(30.0)).alias("duration"))
 
 
 def summary(runs: DataFrame) -> DataFrame:
@@ -129,9 +210,11 @@ def summary(runs: DataFrame) -> DataFrame:
 
 
 def describe(cleaned: DataFrame) -> DataFrame:
-    q = F.percentile("duration", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    a = cleaned.groupBy("phase").agg(F.count("duration").alias("n"), F.avg("duration").alias("mean"), F.stddev_samp("duration").alias("std"), F.min("duration").alias("least"), q.alias("q"), F.max("duration").alias("most"))
-    return a.select("phase", "n", "mean", "std", "least", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "most")
+    """Eight figures of the durations of each phase."""
+    cleaned = cut(cleaned.select("phase", "duration"))
+    a = cleaned.groupBy("phase").agg(F.count("duration").alias("n"), F.avg("duration").alias("mean"), F.stddev_samp("duration").alias("std"), F.min("duration").alias("least"), F.max("duration").alias("most"))
+    j = join_safe(a, quantiles(cleaned, ["phase"], "duration", [0.25, 0.5, 0.75]).select("phase", "q"), ["phase"], "left")
+    return j.select("phase", "n", "mean", "std", "least", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "most")
 
 
 def top_failing(cleaned: DataFrame, k: int = 10) -> DataFrame:
@@ -156,12 +239,23 @@ def last_rates(combined_table: DataFrame) -> DataFrame:
 
 
 def training_matrix(combined_table: DataFrame) -> DataFrame:
-    """Features and label of each combined record, with defaults where a phase did not run."""
+    """The sixteen features of a (module, test) pair and the label, as far as a combined record tells; missing figures by default.
+
+    Null and NaN figures count as missing. What only a change shows is constant: no direct dependency, depth 1, hash
+    changed, no functions, no test file. Similarity and flakiness are read where the table has them, else 0.5 and 0.
+    """
+    has = set(combined_table.columns)
+    num = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
     low = F.lower(F.coalesce("test_name", F.lit("")))
+    flag = {k: low.rlike(p).cast("int") for k, p in TRAINING_FLAGS.items()}
+    some = lambda c, missing: F.coalesce(num(c), F.lit(missing)) if c in has else F.lit(missing)
+    zero = F.lit(0.0)
+    least_one = lambda c: F.when(num(c) < 1, 1.0).otherwise(num(c))
     return combined_table.select(
-        "record_id", F.coalesce(F.abs("delta_duration") / 500, F.lit(0.0)).alias("change_size"), (1 - F.coalesce("pass_rate_pre", F.lit(1.0))).alias("module_impact"),
-        F.coalesce(F.try_divide("failure_count_pre", F.greatest("total_runs_pre", F.lit(1))), F.lit(0.0)).alias("failure_rate"),
-        F.ln(F.greatest(F.coalesce("duration_mean_pre", F.lit(30.0)), F.lit(1.0)) + 1).alias("log_duration"),
-        low.rlike("db|database|sql").cast("int").alias("touches_db"), low.rlike("kafka|queue|stream").cast("int").alias("touches_queue"), low.rlike("api|http|rest").cast("int").alias("touches_api"),
-        F.coalesce("regression_detected", F.lit(0)).alias("label"),
+        "record_id", some("similarity_score", 0.5).alias("cosine_similarity"), F.coalesce(F.abs(num("delta_duration")) / 500, zero).alias("change_size"),
+        F.coalesce(1 - num("pass_rate_pre"), zero).alias("module_impact_score"), F.lit(0).alias("is_direct_dependency"), F.lit(1).alias("transitive_depth"),
+        *[flag[k].alias(k) for k in TRAINING_FLAGS],
+        F.coalesce(num("failure_count_pre") / least_one("total_runs_pre"), zero).alias("historical_failure_rate"), some("test_flakiness_score", 0.0).alias("test_flakiness_score"),
+        F.coalesce(F.ln(least_one("duration_mean_pre") + 1), zero).alias("duration_log"),
+        F.lit(1).alias("hash_changed"), F.lit(0).alias("num_functions_changed"), F.lit(0).alias("is_test_file"), F.coalesce("regression_detected", F.lit(0)).alias("label"),
     )

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpie.common import even, table
-from kelpie.operators import badrows, codetext, graph, registry, scoring, similarity, telemetry
+from kelpie.operators import badrows, codetext, graph, outline, registry, scoring, similarity, telemetry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -85,17 +85,31 @@ _query(
     "build_stats", "ci_runs",
     sql=f"WITH {_CLEAN} SELECT phase, build, {_r('avg(result)', 'pass_rate')}, count(*) AS n_runs, count(*) FILTER (WHERE result = 0) AS n_failures, max(1 - result) AS has_failure FROM cleaned GROUP BY phase, build",
 )(lambda t: telemetry.build_stats(telemetry.clean(t)))
-_FLAGS = ", ".join(f"CASE WHEN regexp_matches(test_name, '{p}') THEN 1 ELSE 0 END AS {k}" for k, p in telemetry.NAME_FLAGS.items())
+_FLAGS = """CAST(regexp_matches(test_name, 'unit|Unit') AS INT) AS is_unit, CAST(regexp_matches(test_name, 'integrat|Integration|IT') AS INT) AS is_integration, CAST(regexp_matches(test_name, 'e2e|E2E|end.to.end') AS INT) AS is_e2e,
+CAST(regexp_matches(test_name, 'perf|Perf|benchmark|Benchmark|load|Load') AS INT) AS is_perf, CAST(regexp_matches(test_name, 'smoke|Smoke|sanity|Sanity') AS INT) AS is_smoke"""
 _query(
     "test_name_features", "ci_runs",
     sql=rf"""SELECT test_name, {_FLAGS}, length(test_name) AS name_length, len(list_filter(regexp_split_to_array(test_name, '[./:#_\-]'), lambda x: x <> '')) AS name_depth,
 CAST('0x' || substr(md5(test_name), 1, 8) AS BIGINT) AS name_hash FROM (SELECT DISTINCT {_t('test_name')} AS test_name FROM ci_runs) WHERE test_name <> ''""",
 )(telemetry.name_features)
 _SEG = ", ".join(f"coalesce(p[{i}], '') AS segment_{i}" for i in range(1, 5))
+_CODE = ", ".join(f"dense_rank() OVER (ORDER BY segment_{i}) - 1 AS segment_{i}_code" for i in range(1, 5))
 _query(
     "build_segments", "ci_runs",
-    sql=f"""SELECT build, {_SEG}, len(p) AS depth, dense_rank() OVER (ORDER BY build) - 1 AS code FROM (SELECT build, regexp_split_to_array(build, '[/_]') AS p FROM (SELECT DISTINCT {_t('build')} AS build FROM ci_runs) WHERE build <> '')""",
+    sql=f"""SELECT *, {_CODE} FROM (SELECT build, {_SEG}, len(p) AS depth, dense_rank() OVER (ORDER BY build) - 1 AS code FROM (SELECT build, regexp_split_to_array(build, '[/_]') AS p FROM (SELECT DISTINCT {_t('build')} AS build FROM ci_runs) WHERE build <> ''))""",
 )(telemetry.build_segments)
+_query(
+    "engineered_runs", "ci_runs",
+    sql=f"""WITH {_CLEAN}, p AS (SELECT phase, avg(duration) AS m, stddev_samp(duration) AS s, min(duration) AS lo, max(duration) AS hi FROM cleaned GROUP BY phase),
+t AS (SELECT phase, test_name, avg(duration) AS tm, coalesce(stddev_samp(duration), 0) AS ts, avg(result) AS tp, count(*) AS tn, count(*) FILTER (WHERE result = 0) AS tf FROM cleaned GROUP BY ALL),
+b AS (SELECT phase, build, avg(result) AS bp, count(*) AS bn, count(*) FILTER (WHERE result = 0) AS bf FROM cleaned GROUP BY ALL)
+SELECT phase, build, test_name, {_r('duration', 'duration')}, result, is_outlier, {_r('ln(1 + duration)', 'duration_log')}, {_r('(duration - m) / (s + 1e-8)', 'duration_zscore')}, {_r('CASE WHEN hi > lo THEN (duration - lo) / (hi - lo) ELSE 0 END', 'duration_normalized')},
+{_r('tm', 'test_mean')}, {_r('ts', 'test_std')}, {_r('duration / (tm + 1e-8)', 'duration_ratio')}, {_r('tp', 'test_pass_rate')}, {_r('1 - tp', 'test_failure_rate')}, tn AS test_runs, tf AS test_failures, {_r('1 - 2 * abs(tp - 0.5)', 'test_flakiness')},
+{_r('bp', 'build_pass_rate')}, bn AS build_runs, bf AS build_failures, CAST(bf > 0 AS INT) AS build_has_failure, {_FLAGS}, length(test_name) AS name_length, len(list_filter(regexp_split_to_array(test_name, '[./:#_\\-]'), lambda x: x <> '')) AS name_depth,
+CAST('0x' || substr(md5(test_name), 1, 8) AS BIGINT) AS name_hash, coalesce(split[1], '') AS segment_1, coalesce(split[2], '') AS segment_2, coalesce(split[3], '') AS segment_3, coalesce(split[4], '') AS segment_4, len(split) AS depth
+FROM (SELECT *, regexp_split_to_array(build, '[/_]') AS split FROM cleaned) JOIN p USING (phase) JOIN t USING (phase, test_name) JOIN b USING (phase, build)""",
+)(lambda t: telemetry.engineered(telemetry.clean(t)).filter("test_name IS NOT NULL AND build IS NOT NULL"))
+_query("regression_totals", "combined_submit", sql="SELECT count(*) AS n_records, CAST(sum(regression_detected) AS BIGINT) AS regression_detected, CAST(sum(only_in_pre) AS BIGINT) AS only_in_pre, CAST(sum(only_in_post) AS BIGINT) AS only_in_post FROM combined_submit")(telemetry.totals)
 _query(
     "eda_summary", "ci_runs",
     sql=f"""WITH {_TYPED} SELECT phase, count(*) AS n_rows, count(DISTINCT build) AS n_builds, count(DISTINCT test_name) AS n_tests, {_r('avg(duration)', 'mean_duration')},
@@ -116,11 +130,14 @@ _query(
     sql=f"""WITH {_CLEAN}, c AS (SELECT phase, result, count(*) AS n FROM cleaned GROUP BY ALL)
 SELECT phase, result, n, {_r('n / sum(n) OVER (PARTITION BY phase)', 'share')}, {_r('CAST(max(n) OVER (PARTITION BY phase) AS DOUBLE) / min(n) OVER (PARTITION BY phase)', 'imbalance')} FROM c""",
 )(lambda t: telemetry.class_balance(telemetry.clean(t)))
+_N = "CASE WHEN {0} IS NULL OR isnan(CAST({0} AS DOUBLE)) THEN NULL ELSE CAST({0} AS DOUBLE) END"
 _query(
     "training_matrix", "combined_submit",
-    sql=f"""SELECT record_id, {_r('coalesce(abs(delta_duration) / 500, 0)', 'change_size')}, {_r('1 - coalesce(pass_rate_pre, 1)', 'module_impact')}, {_r('coalesce(CAST(failure_count_pre AS DOUBLE) / greatest(total_runs_pre, 1), 0)', 'failure_rate')},
-{_r('ln(greatest(coalesce(duration_mean_pre, 30), 1) + 1)', 'log_duration')}, CAST(regexp_matches(lower(coalesce(test_name, '')), 'db|database|sql') AS INT) AS touches_db,
-CAST(regexp_matches(lower(coalesce(test_name, '')), 'kafka|queue|stream') AS INT) AS touches_queue, CAST(regexp_matches(lower(coalesce(test_name, '')), 'api|http|rest') AS INT) AS touches_api, coalesce(regression_detected, 0) AS label FROM combined_submit""",
+    sql=f"""WITH c AS (SELECT record_id, lower(coalesce(test_name, '')) AS n, {_N.format('delta_duration')} AS dd, {_N.format('pass_rate_pre')} AS pr, {_N.format('failure_count_pre')} AS fc, {_N.format('total_runs_pre')} AS tr, {_N.format('duration_mean_pre')} AS dm, coalesce(regression_detected, 0) AS label FROM combined_submit)
+SELECT record_id, 0.5::DOUBLE AS cosine_similarity, {_r('coalesce(abs(dd) / 500, 0)', 'change_size')}, {_r('coalesce(1 - pr, 0)', 'module_impact_score')}, 0 AS is_direct_dependency, 1 AS transitive_depth,
+CAST(regexp_matches(n, 'db|database|sql') AS INT) AS is_shared_db, CAST(regexp_matches(n, 'contract|api|frontend') AS INT) AS is_frontend_contract, CAST(regexp_matches(n, 'util|helper|common') AS INT) AS is_shared_utility,
+CAST(regexp_matches(n, 'consumer|kafka|stream') AS INT) AS is_kafka_consumer, CAST(regexp_matches(n, 'producer|publisher|emit') AS INT) AS is_kafka_producer,
+{_r('coalesce(fc / CASE WHEN tr < 1 THEN 1 ELSE tr END, 0)', 'historical_failure_rate')}, 0.0::DOUBLE AS test_flakiness_score, {_r('coalesce(ln(CASE WHEN dm < 1 THEN 1 ELSE dm END + 1), 0)', 'duration_log')}, 1 AS hash_changed, 0 AS num_functions_changed, 0 AS is_test_file, label FROM c""",
 )(telemetry.training_matrix)
 _query(
     "history_rates_last", "combined_submit",
@@ -138,9 +155,9 @@ _query("registry_latest", "module_registry", sql=f"WITH {_LATEST} SELECT repo, f
 _query("registry_stats", "module_registry", sql="SELECT repo, count(*) AS n_modules, count(embedding) AS n_embedded, count(DISTINCT file_hash) AS n_hashes FROM module_registry GROUP BY repo")(registry.stats)
 _query(
     "registry_upsert", "module_registry", "file_ast",
-    sql="""WITH c AS (SELECT repo, file_path, file_hash FROM file_ast WHERE file_id % 3 = 0), s AS (SELECT DISTINCT repo, file_path, file_hash FROM module_registry)
-SELECT * FROM s ANTI JOIN c USING (repo, file_path) UNION ALL SELECT * FROM c""",
-)(lambda m, f: registry.upsert(m.select("repo", "file_path", "file_hash").distinct(), f.filter("file_id % 3 = 0").select("repo", "file_path", "file_hash")))
+    sql="""WITH c AS (SELECT repo, file_path, file_hash, language FROM file_ast), s AS (SELECT repo, file_path, arg_max(struct_pack(h := file_hash, l := language), (coalesce(updated_at, TIMESTAMP '1970-01-01'), coalesce(file_hash, ''), module_id)) AS x FROM module_registry GROUP BY repo, file_path)
+SELECT repo, file_path, x.h AS file_hash, x.l AS language FROM s ANTI JOIN c USING (repo, file_path) UNION ALL SELECT * FROM c""",
+)(lambda m, f: registry.upsert(registry.latest(m.select("repo", "file_path", "file_hash", "language", "module_id", "updated_at")).select("repo", "file_path", "file_hash", "language"), f.select("repo", "file_path", "file_hash", "language")))
 _query("registry_delete", "module_registry", "file_ast", sql="SELECT m.module_id, m.repo, m.file_path FROM module_registry m ANTI JOIN (SELECT repo, file_path FROM file_ast WHERE language IS NULL) d USING (repo, file_path)")(
     lambda m, f: registry.delete(m.select("module_id", "repo", "file_path"), f.filter("language IS NULL"))
 )
@@ -149,6 +166,10 @@ _query(
     sql=f"""WITH {_LATEST} SELECT file_id, f.repo, f.file_path, CASE WHEN x.file_hash IS NULL THEN 'new' WHEN x.file_hash IS NOT DISTINCT FROM f.file_hash THEN 'unchanged' ELSE 'changed' END AS state
 FROM file_ast f LEFT JOIN latest USING (repo, file_path)""",
 )(registry.plan)
+_query("incremental_counts", "file_ast", "module_registry", sql=f"WITH {_LATEST} SELECT CASE WHEN x.file_hash IS NULL THEN 'new' WHEN x.file_hash IS NOT DISTINCT FROM f.file_hash THEN 'unchanged' ELSE 'changed' END AS state, count(*) AS n FROM file_ast f LEFT JOIN latest USING (repo, file_path) GROUP BY 1")(lambda f, m: registry.plan_counts(registry.plan(f, m)))
+_query("registry_get", "module_registry", "embedding_result", sql=f"WITH {_LATEST} SELECT repo, file_path, x.module_id AS module_id, x.file_hash AS file_hash FROM latest WHERE (repo, file_path) IN (SELECT (m.repo, m.file_path) FROM module_registry m JOIN embedding_result e USING (module_id))")(
+    lambda m, e: registry.get(m.select("repo", "file_path", "module_id", "file_hash", "updated_at"), m.join(e.select("module_id").distinct(), "module_id", "left_semi")).select("repo", "file_path", "module_id", "file_hash")
+)
 _query("copy_detection", "file_ast", sql="SELECT file_hash, count(*) AS n_files, count(DISTINCT repo) AS n_repos, min(file_id) AS first_file FROM file_ast WHERE file_hash IS NOT NULL GROUP BY file_hash HAVING count(*) > 1")(registry.copies)
 _SCORE = "0.4 * coalesce(x.f.num_functions, 0) + 0.3 * coalesce(x.f.num_imports, 0) + 0.2 * ln(coalesce(x.f.num_lines, 0) + 1) + 0.1 * coalesce(x.f.num_classes, 0)"
 _query("value_scores", "module_registry", sql=f"WITH {_LATEST} SELECT x.module_id AS module_id, repo, file_path, {_r(_SCORE, 'score')} FROM latest")(registry.value_scores)
@@ -188,7 +209,7 @@ def _edges(part: DataFrame) -> DataFrame:
 
 
 def _seeds(part: DataFrame) -> DataFrame:
-    return part.filter("p_partkey % 101 = 5").select(F.col("p_partkey").alias("node"))
+    return part.filter("p_partkey % 100 = 0").select(F.col("p_partkey").alias("node"))
 
 
 def _test_map(part: DataFrame) -> DataFrame:
@@ -196,14 +217,14 @@ def _test_map(part: DataFrame) -> DataFrame:
     return part.select(k.alias("module"), F.concat(F.lit("test_"), (k % 97).cast("string")).alias("test")).union(part.filter(k % 4 == 0).select(k, F.concat(F.lit("test_x"), (k % 53).cast("string"))))
 
 
-_GRAPH = f"""edges AS ({_EDGES}), seeds AS (SELECT p_partkey AS n FROM part WHERE p_partkey % 101 = 5),
+_GRAPH = f"""edges AS ({_EDGES}), seeds AS (SELECT p_partkey AS n FROM part WHERE p_partkey % 100 = 0),
 r(n, d) AS (SELECT n, 0 FROM seeds UNION SELECT e.importer, r.d + 1 FROM r JOIN edges e ON e.imported = r.n WHERE r.d < 5),
 up AS (SELECT n AS node, min(d) AS depth FROM r GROUP BY n),
 tm AS (SELECT p_partkey AS module, 'test_' || (p_partkey % 97) AS test FROM part UNION ALL SELECT p_partkey, 'test_x' || (p_partkey % 53) FROM part WHERE p_partkey % 4 = 0)"""
 _query("upstream_closure", "part", sql=f"WITH RECURSIVE {_GRAPH} SELECT node, depth FROM up")(lambda p: graph.upstream(_edges(p), _seeds(p)))
 _query(
     "closure_per_seed", "part",
-    sql=f"""WITH RECURSIVE edges AS ({_EDGES}), r(s, n, d) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey % 101 = 5 UNION SELECT r.s, e.importer, r.d + 1 FROM r JOIN edges e ON e.imported = r.n WHERE r.d < 5)
+    sql=f"""WITH RECURSIVE edges AS ({_EDGES}), r(s, n, d) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey % 100 = 0 UNION SELECT r.s, e.importer, r.d + 1 FROM r JOIN edges e ON e.imported = r.n WHERE r.d < 5)
 SELECT s AS seed, n AS node, min(d) AS depth FROM r GROUP BY s, n""",
 )(lambda p: graph.closure(_edges(p), _seeds(p)))
 _query(
@@ -219,7 +240,11 @@ _query("graph_degrees", "part", sql=f"WITH e AS ({_EDGES}), o AS (SELECT importe
     lambda p: graph.degrees(_edges(p))
 )
 _query("forward_depth", "part")(lambda p: graph.forward_depth(_edges(p), _seeds(p)))
-_query("cycles", "part")(lambda p: graph.cycles(_edges(p)).select(F.array_join(F.transform("cycle", lambda x: x.cast("string")), ">").alias("cycle")))
+_query("cycles", "part")(lambda p: graph.cycles(_edges(p)).select("component", F.array_join(F.transform("cycle", lambda x: x.cast("string")), ">").alias("cycle")))
+_query(
+    "strong_components", "part",
+    sql=f"""WITH RECURSIVE edges AS ({_EDGES}), r(s, n) AS (SELECT importer, imported FROM edges UNION SELECT r.s, e.imported FROM r JOIN edges e ON e.importer = r.n) SELECT a.s AS node, min(least(a.s, a.n)) AS component FROM r a JOIN r b ON a.s = b.n AND a.n = b.s GROUP BY a.s""",
+)(lambda p: graph.strong_components(_edges(p)))
 _PAIRS = "SELECT 'f' || (l_suppkey % 500) AS src, 'test_' || (l_partkey % 300) AS test, max(l_discount * 8 + l_tax * 2) AS sim FROM lineitem GROUP BY ALL"
 
 
@@ -231,16 +256,12 @@ def _pairs(lineitem: DataFrame) -> DataFrame:
 _query("test_weights", "lineitem", sql=f"WITH w AS (SELECT test, sum(sim) AS weight FROM ({_PAIRS}) WHERE sim >= 0.5 GROUP BY test) SELECT test, {_r('weight', 'weight')}, {_r('weight / max(weight) OVER ()', 'pf')} FROM w")(
     lambda l: graph.test_weights(_pairs(l))
 )
+_query("ranked_weights", "lineitem", sql=f"WITH w AS (SELECT test, sum(sim) AS weight FROM ({_PAIRS}) WHERE sim >= 0.5 GROUP BY test) SELECT test, {_r('weight', 'weight')}, {_r('least(weight / max(weight) OVER () + 0.1, 1)', 'pf')}, row_number() OVER (ORDER BY round(weight, 9) DESC, test) AS rank FROM w")(
+    lambda l: graph.ranked_weights(_pairs(l), dirty=True)
+)
 _query("function_test_graph", "lineitem", sql=f"SELECT src, array_to_string(list_sort(list_distinct(list(test) FILTER (WHERE sim >= 0.9))), ',') AS tests FROM ({_PAIRS}) GROUP BY src")(
     lambda l: graph.bipartite(_pairs(l), 0.9).select("src", F.array_join("tests", ",").alias("tests"))
 )
-_query(
-    "name_convention_map", "file_ast",
-    sql=r"""WITH p AS (SELECT repo, file_path, regexp_extract(file_path, '([^/]*)\.[^./]*$', 1) AS stem, regexp_extract(file_path, '\.([^./]*)$', 1) AS ext FROM file_ast),
-t AS (SELECT repo, ext, file_path AS test_path, unnest(list_distinct([regexp_replace(stem, '^test_', ''), regexp_replace(stem, '^test', '')])) AS stem FROM p WHERE stem LIKE 'test%')
-SELECT DISTINCT repo, test_path, p.file_path AS module_path FROM t JOIN p USING (repo, ext, stem) WHERE p.stem NOT LIKE 'test%'""",
-)(graph.name_convention)
-
 # -- similarity
 
 _VEC = """v AS (SELECT module_id, arg_max(CAST(embedding AS DOUBLE[]), updated_at) AS v FROM module_registry WHERE len(embedding) = 64
@@ -268,36 +289,54 @@ _query(
     sql=rf"""SELECT file_id, name, regexp_replace(name, '\.[^.]*$', '') AS stem, ext AS extension, {_LANG} AS language, length(t) - length(replace(t, chr(10), '')) + 1 AS n_lines, sha256(t) AS sha256
 FROM (SELECT file_id, string_split(file_path, '/')[-1] AS name, lower(regexp_extract(file_path, '\.([A-Za-z0-9]+)$', 1)) AS ext, coalesce(source_text, '') AS t FROM file_ast)""",
 )(codetext.file_facts)
-_COUNTS = ", ".join(f"len(regexp_extract_all(replace(replace(coalesce(source_text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '{p}')) AS {k}" for k, p in codetext.STRUCTURE.items())
-_query("regex_structure", "file_ast", sql=f"SELECT file_id, {_COUNTS} FROM file_ast")(codetext.structure)
+_PATTERNS = r"""CASE lang WHEN 'python' THEN regexp_extract_all(t, '(?m)^(?:import|from)\s+([A-Za-z0-9_.]+)', 1) WHEN 'javascript' THEN regexp_extract_all(t, '(?:import|require)\s*[({''"](.+?)["'')}]', 1) WHEN 'java' THEN regexp_extract_all(t, '(?m)^import\s+([A-Za-z0-9_.]+);', 1) ELSE [] END AS i,
+CASE lang WHEN 'python' THEN regexp_extract_all(t, '(?m)^def\s+([A-Za-z0-9_]+)\s*\(', 1) WHEN 'javascript' THEN regexp_extract_all(t, '(?:function|const|let|var)\s+([A-Za-z0-9_]+)\s*(?:=\s*(?:async\s+)?(?:function|\()|\()', 1) WHEN 'java' THEN regexp_extract_all(t, '(?:public|private|protected)\s+[A-Za-z0-9_]+\s+([A-Za-z0-9_]+)\s*\(', 1) ELSE [] END AS f,
+CASE lang WHEN 'python' THEN regexp_extract_all(t, '(?m)^class\s+([A-Za-z0-9_]+)\s*[:(]', 1) WHEN 'javascript' THEN regexp_extract_all(t, 'class\s+([A-Za-z0-9_]+)', 1) WHEN 'java' THEN regexp_extract_all(t, 'class\s+([A-Za-z0-9_]+)', 1) ELSE [] END AS c"""
+_STRUCTURE = rf"""st AS (SELECT *, CASE lang WHEN 'python' THEN list_filter(f, lambda x: x LIKE 'test\_%' ESCAPE '\') WHEN 'javascript' THEN list_filter(f, lambda x: regexp_matches(lower(x), 'test|spec|it|describe')) ELSE list_filter(f, lambda x: x LIKE 'test%') END AS tf FROM (SELECT *, {_PATTERNS} FROM (SELECT file_id, lower(string_split(file_path, '/')[-1]) AS name,
+CASE lower(regexp_extract(file_path, '\.([A-Za-z0-9]+)$', 1)) WHEN 'py' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'mjs' THEN 'javascript' WHEN 'ts' THEN 'javascript' WHEN 'java' THEN 'java' ELSE '' END AS lang, replace(replace(coalesce(source_text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM file_ast)))"""
 _query(
-    "python_imports", "file_ast",
-    sql=r"""SELECT DISTINCT file_id, module FROM (SELECT file_id, unnest(regexp_extract_all(replace(replace(source_text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '(?m)^[ \t]*(?:import|from)[ \t]+([A-Za-z_][A-Za-z0-9_.]*)', 1)) AS module FROM file_ast WHERE lower(file_path) LIKE '%.py')""",
-)(codetext.python_imports)
-_query("js_requires", "file_ast")(codetext.js_requires)
-_query("import_edges", "file_ast")(lambda f: codetext.resolve_imports(codetext.python_imports(f), f))
-_WORDS = " + ".join(f"CAST(contains(t, '{w}') AS INT)" for w in codetext.RISK_WORDS)
+    "regex_structure", "file_ast",
+    sql=f"""WITH {_STRUCTURE} SELECT file_id, length(t) - length(replace(t, chr(10), '')) + 1 AS num_lines, len(i) AS num_imports, len(f) AS num_functions, len(c) AS num_classes, array_to_string(i[1:50], '|') AS imports, array_to_string(f[1:100], '|') AS functions,
+array_to_string(c[1:30], '|') AS classes, array_to_string(tf[1:50], '|') AS test_functions, contains(name, 'test') OR contains(name, 'spec') OR len(tf) > 0 AS is_test_file FROM st""",
+)(lambda f: codetext.structure(f).withColumns({c: F.array_join(c, "|") for c in ("imports", "functions", "classes", "test_functions")}))
+_query("structure_scores", "file_ast", sql=f"WITH {_STRUCTURE} SELECT file_id, {_r('0.4 * len(f) + 0.3 * len(i) + 0.2 * ln(len(string_split(t, chr(10))) + 1) + 0.1 * len(c)', 'score')} FROM st")(codetext.structure_scores)
+_query("python_imports", "file_ast")(lambda f: outline.outlines(f).select("file_id", F.inline("imports")).distinct())
+_WORDS = " + ".join(f"contains(low, '{w}')::INT" for w in ("migration", "schema", "alter table", "drop column", "rename column", "kafka", "message", "event", "contract", "interface", "api"))
 _query(
     "impact_keywords", "documents",
-    sql=f"SELECT doc_id, n AS n_words, CASE WHEN n >= 3 THEN 'HIGH' WHEN n >= 1 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM (SELECT doc_id, {_WORDS} AS n FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents))",
-)(codetext.impact)
+    sql=rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, lower(coalesce(text, '')) AS low FROM documents),
+x AS (SELECT *, {_WORDS} AS n, regexp_matches(t, '(?i)kafka[_\s.]*(topic|consumer|producer|stream)|KafkaProducer|KafkaConsumer|@KafkaListener|send\s*\(.*topic|subscribe\s*\(.*topic') AS q,
+ regexp_extract_all(t, '["''`]([a-z][a-z0-9._\-]{{2,40}})["''`]', 1)[1:5] AS tp, list_filter(list_concat(regexp_extract_all(t, '(?i)TABLE\s+([A-Za-z0-9_]+)', 1), regexp_extract_all(t, '(?i)FROM\s+([A-Za-z0-9_]+)', 1), regexp_extract_all(t, '(?i)INSERT\s+INTO\s+([A-Za-z0-9_]+)', 1),
+ regexp_extract_all(t, '(?i)UPDATE\s+([A-Za-z0-9_]+)\s+SET', 1)), lambda v: length(v) > 2) AS tb FROM d)
+SELECT doc_id, CASE WHEN q THEN array_to_string(list_filter(tp, lambda v, i: list_position(tp, v) = i), ',') ELSE '' END AS topics, array_to_string(list_filter(tb, lambda v, i: list_position(tb, v) = i)[1:8], ',') AS tables,
+regexp_matches(t, '@RestController|@RequestMapping|@GetMapping|@PostMapping|FastAPI|flask\.route|@app\.route') AS api_contract, regexp_matches(t, '(?i)migration|alembic|flyway|liquibase|alter\s+table|add\s+column') AS schema_migration,
+n AS n_words, CASE WHEN n >= 3 THEN 'HIGH' WHEN n >= 1 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM x""",
+)(lambda d: codetext.impact(d).withColumns({c: F.array_join(c, ",") for c in ("topics", "tables")}))
+_query(
+    "impact_tags", "file_ast",
+    sql=r"""SELECT repo, array_to_string(list_sort(list(DISTINCT tag)), ',') AS tags FROM (SELECT repo, lower(regexp_extract(string_split(file_path, '/')[-1], '^(.+?)(?:\.[^.]*)?$', 1)) AS s, unnest(['auth', 'payment', 'user', 'order', 'cart', 'api', 'db', 'kafka', 'email', 'notification']) AS tag FROM file_ast) WHERE contains(s, tag) GROUP BY repo""",
+)(lambda f: codetext.tags(f).withColumn("tags", F.array_join("tags", ",")))
+_query("model_answers", "documents")(lambda d: codetext.answers(d.filter("text LIKE '%{%'")).select("doc_id", "summary", "risk_level"))
 _query("diff_lines", "documents")(lambda d: codetext.diff_lines(codetext.embedded_diffs(d)).select(F.col("id.doc_id").alias("id"), "id.block", "file_path", "op", "hunk", "line", "text"))
 _query("diff_files", "documents")(lambda d: codetext.diff_files(codetext.diff_lines(codetext.embedded_diffs(d))).select(F.col("id.doc_id").alias("id"), "id.block", "file_path", "n_added", "n_removed", "n_net"))
-_query("python_functions", "file_ast")(codetext.python_functions)
-_query("call_edges", "file_ast")(lambda f: codetext.call_edges(codetext.python_functions(f)))
+_query("diff_changes", "documents")(lambda d: codetext.changed_files(codetext.embedded_diffs(d)).select(F.col("id.doc_id").alias("doc_id"), "id.block", "section", "file_path", "language", "n_changed", "added_code", "removed_code"))
+_query("diff_added", "documents")(lambda d: codetext.changed_files(codetext.embedded_diffs(d), added_only=True).select(F.col("id.doc_id").alias("doc_id"), "id.block", "section", "file_path", "language", "added_code"))
+_query("diff_summary", "documents")(lambda d: codetext.diff_summary(codetext.changed_files(codetext.embedded_diffs(d))).select(F.col("id.doc_id").alias("doc_id"), "id.block", "n_files", F.array_join("languages", ",").alias("languages"), "lines_changed"))
+_query("added_text", "documents")(lambda d: codetext.added_text(codetext.embedded_diffs(d)).select(F.col("id.doc_id").alias("doc_id"), "id.block", "text"))
+_query("python_functions", "file_ast")(outline.functions)
 
 # -- scores, decisions, models
 
 _CAND = """c AS (SELECT o_orderkey AS candidate, (o_totalprice % 1000) / 1000 AS sim, (o_custkey % 10) / 10.0::DOUBLE AS pf, o_orderkey % 3 = 0 AS in_dep, o_orderkey % 5 = 0 AS hashed,
  CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 4 ELSE 999 END AS depth, (o_custkey % 7) / 20.0::DOUBLE AS failure FROM orders),
-s AS (SELECT *, 0.25 * sim + 0.2 * in_dep::INT + 0.15 * hashed::INT + 0.2 * greatest(0, 1 - depth / 6.0::DOUBLE) + 0.1 * failure AS impact, 0.4 * sim + 0.25 * in_dep::INT + 0.2 * failure + 0.15 * hashed::INT AS h FROM c)"""
+s AS (SELECT *, round(0.25 * sim + 0.2 * in_dep::INT + 0.15 * hashed::INT + 0.1 * greatest(0, 1 - depth / 6.0::DOUBLE) + 0.2 * pf + 0.1 * failure + 1.234567e-9, 4) AS impact, 0.4 * sim + 0.25 * in_dep::INT + 0.2 * failure + 0.15 * hashed::INT AS h FROM c)"""
 
 
 def _candidates(orders: DataFrame) -> DataFrame:
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     d = orders.select(k.alias("candidate"), ((F.col("o_totalprice") % 1000) / 1000).alias("sim"), ((c % 7) / 20).alias("failure"), ((c % 10) / 10).alias("pf"), (k % 3 == 0).alias("in_dep"), (k % 5 == 0).alias("hashed"), F.when(k % 3 == 0, k % 4).otherwise(999).alias("depth"))
     one = lambda x: F.col(x).cast("int")
-    return d.withColumn("impact", scoring.composite(F.col("sim"), one("in_dep"), one("hashed"), F.lit(0.0), F.col("depth"), F.col("failure"))).withColumn("h", scoring.heuristic(F.col("sim"), one("in_dep"), F.col("failure"), one("hashed")))
+    return d.withColumn("impact", even(scoring.composite(F.col("sim"), one("in_dep"), one("hashed"), F.col("pf"), F.col("depth"), F.col("failure")), 4)).withColumn("h", scoring.heuristic(F.col("sim"), one("in_dep"), F.col("failure"), one("hashed")))
 
 
 def _decided(orders: DataFrame, dirty: bool) -> DataFrame:
@@ -316,12 +355,7 @@ for _name, _dirty, _thr in (("run_prune_cascade", False, 0.65), ("run_prune_casc
         sql=f"""WITH {_CAND} SELECT candidate, CASE WHEN failure >= 0.2 THEN 'ALWAYS_RUN' WHEN hashed AND in_dep AND depth <= 1 THEN 'DIRECT_DEPENDENCY' WHEN sim >= {_thr}::DOUBLE THEN 'HIGH_SIMILARITY'
 WHEN in_dep AND sim >= {_thr}::DOUBLE / 2 THEN 'TRANSITIVE_DEP' WHEN pf >= 0.3::DOUBLE THEN 'HIGH_PF' WHEN impact >= 0.15::DOUBLE THEN 'COMPOSITE_IMPACT' ELSE 'PRUNED' END AS rule FROM s""",
     )(lambda o, dirty=_dirty: _decided(o, dirty))
-
-
-@_query("gbt_scores", "combined_submit")
-def _gbt(c: DataFrame) -> DataFrame:
-    m = telemetry.training_matrix(c)
-    return scoring.score(scoring.fit(m), m)
-
-
-_query("tfidf_embed", "file_ast")(scoring.tfidf)
+_query("gatekeeper_dirty", "orders", sql=f"WITH {_CAND} SELECT candidate, CASE WHEN h >= 0.65::DOUBLE THEN 'RUN_ALL_TESTS' WHEN h >= 0.4::DOUBLE THEN 'RUN_TEST' ELSE 'PRUNE_TEST' END AS decision FROM s")(
+    lambda o: _candidates(o).select("candidate", scoring.gate(F.col("h"), dirty=F.lit(True)).alias("decision"))
+)
+_query("similarity_alone", "orders", sql=f"WITH {_CAND} SELECT candidate, CASE WHEN sim >= 0.5::DOUBLE THEN 'RUN_TEST' ELSE 'PRUNE_TEST' END AS decision FROM s")(lambda o: _candidates(o).select("candidate", scoring.alone(F.col("sim")).alias("decision")))

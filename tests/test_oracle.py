@@ -1,6 +1,6 @@
 import pytest
 
-from kelpie.plans import catalog
+from kelpie.plans import catalog, repos  # noqa: F401
 from tests.oracle import same
 
 
