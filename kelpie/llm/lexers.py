@@ -8,6 +8,7 @@ string or other literal, ``N`` line end (JavaScript), and openers. ``delta`` is
 from __future__ import annotations
 
 import re
+import unicodedata
 
 # Reserved words and operators of the languages.
 JAVA_WORDS = set(
@@ -225,32 +226,116 @@ def lex(text: str, lang: str) -> list[Token]:
 
 _PY = re.compile(
     r"(?P<skip>[ \t\f]+|#[^\r\n]*|\\(?:\r\n|\n|\r))|(?P<nl>\r\n|\n|\r)"
-    r"|(?P<long>(?i:[rbuf]|rb|br|fr|rf)?(?:\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''))"
-    r"|(?P<s>(?i:[rbuf]|rb|br|fr|rf)?(?:\"(?:[^\"\\\r\n]|\\(?:\r\n|[\s\S]))*\"|'(?:[^'\\\r\n]|\\(?:\r\n|[\s\S]))*'))"
-    r"|(?P<n>(?:0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?[jJ]?))"
+    r"|(?P<f>(?i:fr|rf|f)(?:\"\"\"|'''|\"|'))"
+    r"|(?P<long>(?i:rb|br|[rbu])?(?:\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''))"
+    r"|(?P<s>(?i:rb|br|[rbu])?(?!\"\"\"|''')(?:\"(?:[^\"\\\r\n]|\\(?:\r\n|[\s\S]))*\"|'(?:[^'\\\r\n]|\\(?:\r\n|[\s\S]))*'))"
+    r"|(?P<n>(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?))"
     r"|(?P<i>[^\W\d]\w*)|(?P<op>\*\*=|//=|>>=|<<=|\.\.\.|:=|->|\*\*|//|>>|<<|<=|>=|==|!=|\+=|-=|\*=|/=|%=|@=|&=|\|=|\^=|[-+*/%@&|^~<>=()\[\]{}.,:;])"
 )
 # Reserved and soft keywords.
 PY_WORDS = set(
     "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass "
-    "raise return try while with yield match case _ type print exec".split()
-) - {"print", "exec"}
+    "raise return try while with yield match case _ type".split()
+)
+_ESCAPE = re.compile(r"\\(?:([xuUN])(\{[^}]*\}|[0-9a-fA-F]*)|[\s\S])")
+_DIGITS = {"x": 2, "u": 4, "U": 8}
+_RUNS = re.compile(r"(?<![^ ])([1s]) , (?:\1 , ){2,}")  # tables of literals differ in length only
+_INDENT, _LETTERS = re.compile(r"[ \t\f]*"), re.compile(r"[A-Za-z]*")
+_CONTINUED = re.compile(r"(?:\\(?:\r\n|\n|\r)[ \t\f]*)*")
+_CONVERSION = re.compile(r"[sra](?!\w)")
+_AFTER_NUMBER = re.compile(r"(?:and|else|for|if|in|is|or|not)\b")
+_LEADING_ZERO = re.compile(r"0[\d_]*[1-9][\d_]*")
+_OPENER = {")": "(", "]": "[", "}": "{"}
+
+
+def _sound(body: str, of_bytes: bool) -> bool:
+    """Whether the escapes of a string that is not raw can be read."""
+    for m in _ESCAPE.finditer(body) if "\\" in body else ():
+        kind, rest = m.groups()
+        if not kind or kind != "x" and of_bytes:
+            continue
+        if kind == "N":
+            try:
+                unicodedata.lookup(rest[1:-1])
+            except KeyError:
+                return False
+        elif rest.startswith("{") or len(rest) < _DIGITS[kind] or kind == "U" and int(rest[:8], 16) > 0x10FFFF:
+            return False
+    return True
+
+
+def _body(text: str, at: int, quote: str, raw: bool, spec: bool) -> tuple[int, str]:
+    """From ``at`` inside an f-string, or a format of it, to what ends its literal part: position of that, and what it is."""
+    start, n = at, len(text)
+    while at < n:
+        c = text[at]
+        if c == "\\":
+            if not raw and text.startswith("N{", at + 1) and (end := text.find("}", at)) > 0:
+                at = end + 1
+            else:
+                at += 1 if text[at + 1 : at + 2] in ("{", "}") else 2
+            continue
+        if c in "\r\n" and len(quote) == 1:
+            return at, "fault"
+        if c == quote[0] and text.startswith(quote, at):
+            return (at, "fault") if spec else (at, "end" if raw or _sound(text[start:at], False) else "fault")
+        if c == "{":
+            if not spec and text.startswith("{{", at):
+                at += 2
+                continue
+            return at, "open" if raw or _sound(text[start:at], False) else "fault"
+        if c == "}":
+            if not spec and text.startswith("}}", at):
+                at += 2
+                continue
+            return at, "close" if spec else "fault"
+        at += 1
+    return at, "fault"
 
 
 def python_lines(text: str) -> list[tuple[int, str]]:
-    """(indent level, canonical text) of the logical lines; a text that begins with fault: is one that cannot be lexed."""
-    text = text.lstrip("﻿")
+    """(indent level, canonical text) of the logical lines; a text that begins with fault: is one that cannot be lexed.
+
+    Tokens are those of ``python_grammar``. Fields of f-strings are lexed like code; brackets, fields and formats are kept on
+    one stack.
+    """
+    text = text.lstrip("\ufeff")
     lines: list[tuple[int, str]] = []
     indents = [(0, 0)]  # columns with tabs to 8, and with tabs as one
-    depth, at, n, start = 0, 0, len(text), True
+    stack: list[tuple[str, str, bool]] = []  # bracket, f (inside a literal part), field or spec; with quote and rawness
+    at, n, start = 0, len(text), True
     cur: list[str] = []
     level = 0
+
+    def line() -> None:
+        content = " ".join(cur)
+        lines.append((level, _RUNS.sub(r"\1 , \1 , ", content) if len(content) > 100 else content))
+        cur.clear()
+
     while at <= n:
-        if start and not depth:
-            m = re.compile(r"[ \t\f]*").match(text, at)
+        top = stack[-1][0] if stack else ""
+        if top in ("f", "spec"):
+            at, what = _body(text, at, stack[-1][1], stack[-1][2], top == "spec")
+            if what == "fault":
+                return [*lines, (level, "fault: f-string")]
+            if what == "open":
+                cur.append("{f")
+                stack.append(("field", *stack[-1][1:]))
+                at += 1
+            elif what == "close":
+                cur.append("}f")
+                stack.pop(), stack.pop()
+                at += 1
+            else:
+                cur.append("f>")
+                at += len(stack.pop()[1])
+            continue
+        if start and not stack:
+            m = _INDENT.match(text, at)
             rest = m.end()
-            if rest < n and text[rest] not in "#\r\n" and not text.startswith(("\\\n", "\\\r"), rest):
-                blank = m.group().replace("\f", "")
+            first = _CONTINUED.match(text, rest).end()  # a line that goes on is indented as it begins
+            if first < n and text[first] not in "#\r\n":
+                blank = m.group().rsplit("\f", 1)[-1]
                 width = (len(blank.expandtabs(8)), len(blank))
                 if width[0] > indents[-1][0]:
                     if width[1] <= indents[-1][1]:
@@ -262,39 +347,74 @@ def python_lines(text: str) -> list[tuple[int, str]]:
                     if indents[-1] != width:
                         return [*lines, (0, "fault: unindent" if indents[-1][0] != width[0] else "fault: tabs and blanks")]
                 level = len(indents) - 1
+                if level > 99:
+                    return [*lines, (level, "fault: too many levels of indentation")]
             at, start = rest, False
         if at >= n:
             break
+        c = text[at]
+        if top == "field":
+            if c == "}":
+                cur.append("}f")
+                stack.pop()
+                at += 1
+                continue
+            if c == ":":
+                cur.append(":f")
+                stack.append(("spec", *stack[-1][1:]))
+                at += 1
+                continue
+            if c == "!" and text[at + 1 : at + 2] != "=":
+                if not (m := _CONVERSION.match(text, at + 1)):
+                    return [*lines, (level, "fault: conversion")]
+                cur += ["!", "a"]
+                at = m.end()
+                continue
         m = _PY.match(text, at)
         if not m:
             return [*lines, (level, "fault: token")]
         kind, tok, at = m.lastgroup, m.group(), m.end()
         if kind == "skip":
+            if tok[0] == "\\" and at >= n:
+                return [*lines, (level, "fault: end after a backslash")]
             continue
         if kind == "nl":
-            if not depth:
+            if not stack:
                 if cur:
-                    lines.append((level, " ".join(cur)))
-                cur, start = [], True
+                    line()
+                start = True
             continue
         if kind == "i":
+            if not tok.isascii() and not tok.isidentifier():
+                return [*lines, (level, "fault: identifier")]
             cur.append(tok if tok in PY_WORDS else "a")
         elif kind == "n":
-            if at < n and (text[at].isalnum() or text[at] == "_") and not re.match(r"(?:and|else|for|if|in|is|or|not)\b", text[at:at + 5]):
+            if at < n and (text[at].isalnum() or text[at] == "_") and not _AFTER_NUMBER.match(text, at):
                 return [*lines, (level, "fault: number")]
-            if re.fullmatch(r"0\d*[1-9]\d*", tok.replace("_", "")) or tok.endswith("_") or "__" in tok:
+            if _LEADING_ZERO.fullmatch(tok):
                 return [*lines, (level, "fault: number")]
-            cur.append("1")
+            cur.append("1j" if tok[-1] in "jJ" else "1")
+        elif kind == "f":
+            quote = tok.lstrip("fFrR")
+            stack.append(("f", quote, "r" in tok.lower()))
+            cur.append("f<")
         elif kind in ("s", "long"):
-            head = re.match(r"[A-Za-z]*", tok).group().lower()
-            cur.append("b's'" if "b" in head else " ".join(("f" + tok.lstrip("rRfF")).split("\n")) if "f" in head and kind == "s" else "'s'")
+            head = _LETTERS.match(tok).group().lower()
+            if "b" in head and not tok.isascii() or "r" not in head and not _sound(tok[len(head) :], "b" in head):
+                return [*lines, (level, "fault: string")]
+            cur.append("b" if "b" in head else "s")
         else:
-            depth += (tok in "([{") - (tok in ")]}")
-            if depth < 0 or depth > 199:
-                return [*lines, (level, "fault: closer" if depth < 0 else "fault: too many nested brackets")]
+            if tok in "([{":
+                stack.append((tok, "", False))
+                if len(stack) > 199:
+                    return [*lines, (level, "fault: too many nested brackets")]
+            elif tok in ")]}":
+                if not stack or stack[-1][0] != _OPENER[tok]:
+                    return [*lines, (level, "fault: closer")]
+                stack.pop()
             cur.append(tok)
-    if depth:
+    if stack:
         return [*lines, (level, "fault: unclosed bracket")]
     if cur:
-        lines.append((level, " ".join(cur)))
+        line()
     return lines

@@ -6,7 +6,7 @@ of its role). ``valid(lang, role, symbols)`` says whether the role's productions
 
 from __future__ import annotations
 
-import ast
+import sys
 
 _BINARY = {
     "java": set("+ - * / % & | ^ && || == != < > <= >= << >>> instanceof".split()),
@@ -1149,6 +1149,8 @@ class _Parser:
 
 def valid(lang: str, role: str, syms: list[str]) -> bool:
     """Whether the productions of ``role`` derive the group."""
+    depth = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(depth, 8 * len(syms) + 2000))  # what one symbol can open
     try:
         _Parser(lang, syms).group(role)
         return True
@@ -1161,29 +1163,5 @@ def valid(lang: str, role: str, syms: list[str]) -> bool:
             except _Bad:
                 return False
         return False
-    except RecursionError:
-        return True
-
-
-_WRAP = {"else": "if a :\n pass\n", "elif": "if a :\n pass\n", "except": "try :\n pass\n", "finally": "try :\n pass\n", "case": "match a :\n "}
-
-
-def valid_python_line(line: str) -> bool:
-    """Whether a canonical logical line is a statement, or the head of a compound one."""
-    first = line.split(" ", 1)[0]
-    body = line
-    if line.endswith(":"):
-        body = line + " pass"
-    if first == "@":
-        body = line + "\ndef a ( ) : pass"
-    if first == "try" or line == "try :":
-        body = body + "\nfinally : pass"
-    for text in ((_WRAP.get(first, "") + body), body, (body + "\n case a : pass" if first == "match" else body)):
-        try:
-            ast.parse(text if not (first == "match" and text.endswith("case a : pass")) else line + "\n case a : pass")
-            return True
-        except (SyntaxError, ValueError):
-            continue
-        except (RecursionError, MemoryError):
-            return True  # too deep to tell
-    return False
+    finally:
+        sys.setrecursionlimit(depth)

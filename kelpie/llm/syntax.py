@@ -1,22 +1,20 @@
 """Source files that do not parse, by the language of the path's extension.
 
-Files are lexed into rows, one per token (one per logical line for Python). Three checks follow on the rows:
+Files are lexed into rows, one per token (one per logical line for Python, whose lexer needs the brackets to find them). Three
+checks follow on the rows:
 
-1. adjacent pairs of tokens are anti-joined against the pairs the grammar permits;
-2. nesting: running sums over each file give every token its depth, and every bracket its partner;
+1. adjacent pairs of tokens are anti-joined against the pairs the grammar permits; for Python these are derived from the
+   grammar's rules, for the others from classes of tokens;
+2. nesting: running sums over each file give every token its depth, and every bracket its partner; for Python, windows
+   over neighbouring lines check blocks (indents, clauses, decorators, what a match holds);
 3. productions: windowed reductions collapse each bracket group to one symbol of the group around it; each distinct group
-   (or Python line) of the corpus is derived once from the productions of its role and joined back. For Python,
-   windows over neighbouring lines check blocks (indents, clauses, decorators).
+   (or Python line) of the corpus is derived once from the productions of its role and joined back.
 
-For Python the pair check is left out, and the checks on lines only name a reason: they do not see fields of long f-strings,
-escapes or what a match holds. The parser of the running Python judges every Python file; where it gives up for
-depth, which is no syntax error, the checks on lines decide.
+No language's own parser is asked.
 """
 
 from __future__ import annotations
 
-import ast
-import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kelpie.common import cut, lookup
-from kelpie.llm import lexers, productions
+from kelpie.llm import lexers, productions, python_grammar
 
 # Languages by extension.
 LANGUAGES = {"py": "python", "java": "java", "js": "js", "mjs": "js", "go": "go"}
@@ -74,12 +72,15 @@ def tokens(files: DataFrame) -> DataFrame:
 
 
 def permitted() -> list[tuple[str, str, str]]:
-    """(lang, prev, sym): the pairs of symbols that some sentence of the language's grammar holds side by side."""
+    """(lang, prev, sym): the pairs of symbols that a sentence of the language may hold side by side.
+
+    For Python they are derived from the grammar; for the others all pairs of its alphabet but those that no sentence holds.
+    """
     closers = [")", "]", "}"]
     openers = {"java": ["(", "[", "{b", "{c", "{e", "{s", "{i"], "js": ["(", "[", "{b", "{c", "{o", "{s", "{n"], "go": ["(", "[", "{b", "{l", "{s", "{i"]}
     words = {"java": lexers.JAVA_WORDS, "js": lexers.JS_WORDS, "go": lexers.GO_WORDS}
     ops = {"java": lexers.JAVA_OPS, "js": lexers.JS_OPS, "go": lexers.GO_OPS}
-    out = []
+    out = [("python", a, b) for a, b in sorted(python_grammar.permitted())]
     for lang in words:
         between = {"==", "!=", "&&", "||", "<=", ">=", "<<", "+=", "-=", "=", "/", "%"} | ({"===", "!==", "**", "??", "=>"} if lang == "js" else set())
         alphabet = sorted({"", "i", "n", "s", "N", *closers, *openers[lang], *words[lang], *ops[lang]})
@@ -103,7 +104,7 @@ def permitted() -> list[tuple[str, str, str]]:
 
 def _pair_faults(tok: DataFrame) -> DataFrame:
     spark = tok.sparkSession
-    table = F.broadcast(spark.createDataFrame(permitted(), "lang string, prev string, sym string"))
+    table = F.broadcast(spark.createDataFrame([p for p in permitted() if p[0] != "python"], "lang string, prev string, sym string"))
     pairs = tok.filter("lang <> 'python' AND sym <> '' AND prev <> '' AND NOT sym LIKE 'fault:%'").select("lang", "prev", "sym", "file_id").distinct()
     return pairs.join(table, ["lang", "prev", "sym"], "left_anti").select("file_id", F.concat(F.lit("misplaced "), F.col("sym"), F.lit(" after "), F.col("prev")).alias("fault"))
 
@@ -148,56 +149,66 @@ def _group_faults(tok: DataFrame) -> DataFrame:
     return groups.filter("nesting IS NOT NULL").select("file_id", F.col("nesting").alias("fault")).union(hits.select("file_id", F.concat(F.lit("no production of "), "role").alias("fault")))
 
 
+def _derived(lang: str, role: str, content: str) -> bool:
+    tokens = content.split()
+    if lang != "python":
+        return productions.valid(lang, role, tokens)
+    return python_grammar.is_case(tokens) if role == "case" else python_grammar.is_line(tokens)
+
+
 def _underived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        keep = [not (productions.valid_python_line(c) if lang == "python" else productions.valid(lang, role, c.split())) for lang, role, c in zip(*(b.column(i).to_pylist() for i in range(3)))]
+        keep = [not _derived(*x) for x in zip(*(b.column(i).to_pylist() for i in range(3)))]
         yield b.filter(pa.array(keep, pa.bool_()))
 
 
 def _line_faults(tok: DataFrame) -> DataFrame:
-    """Candidates among Python files: lines without a production, and blocks that do not fit together."""
-    lines = tok.filter("lang = 'python'").select("file_id", "lang", "role", "pos", F.col("delta").alias("level"), F.col("sym").alias("content"))
+    """(file_id, fault) of Python files: blocks that do not fit together, and lines with a forbidden pair or no production."""
+    lines = tok.filter("lang = 'python'").select("file_id", "pos", F.col("delta").alias("level"), F.col("sym").alias("content"))
     w, same = Window.partitionBy("file_id").orderBy("pos"), Window.partitionBy("file_id", "level").orderBy("pos")
-    first = F.element_at(F.split("content", " "), 1)
-    x = lines.withColumn("first", first).withColumn("opens", F.endswith("content", F.lit(":")))
-    x = x.withColumn("before", F.lag("level", 1, 0).over(w)).withColumn("after", F.lead("level", 1, -1).over(w)).withColumn("opened", F.lag("opens", 1, False).over(w))
-    x = x.withColumn("clause", F.lag("first").over(same)).withColumn("follows", F.lead("first").over(same))
-    c, f = F.col("first"), F.coalesce(F.col("clause"), F.lit(""))
-    apart = F.col("before") < F.col("level")
+    word = F.split("content", " ")
+    x = lines.withColumn("word", word[0]).withColumn("first", F.when(F.col("word") == "async", F.coalesce(F.get(word, F.lit(1)), F.lit(""))).otherwise(F.col("word")))
+    x = x.withColumn("opens", F.endswith("content", F.lit(" :"))).withColumn("group", (F.col("first") == "except") & (F.get(word, F.lit(1)) == "*"))
+    c = F.col("first")
+    before = lambda v, default: F.lag(v, 1, default).over(w)
+    x = x.withColumns({"before": before("level", 0), "opened": before("opens", False), "head": F.when(before("opens", False), before("first", "")).otherwise(""), "after": F.lead("level", 1, -1).over(w), "next": F.lead("word", 1, "").over(w), "next2": F.lead("first", 1, "").over(w)})
+    x = x.withColumn("begins", F.coalesce(F.col("level") > F.lag("level").over(w), F.lit(True)))
+    until = same.rowsBetween(Window.unboundedPreceding, 0)
+    clauses = ["else", "elif", "except", "finally"]
+    inside = lambda v: F.when(F.col("begins"), "").otherwise(F.coalesce(v, F.lit("")))
+    x = x.withColumns({
+        "former": inside(F.lag("first").over(same)), "statement": inside(F.last(F.when(~c.isin(clauses), c), True).over(until)), "was_group": F.lag("group", 1, False).over(same),
+        "parent": F.coalesce(F.last(F.when(F.col("begins"), F.col("head")), True).over(until), F.lit("")), "follows": F.when(~F.lead("begins", 1, True).over(same), F.lead("first").over(same)),
+    })
+    f = F.col("former")
     orphan = (
-        (c == "else") & (apart | ~f.isin("if", "elif", "for", "while", "except", "async"))
-        | (c == "elif") & (apart | ~f.isin("if", "elif"))
-        | (c == "except") & (apart | ~f.isin("try", "except"))
-        | (c == "finally") & (apart | ~f.isin("try", "except", "else"))
+        (c == "else") & ~f.isin("if", "elif", "for", "while", "except")
+        | (c == "elif") & ~f.isin("if", "elif")
+        | (c == "except") & ~f.isin("try", "except")
+        | (c == "finally") & ~(f.isin("try", "except") | (f == "else") & (F.col("statement") == "try"))
     )
+    decorated = (F.col("after") == F.col("level")) & (F.col("next").isin("def", "class", "@") | (F.col("next") == "async") & (F.col("next2") == "def"))
     fault = (
         F.when(F.startswith("content", F.lit("fault:")), F.col("content"))
         .when(F.col("opens") & (F.col("after") <= F.col("level")), "expected an indented block")
         .when((F.col("level") > F.col("before")) & ~F.col("opened"), "unexpected indent")
         .when(orphan, "clause without a statement")
+        .when((c == "except") & (f == "except") & (F.col("group") != F.col("was_group")), "except beside except*")
         .when((c == "try") & ~F.coalesce(F.col("follows").isin("except", "finally"), F.lit(False)), "try without except or finally")
-        .when((c == "@") & ~F.coalesce(F.col("follows").isin("def", "class", "async", "@"), F.lit(False)), "decorator without a definition")
+        .when((c == "@") & ~decorated, "decorator without a definition")
     )
-    blocks = x.withColumn("fault", fault).filter("fault IS NOT NULL").select("file_id", "fault")
-    shapes = lines.filter("NOT content LIKE 'fault:%'").select("lang", "role", "content").groupBy("lang", "role", "content").agg(F.lit(1).alias("one")).select("lang", "role", "content")
-    bad = shapes.mapInArrow(_underived, "lang string, role string, content string")
-    return blocks.union(lookup(lines, bad, ["lang", "role", "content"], "inner").select("file_id", F.lit("no production of line").alias("fault")))
-
-
-def _rejected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    warnings.simplefilter("ignore")
-    for b in batches:
-        sure = []
-        for text in b.column(1).to_pylist():
-            try:
-                ast.parse(text.lstrip("﻿"))
-                sure.append(None)
-            except (SyntaxError, ValueError):
-                sure.append(True)
-            except (RecursionError, MemoryError):
-                sure.append(False)
-        out = pa.RecordBatch.from_arrays([b.column(0), pa.array(sure, pa.bool_())], names=["file_id", "sure"])
-        yield out.filter(out.column(1).is_valid())
+    x = x.select("file_id", F.when(F.col("parent") == "match", "case").otherwise("line").alias("role"), "content", fault.alias("fault"))
+    x = cut(x)
+    rows = x.filter("NOT content LIKE 'fault:%'").select("file_id", "role", "content")
+    shapes = cut(rows.select("role", "content").distinct())
+    # adjacent pairs of the distinct lines, each once
+    t = F.split("content", " ")
+    held = shapes.select("role", "content", F.explode(F.array_distinct(F.arrays_zip(F.slice(t, F.lit(1), F.size(t) - 1).alias("prev"), F.slice(t, F.lit(2), F.size(t) - 1).alias("sym")))).alias("p"))
+    table = tok.sparkSession.createDataFrame([p[1:] for p in permitted() if p[0] == "python"], "prev string, sym string")
+    odd = held.select("role", "content", "p.prev", "p.sym").join(F.broadcast(table), ["prev", "sym"], "left_anti").groupBy("role", "content").agg(F.min(F.concat(F.lit("misplaced "), "sym", F.lit(" after "), "prev")).alias("fault"))
+    rest = shapes.join(odd, ["role", "content"], "left_anti").select(F.lit("python").alias("lang"), "role", "content")
+    bad = odd.union(rest.mapInArrow(_underived, "lang string, role string, content string").select("role", "content", F.concat(F.lit("no production of "), "role")))
+    return x.filter("fault IS NOT NULL").select("file_id", "fault").union(lookup(rows, bad, ["role", "content"], "inner").select("file_id", "fault"))
 
 
 def faults(files: DataFrame) -> DataFrame:
@@ -212,13 +223,8 @@ def faults(files: DataFrame) -> DataFrame:
     lexical = tok.filter("lang <> 'python' AND sym LIKE 'fault:%'").select("file_id", F.col("sym").alias("fault"))
     # what follows a lexical fault is not known, so nesting and productions of such a file are not judged
     whole = tok.filter("lang <> 'python'").join(lexical.select("file_id"), "file_id", "left_anti")
-    found = lexical.union(_pair_faults(tok)).union(_group_faults(whole))
-    flagged = found.groupBy("file_id").agg(F.min("fault").alias("reason"))
-    maybe = _line_faults(tok).groupBy("file_id").agg(F.min("fault").alias("reason"))
-    python = files.filter((language(F.col("file_path")) == "python") & F.col("source_text").isNotNull() & F.col("file_id").isNotNull())
-    judged = python.select(F.col("file_id").cast("long").alias("file_id"), "source_text").mapInArrow(_rejected, "file_id long, sure boolean").groupBy("file_id").agg(F.max("sure").alias("sure"))
-    refused = judged.join(maybe, "file_id", "left").filter("sure OR reason IS NOT NULL").select("file_id", F.coalesce("reason", F.lit("rejected by the parser")).alias("reason"))
-    out = flagged.union(refused)
+    found = lexical.union(_pair_faults(tok)).union(_group_faults(whole)).union(_line_faults(tok))
+    out = found.groupBy("file_id").agg(F.min("fault").alias("reason"))
     return files.select("file_id", language(F.col("file_path")).alias("lang")).dropDuplicates(["file_id"]).join(out, "file_id")
 
 

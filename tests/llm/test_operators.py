@@ -1,6 +1,7 @@
 import ast
 import collections
 import itertools
+import os
 import re
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kelpie.common import table
-from kelpie.llm import cutoff, encode, groups, lexers, mixing, neighbours, origin, pieces, productions, queries, repair, syntax, together
+from kelpie.llm import cutoff, encode, grammar, groups, lexers, mixing, neighbours, origin, pieces, productions, python_grammar, queries, repair, syntax, together
 from tests.oracle import same
 
 
@@ -70,11 +71,35 @@ def test_deep_and_long_files(spark):
 
 
 def test_python_faults_inside_tokens_and_blocks(spark):
-    bad = ['x = f"""{a b}"""\n', "x = '\\x1'\n", "x = b'\u00e9'\n", "case a:\n    pass\n", "match a:\n    case 1:\n        pass\n    x = 1\n"]
-    good = ['x = f"""{a + b}"""\n', "x = '\\x11'\n", "match a:\n    case 1:\n        pass\n", "x = " + "-" * 20_000 + "1\n"]
+    bad = [
+        'x = f"""{a b}"""\n', "x = '\\x1'\n", "x = b'\u00e9'\n", "case a:\n    pass\n", "match a:\n    case 1:\n        pass\n    x = 1\n", "match a:\n    case 1 + 2:\n        pass\n", "try:\n    a\nexcept A:\n    b\nexcept* B:\n    c\n",
+        "if a:\n    b\nelse:\n    c\nfinally:\n    d\n", "@d\nx = 1\n", "f(a=1, b)\n", "def f(a=1, b): pass\n", "f() = 1\n", "x = f'{a!z}'\n", "(a, b): int\n", "del f()\n", "if a:\n    try:\n        b\nexcept A:\n    c\n", "x = 1 if 2\n", "for f() in x: pass\n", "\u201cx\u201d\n", "x = 'a' b'b'\n",
+    ]
+    good = [
+        'x = f"""{a + b}"""\n', "x = '\\x11'\n", "match a:\n    case 1:\n        pass\n    case {'k': [x, *_], **r} if x: y\n    case A(b=C.d) | None as e:\n        pass\n", "x = " + "-" * 20_000 + "1\n", "match = case = type = 1\nmatch[0]: case = type(match)\n", "type X[T: int, *U, **P] = f'{x!r:>{w}}' 's'\n",
+        "async def f(a, /, b=1, *, c, **d) -> x:\n    async with a as b, c: pass\n    return [x async for x in y if await z]\n", "x = f'{f'{1}'}' rf'\\{y}'\nprint(*a, b=1, *c, **d)\n", "try:\n    a\nexcept* A: b\nelse:\n    c\nfinally: d\n", "with (a as b, c as (d, *e),): pass\n", "lambda *a, b=1, **c: (yield)\n", "a = b[c, *d, ::2] = yield\n",
+    ]
     assert {r.file_id for r in syntax.found(files(spark, [("a.py", t) for t in bad + good])).collect()} == set(range(len(bad)))
 
 
+def test_permitted_pairs_come_from_the_rules():
+    rules = grammar.parse("s: 'x' t* ['!' 'z'] | '(' s ')'\nt: 'y' | ',' s")
+    assert grammar.pairs(rules, ["s"]) == {("x", "y"), ("x", ","), ("x", "!"), ("y", "y"), ("y", ","), ("y", "!"), ("!", "z"), ("(", "x"), ("(", "("), ("x", ")"), ("y", ")"), ("z", ")"), (")", ")"), (",", "x"), (",", "("), ("z", "y"), ("z", ","), ("z", "!"), (")", "y"), (")", ","), (")", "!")}
+    r = grammar.Recogniser(rules)
+    assert r.derives("s", "x y , ( x )".split()) and not r.derives("s", "x y ,".split()) and not r.derives("s", [])
+
+
+def test_python_grammar_on_its_library():
+    folder = os.path.dirname(os.__file__)
+    names = sorted(n for n in os.listdir(folder) if n.endswith(".py"))
+    for n in names:
+        with open(os.path.join(folder, n), encoding="utf-8") as f:
+            for _, line in lexers.python_lines(f.read()):
+                toks = line.split(" ")
+                assert python_grammar.is_line(toks) or python_grammar.is_case(toks), (n, line)
+                assert set(zip(toks, toks[1:])) <= python_grammar.permitted(), (n, line)
+
+
 # -- 2
 
 TOK = re.compile(r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n]")
