@@ -19,9 +19,10 @@ leaves both open, a length exactly at a hidden limit decides.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,11 +35,11 @@ from kelpie.common import blanks, cut, lookup
 _GROUP = ["source", "hash", "at_limit"]  # what copies have in common
 MEASURES = ("chars", "bytes", "utf16", "html", "json", "crlf")
 SPIKE, RATIO, NEAR = 5, 8.0, 12  # a limit holds at least 5 texts and 8 times the mean of the 12 lengths on either side
-_FEW_SOURCES = 10_000  # limits of up to so many sources are broadcast
+LONG = 32  # characters up to which prefixes of words are counted all at once; longer ones are looked up one by one
 ENDS = 0.3  # share of a word's occurrences that end a line, from which the word counts as an ending
 
-_BY_SOURCE = re.compile(r"(?:subject|prose)\d|last2?")  # types of statistics that are kept per source
-_OWN = re.compile(r"(?:subject|prose)\d|last2?|lastall|head|form|marked")  # types that a text's own last line feeds
+_BY_SOURCE = {"subject", "prose", "last", "last2"}  # types of statistics that are kept per source
+_OWN = _BY_SOURCE | {"lastall", "head", "form", "marked"}  # types that a text's own last line feeds
 
 _WORD = re.compile(r"\d+(?:[.,:]\d+)*[^\W_]*|(?=[^\W\d_]+\d)[^\W_]+|[^\W\d_]+(?:'[^\W\d_]+)*|\S")
 _FORMAT = re.compile("[\u200b-\u200f\u2060\ufeff\u00ad]")
@@ -54,7 +55,8 @@ def shape(line: str) -> str:
     """A line with digits, words and capitals masked."""
     s = re.sub(r"\d+", "0", line.strip())
     s = re.sub(r"[^\W\d_A-Z]+", "w", s)
-    return re.sub(r"[A-Z]+", "W", s)[:200]
+    s = re.sub(r"[A-Z]+", "W", s)
+    return s if len(s) <= 200 else s[:100] + hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
 
 
 def _kind(line: str, first: bool, alone: bool, log: bool) -> str:
@@ -87,100 +89,130 @@ def _lines(text: str, source: str) -> Iterator[tuple[str, str, bool]]:
         yield rows[i], _kind(rows[i], i == full[0], alone, log or bool(_LOG.match(rows[i])) and len(full) > 3 and bool(_LOG.match(rows[full[0]]))), i == full[-1]
 
 
-def _count(text: str, source: str, any_: Counter, end: Counter, at_limit: bool, own: bool = False) -> None:
-    """Counts of one text, or of its last line if ``own``; the end of a text at a storage limit is no example of how lines end."""
+class _Counts:
+    """How often tokens occur (``any``) and end something (``end``), by type and what the type is kept for."""
+
+    def __init__(self) -> None:
+        self.any: defaultdict[tuple[str, str], Counter] = defaultdict(Counter)
+        self.end: defaultdict[tuple[str, str, int], Counter] = defaultdict(Counter)
+
+    def __len__(self) -> int:
+        return sum(map(len, self.any.values()))
+
+    def clear(self) -> None:
+        self.any.clear(), self.end.clear()
+
+    def rows(self) -> pa.RecordBatch:
+        """type, key, n_any and n_end of the last, the last but one and the last but two tokens."""
+        types, keys, n, ends = [], [], [], ([], [], [])
+        for (kind, of), c in self.any.items():
+            e = [self.end.get((kind, of, d), {}) for d in range(3)]
+            types += [kind] * len(c)
+            keys += [f"{of} {t}" for t in c] if of else c
+            n += c.values()
+            for d in range(3):
+                ends[d].extend(map(e[d].get, c, [0] * len(c)) if e[d] else [0] * len(c))
+        cols = [pa.array(types, pa.string()), pa.array(keys, pa.string()), *(pa.array(x, pa.int64()) for x in (n, *ends))]
+        return pa.RecordBatch.from_arrays(cols, names=["type", "key", "n_any", "n_end0", "n_end1", "n_end2"])
+
+    def flat(self) -> dict[tuple[str, int, str], tuple[int, int]]:
+        """(n_end, n_any) by type, distance from the end and key."""
+        return {(kind, d, f"{of} {t}" if of else t): (self.end.get((kind, of, d), {}).get(t, 0), n) for (kind, of), c in self.any.items() for t, n in c.items() for d in range(3)}
+
+
+def _count(text: str, source: str, into: _Counts, at_limit: bool, own: bool = False, per_source: bool = False) -> None:
+    """Counts of one text, or of its last line if ``own``; the end of a text at a storage limit is no example of how lines end.
+
+    ``per_source`` takes only what is kept per source. Every token that ends something also occurs, so all keys are in ``any``.
+    """
+    any_, end = into.any, into.end
     text = _plain(text)
     for line, kind, last in _lines(text, source):
         if own and not last:
             continue
-        toks = [_mask(t) for t in _WORD.findall(_MARK.sub("", line) if last else line)]
-        if not toks:
+        raw = _WORD.findall(_MARK.sub("", line) if last else line)
+        if not raw:
+            continue
+        toks = [_mask(t) for t in raw]
+        alpha = [t for t in toks if t[0].isalpha()]
+        two = [f"{a} {b}" for a, b in zip(toks, toks[1:])]
+        open_ = not _TERMINAL.search(line.rstrip()) and not (last and at_limit)
+        closed = open_ or kind == "log" and not (last and at_limit)
+        if kind in ("subject", "prose"):
+            any_[kind, source].update(toks)
+            if open_:
+                for d in range(min(3, len(toks))):
+                    end[kind, source, d][toks[-1 - d]] += 1
+        any_["last", source].update(alpha)
+        any_["last2", source].update(two)
+        if closed and toks[-1][0].isalpha():
+            end["last", source, 0][toks[-1]] += 1
+        if closed and two:
+            end["last2", source, 0][two[-1]] += 1
+        if per_source:
             continue
-        whole = toks[:-1] if last else toks
         scope = "log" if kind == "log" else "text"
-        any_.update(("word", f"{scope} {t}") for t in whole if t[0].isalpha())
-        any_.update(("vocabulary", f"{scope} {t}") for t in toks if t[0].isalpha())
         form = shape(line)
+        any_["head", ""][toks[0]] += 1
+        any_["form", ""][f"{toks[0]} {form}"] += 1
+        any_["lastall", ""].update(alpha)
+        if closed and toks[-1][0].isalpha():
+            end["lastall", "", 0][toks[-1]] += 1
+        if kind in ("subject", "prose"):
+            any_["marked", ""].update(two)
+        if last and not at_limit and two and _MARK.search(text):
+            any_["marked", ""][two[-1]] += 0
+            end["marked", "", 0][two[-1]] += 1
+        if own:
+            continue
+        any_["vocabulary", scope].update(alpha)
+        any_["word", scope].update(alpha[:-1] if last and toks[-1][0].isalpha() else alpha)
         if not last:
-            any_["shape", form] += 1
-        any_["head", toks[0]] += 1
-        any_["form", f"{toks[0]} {form}"] += 1
+            any_["shape", ""][form] += 1
         # a point at a line's end, or before a capital, ends a sentence; one at the text's end tells nothing
-        for i, t in enumerate(toks):
-            if t == "." and i and not (last and i + 1 == len(toks)):
-                k = ("stop", toks[i - 1] if toks[i - 1] != "0" else f"{toks[i - 2] if i > 1 else ''} 0")
-                any_[k] += 1
-                end[k] += i + 1 == len(toks) or toks[i + 1][:1].isupper() or not toks[i + 1][:1].isascii()
-        for a, b in zip(toks, _WORD.findall(line)[1:]):
+        if "." in toks:
+            for i, t in enumerate(toks):
+                if t == "." and i and not (last and i + 1 == len(toks)):
+                    k = toks[i - 1] if toks[i - 1] != "0" else f"{toks[i - 2] if i > 1 else ''} 0"
+                    any_["stop", ""][k] += 1
+                    end["stop", "", 0][k] += i + 1 == len(toks) or toks[i + 1][:1].isupper() or not toks[i + 1][:1].isascii()
+        for a, b in zip(toks, raw[1:]):
             if b[0].isdigit():
-                any_["frac", a] += 1
-                end["frac", a] += "." in b
-        open_ = not _TERMINAL.search(line.rstrip()) and not (last and at_limit)
-        if kind in ("subject", "prose"):
-            for d in range(3):
-                any_.update((f"{kind}{d}", f"{source} {t}") for t in toks)
-                if len(toks) > d and open_:
-                    end[f"{kind}{d}", f"{source} {toks[-1 - d]}"] += 1
-            any_.update(("marked", f"{a} {b}") for a, b in zip(toks, toks[1:]))
-        any_.update(("last", f"{source} {t}") for t in toks if t[0].isalpha())
-        any_.update(("lastall", f" {t}") for t in toks if t[0].isalpha())
-        any_.update(("last2", f"{source} {a} {b}") for a, b in zip(toks, toks[1:]))
-        if open_ or kind == "log" and not (last and at_limit):
-            if toks[-1][0].isalpha():
-                end["last", f"{source} {toks[-1]}"] += 1
-                end["lastall", f" {toks[-1]}"] += 1
-            if len(toks) > 1:
-                end["last2", f"{source} {toks[-2]} {toks[-1]}"] += 1
-        if last and not at_limit and _MARK.search(text) and len(toks) > 1:
-            end["marked", f"{toks[-2]} {toks[-1]}"] += 1
+                any_["frac", ""][a] += 1
+                end["frac", "", 0][a] += "." in b
 
 
-def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    any_, end = Counter(), Counter()
+_STATS = "type string, key string, n_any long, n_end0 long, n_end1 long, n_end2 long"
 
-    def flush() -> pa.RecordBatch:
-        keys = list(any_.keys() | end.keys())
-        return pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([end[k] for k in keys], pa.int64()), pa.array([any_[k] for k in keys], pa.int64())],
-            names=["type", "key", "n_end", "n_any"],
-        )
 
+def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = _Counts()
     for b in batches:
-        for text, source, at_limit, lead, near in zip(*(b.column(c).to_pylist() for c in ("text", "source", "at_limit", "lead", "near"))):
-            if lead:
-                _count(text, source, any_, end, at_limit)
-            elif near:  # counted under another source; here only what is kept per source
-                some, ends = Counter(), Counter()
-                _count(text, source, some, ends, at_limit)
-                any_.update({k: n for k, n in some.items() if _BY_SOURCE.fullmatch(k[0])})
-                end.update({k: n for k, n in ends.items() if _BY_SOURCE.fullmatch(k[0])})
-            if len(any_) > 200_000:
-                yield flush()
-                any_.clear(), end.clear()
-    yield flush()
+        for i, (text, source, at_limit, lead, near) in enumerate(zip(*(b.column(c).to_pylist() for c in ("text", "source", "at_limit", "lead", "near")))):
+            if lead or near:  # near only: counted under another source; here what is kept per source
+                _count(text, source, counts, at_limit, per_source=not lead)
+            if i % 256 == 255 and len(counts) > 200_000:
+                yield counts.rows()
+                counts.clear()
+    yield counts.rows()
 
 
-def _last(source: str, toks: list[str]) -> list[tuple[str, str]]:
-    one = [("last", f"{source} {toks[-1]}"), ("lastall", f" {toks[-1]}")] if toks[-1][0].isalpha() else []
-    return one + ([("last2", f"{source} {toks[-2]} {toks[-1]}")] if len(toks) > 1 else [])
+def _last(source: str, toks: list[str]) -> list[tuple[str, int, str]]:
+    one = [("last", 0, f"{source} {toks[-1]}" if source else toks[-1]), ("lastall", 0, toks[-1])] if toks[-1][0].isalpha() else []
+    two = f"{toks[-2]} {toks[-1]}" if len(toks) > 1 else ""
+    return one + ([("last2", 0, f"{source} {two}" if source else two)] if two else [])
 
 
 def _own(text: str, source: str, here: bool, home: str, home_limit: bool):
     """A function of a key: what the text's own last line added to its counts, (n_end, n_any)."""
-    near = Counter(), Counter()
-    _count(text, source, *near, here, True)
-    far = near
+    counts = _Counts()
+    _count(text, source, counts, here, True)
+    near = far = counts.flat()
     if (home, home_limit) != (source, here):
-        far = Counter(), Counter()
-        _count(text, home, *far, home_limit, True)
-
-    def of(key: tuple[str, str]) -> tuple[int, int]:
-        if not _OWN.fullmatch(key[0]):
-            return 0, 0
-        any_, end = near if _BY_SOURCE.fullmatch(key[0]) else far
-        return end[key], any_[key]
-
-    return of
+        counts = _Counts()
+        _count(text, home, counts, home_limit, True)
+        far = counts.flat()
+    return lambda key: (near if key[0] in _BY_SOURCE else far).get(key, (0, 0)) if key[0] in _OWN else (0, 0)
 
 
 def _ending(text: str, source: str, own) -> dict:
@@ -191,7 +223,7 @@ def _ending(text: str, source: str, own) -> dict:
     *_, (line, kind, _) = [("", "prose", True), *_lines(body, source)]
     toks = [_mask(t) for t in _WORD.findall(line)]
     last = toks[-1] if toks else ""
-    keys: list[tuple[str, str]] = []
+    keys: list[tuple[str, int, str]] = []
     sure = None
     stripped = line.strip()
     fences = len(re.findall(r"^\s*```", body, re.M))
@@ -201,7 +233,7 @@ def _ending(text: str, source: str, own) -> dict:
         sure = "cut inside code"
     elif mark:
         if len(toks) > 1:
-            keys.append(("marked", f"{toks[-2]} {toks[-1]}"))
+            keys.append(("marked", 0, f"{toks[-2]} {toks[-1]}"))
     elif stripped.startswith("```") or _SIGN.match(stripped):
         sure = "whole"
     elif stripped.startswith("|"):
@@ -212,29 +244,29 @@ def _ending(text: str, source: str, own) -> dict:
         sure = "whole"
         if kind == "log":
             sure = None
-            keys += [("shape", shape(line)), ("head", toks[0]), ("form", f"{toks[0]} {shape(line)}"), *_last(source, toks)]
+            keys += [("shape", 0, shape(line)), ("head", 0, toks[0]), ("form", 0, f"{toks[0]} {shape(line)}"), *_last(source, toks)]
         elif stripped.endswith(".") and len(toks) > 1:
             before = toks[-2]
             if before == "0" or len(before) == 1 and len(toks) > 3 and toks[-3] == ".":
-                keys.append(("stop", f"{toks[-3] if len(toks) > 2 else ''} 0" if before == "0" else before))
+                keys.append(("stop", 0, f"{toks[-3] if len(toks) > 2 else ''} 0" if before == "0" else before))
                 sure = None
                 if before == "0" and "." not in _WORD.findall(line)[-2]:
-                    keys.append(("frac", toks[-3] if len(toks) > 2 else ""))
+                    keys.append(("frac", 0, toks[-3] if len(toks) > 2 else ""))
     elif toks:
-        keys += [("shape", shape(line)), ("head", toks[0]), ("form", f"{toks[0]} {shape(line)}")]
+        keys += [("shape", 0, shape(line)), ("head", 0, toks[0]), ("form", 0, f"{toks[0]} {shape(line)}")]
         keys += _last(source, toks)
         if kind in ("subject", "prose"):
-            keys += [(f"{kind}{d}", f"{source} {toks[-1 - d]}") for d in range(min(3, len(toks)))]
+            keys += [(kind, d, f"{source} {toks[-1 - d]}" if source else toks[-1 - d]) for d in range(min(3, len(toks)))]
     if last and last[0].isalpha() and sure is None:
         scope = "log" if kind == "log" else "text"
-        keys += [("word", f"{scope} {last}"), ("prefix", f"{scope} {last}")]
-    return {"kind": kind, "mark": mark, "sure": sure, "last": last, "terminal": bool(_TERMINAL.search(stripped)) and not mark, "keys": [{"type": k[0], "key": k[1], "own_end": (o := own(k))[0], "own_any": o[1]} for k in dict.fromkeys(keys)]}
+        keys += [("word", 0, f"{scope} {last}"), ("prefix", 0, f"{scope} {last}")]
+    return {"kind": kind, "mark": mark, "sure": sure, "last": last, "terminal": bool(_TERMINAL.search(stripped)) and not mark, "keys": [{"type": k[0], "at": k[1], "key": k[2], "own_end": (o := own(k))[0], "own_any": o[1]} for k in dict.fromkeys(keys)]}
 
 
 def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = [_ending(t, s, _own(t, s, *o)) for t, s, *o in zip(*(b.column(c).to_pylist() for c in ("text", "source", "here", "home", "home_limit")))]
-        key = pa.struct([("type", pa.string()), ("key", pa.string()), ("own_end", pa.int64()), ("own_any", pa.int64())])
+        key = pa.struct([("type", pa.string()), ("at", pa.int32()), ("key", pa.string()), ("own_end", pa.int64()), ("own_any", pa.int64())])
         yield pa.RecordBatch.from_arrays(
             [*(b.column(c) for c in _GROUP), *(pa.array([r[c] for r in rows], t) for c, t in (("kind", pa.string()), ("mark", pa.bool_()), ("sure", pa.string()), ("last", pa.string()), ("terminal", pa.bool_()), ("keys", pa.list_(key))))],
             names=[*_GROUP, "kind", "mark", "sure", "last", "terminal", "keys"],
@@ -292,9 +324,8 @@ def inspect(documents: DataFrame) -> DataFrame:
     """
     plain = _texts(documents).withColumn("hash", _hash()).withColumn("lengths", lengths())
     held = cut(_limits(plain.select("source", "hash", "lengths").distinct()).groupBy("source").agg(F.collect_set(F.struct("measure", "length")).alias("limits")))
-    held = F.broadcast(held) if held.count() <= _FEW_SOURCES else held
     at = F.coalesce(F.arrays_overlap("lengths", "limits"), F.lit(False))
-    rows = plain.join(held, "source", "left").select("doc_id", "source", "hash", at.alias("at_limit"), "text")
+    rows = lookup(plain, held, "source").select("doc_id", "source", "hash", at.alias("at_limit"), "text")
     # a text counts once per source for what is kept per source, and once, under its first source, for all else
     first = F.min(F.struct("source", "at_limit")).over(Window.partitionBy("hash"))
     here = F.min("at_limit").over(Window.partitionBy("hash", "source"))
@@ -302,22 +333,39 @@ def inspect(documents: DataFrame) -> DataFrame:
     texts = cut(texts.select(*_GROUP, "text", "here", F.col("first.source").alias("home"), F.col("first.at_limit").alias("home_limit")))
     near = F.col("at_limit") == F.col("here")
     counted = texts.select("text", "source", "at_limit", (near & (F.col("source") == F.col("home"))).alias("lead"), near.alias("near"))
-    stats = cut(counted.mapInArrow(_stats, "type string, key string, n_end long, n_any long").groupBy("type", "key").agg(F.sum("n_end").alias("n_end"), F.sum("n_any").alias("n_any")))
-    words = stats.filter("type = 'vocabulary'").select("key", "n_any")
-    cuts = F.sequence(F.lit(1), F.least(F.length("key") - 1, F.lit(32)))
-    longer = words.select(F.explode(F.transform(cuts, lambda i: F.substring("key", F.lit(1), i))).alias("key"), "n_any")
-    prefixes = longer.groupBy("key").agg(F.sum("n_any").alias("n_any")).select(F.lit("prefix").alias("type"), "key", F.lit(0).cast("long").alias("n_end"), "n_any")
-    ends = cut(texts.mapInArrow(_endings, "source string, hash string, at_limit boolean, kind string, mark boolean, sure string, last string, terminal boolean, keys array<struct<type string, key string, own_end long, own_any long>>"))
+    sums = [F.sum(c).alias(c) for c in ("n_any", "n_end0", "n_end1", "n_end2")]
+    stats = cut(counted.mapInArrow(_stats, _STATS).groupBy("type", "key").agg(*sums))
+    ends = cut(texts.mapInArrow(_endings, "source string, hash string, at_limit boolean, kind string, mark boolean, sure string, last string, terminal boolean, keys array<struct<type string, at int, key string, own_end long, own_any long>>"))
     asked = ends.select(*_GROUP, F.inline("keys"))
+    zero = F.lit(0).cast("long")
+    prefixes = _prefixes(stats.filter("type = 'vocabulary'").select("key", "n_any"), asked.filter("type = 'prefix'").select("key").distinct())
+    prefixes = prefixes.select(F.lit("prefix").alias("type"), "key", "n_any", zero.alias("n_end0"), zero.alias("n_end1"), zero.alias("n_end2"))
     known = lookup(asked, stats.union(prefixes), ["type", "key"], "inner")
-    v = F.struct((F.col("n_end") - F.col("own_end")).alias("n_end"), (F.col("n_any") - F.col("own_any")).alias("n_any"))
-    facts = known.groupBy(*_GROUP).agg(F.map_from_entries(F.collect_set(F.struct("type", v.alias("v")))).alias("f"))
+    n_end = F.when(F.col("at") == 0, F.col("n_end0")).when(F.col("at") == 1, F.col("n_end1")).otherwise(F.col("n_end2"))
+    v = F.struct((n_end - F.col("own_end")).alias("n_end"), (F.col("n_any") - F.col("own_any")).alias("n_any"))
+    name = F.when(F.col("type").isin("subject", "prose"), F.concat("type", F.col("at").cast("string"))).otherwise(F.col("type"))
+    facts = known.groupBy(*_GROUP).agg(F.map_from_entries(F.collect_set(F.struct(name.alias("type"), v.alias("v")))).alias("f"))
     e = ends.join(facts, _GROUP, "left")
     n = lambda t, c="n_any": F.coalesce(F.col("f")[t][c], F.lit(0))
     judged = e.withColumn("reason", _reason(n)).select(*_GROUP, "kind", "reason")
     return lookup(rows.select("doc_id", *_GROUP), judged, _GROUP, "inner").dropDuplicates(["doc_id"]).select("doc_id", "source", "kind", "reason", "at_limit")
 
 
+def _prefixes(words: DataFrame, asked: DataFrame) -> DataFrame:
+    """(key, n_any): how often words (key, n_any) occur that are longer than each ``asked`` key and begin with it.
+
+    Prefixes of up to ``LONG`` characters are summed for all words at once; longer asked ones meet the words that share
+    their first ``LONG`` characters.
+    """
+    cuts = F.sequence(F.lit(1), F.least(F.length("key") - 1, F.lit(LONG)))
+    short = words.filter(F.length("key") > 1).select(F.explode(F.transform(cuts, lambda i: F.substring("key", F.lit(1), i))).alias("key"), "n_any").groupBy("key").agg(F.sum("n_any").alias("n_any"))
+    head = F.substring("key", 1, LONG)
+    far = asked.filter(F.length("key") > LONG).select(head.alias("head"), F.col("key").alias("asked"))
+    long = words.filter(F.length("key") > LONG).select(head.alias("head"), "key", "n_any").join(far, "head")
+    hit = long.filter(F.startswith("key", F.col("asked")) & (F.col("key") != F.col("asked")))
+    return short.union(hit.groupBy(F.col("asked").alias("key")).agg(F.sum("n_any").alias("n_any")))
+
+
 def _reason(n):
     word = (F.col("last") != "") & F.col("last").rlike(r"^\p{L}") & (n("prefix") > 0) & (n("word") * 20 <= n("prefix")) & (F.col("sure").isNull())
     always = (n("marked", "n_end") >= 3) & (n("marked", "n_end") * 2 >= n("marked"))

@@ -357,6 +357,16 @@ def test_cut_texts(spark):
     assert rep == {"body": 4, "": 0}
 
 
+def test_long_words_and_lines(spark):
+    word = "extraordinarilylongidentifierofonemodule"
+    whole = [f"The gate kept {i} of the {word} tests. We skip the rest." for i in range(30)]
+    long = " ".join(["Step"] * 60)
+    t = whole + [f"The gate kept 7 of the {word[:36]}", f"The gate kept 7 of the {word[:12]}"]
+    d = spark.createDataFrame([(i, x, "body") for i, x in enumerate(t)], "doc_id long, text string, source string")
+    assert {r.doc_id: r.reason for r in cutoff.inspect(d).filter("reason IS NOT NULL").collect()} == {30: "ends inside a word", 31: "ends inside a word"}
+    assert cutoff.shape(long + " a") != cutoff.shape(long + " 1") and len(cutoff.shape(long)) < 200
+
+
 def test_limits_are_found(spark):
     r = np.random.default_rng(2)
     t = [("x" * int(n)) for n in r.integers(10, 900, 300)] + ["é" * 250] * 9 + ["y" * 500] * 9
