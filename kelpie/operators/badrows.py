@@ -3,7 +3,8 @@
 Structure (quoting, line breaks, column count) is judged per line with array functions over the pieces between
 quotes, so no regular expression has to walk a long field. Values are judged once per distinct value and column:
 the distinct values are cast, those that fail form a dictionary of invalid values with reasons, and the dictionary is
-joined back to the lines. Hot values are pre-aggregated before the shuffle and the join is salted.
+joined back to the lines. Hot values are pre-aggregated before the shuffle; the dictionary and the headers of the files are
+measured and broadcast if they are small, and joined with salt if not.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpie.common import blanks, lookup
+from kelpie.common import attach, blanks, cut
 
 FIELDS = ("test_duration", "build", "test_name", "test_result")
 SEPARATORS = (",", "|", "\t")
@@ -32,7 +33,7 @@ def headers(lines: DataFrame) -> DataFrame:
 def split_lines(lines: DataFrame) -> DataFrame:
     """raw_id, source_file, line_no, fault (null if the structure is sound), fields (map of column to raw value)."""
     body = lines.filter("line_no IS NULL OR line_no <> 1")
-    joined = lookup(body, headers(lines), "source_file")
+    joined = attach(body, headers(lines), "source_file")
     esc = F.replace(F.replace("raw_line", F.lit("\u0002"), F.lit("\u0002b")), F.lit("\u0001"), F.lit("\u0002a"))
     parts = joined.withColumn("p", F.split(esc, '"', -1)).withColumn("n", F.size("p"))
     sound = F.expr(
@@ -76,9 +77,9 @@ def invalid_values(cells: DataFrame) -> DataFrame:
 
 
 def _judged(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    split = split_lines(lines.select("raw_id", "source_file", "line_no", "raw_line"))
+    split = cut(split_lines(lines.select("raw_id", "source_file", "line_no", "raw_line")))  # lines are taken apart once
     cells = split.filter("fault IS NULL").select("raw_id", F.explode("fields").alias("column", "value"))
-    bad = lookup(cells, invalid_values(cells), ["column", "value"], "inner").select("raw_id", "reason")
+    bad = attach(cells, invalid_values(cells), ["column", "value"], "inner").select("raw_id", "reason")
     return split, bad
 
 
