@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kelpie.common import blanks, cut, lookup
+from kelpie.common import attach, blanks, cut, lookup
 
 _GROUP = ["source", "hash", "at_limit"]  # what copies have in common
 MEASURES = ("chars", "bytes", "utf16", "html", "json", "crlf")
@@ -323,9 +323,9 @@ def inspect(documents: DataFrame) -> DataFrame:
     before the shuffle.
     """
     plain = _texts(documents).withColumn("hash", _hash()).withColumn("lengths", lengths())
-    held = cut(_limits(plain.select("source", "hash", "lengths").distinct()).groupBy("source").agg(F.collect_set(F.struct("measure", "length")).alias("limits")))
+    held = _limits(plain.select("source", "hash", "lengths").distinct()).groupBy("source").agg(F.collect_set(F.struct("measure", "length")).alias("limits"))
     at = F.coalesce(F.arrays_overlap("lengths", "limits"), F.lit(False))
-    rows = lookup(plain, held, "source").select("doc_id", "source", "hash", at.alias("at_limit"), "text")
+    rows = attach(plain, held, "source").select("doc_id", "source", "hash", at.alias("at_limit"), "text")
     # a text counts once per source for what is kept per source, and once, under its first source, for all else
     first = F.min(F.struct("source", "at_limit")).over(Window.partitionBy("hash"))
     here = F.min("at_limit").over(Window.partitionBy("hash", "source"))

@@ -6,8 +6,10 @@ beam search over the graph so far proposes neighbours, and relaxed distance prun
 dropped only if a kept neighbour is closer by the factor ``ALPHA``). Every vector then queries each shard of its
 ``PROBES`` nearest cells by beam search, in blocks, and the results are merged. Exact copies are indexed once.
 
-All vectors are indexed and all are queries. Work grows in proportion to the rows as long as cells do (up to
-``MAX_CELLS``). Recall is measured in tests/llm against brute force.
+All vectors are indexed and all are queries. Cells grow with the vectors: beyond ``MAX_CELLS`` each cell is divided by a
+quantiser of its own, fitted on a bounded sample of it, and a vector asks the nearest of the finer cells of its nearest
+cells. Vectors travel as they are stored and are normalised where they are used. Recall is measured in tests/llm against
+brute force.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kelpie.common import cut
+from kelpie.common import attach, cut, lookup
 
 SHARD, MAX_CELLS, SAMPLE = 2048, 4096, 65536
 PROBES, DEGREE, BEAM, ALPHA = 10, 24, 40, 1.2
@@ -34,20 +36,24 @@ def usable(vectors: DataFrame, dim: int = 64, id_col: str = "module_id") -> Data
     Usable are vectors of ``dim`` finite values that are not all zero. Null ids, null and short vectors, NaN and
     infinite values take no part. Of rows with the same time the one with the larger hash is taken.
     """
-    v = F.col("embedding").cast("array<double>")
+    v = F.col("embedding")
+    if vectors.schema["embedding"].dataType.simpleString() != "array<float>":
+        v = v.cast("array<double>")
     fine = F.coalesce((F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = vectors.filter(F.col(id_col).isNotNull() & fine)
     return rows.groupBy(F.col(id_col).alias("id")).agg(F.max_by(v, F.struct("updated_at", F.xxhash64("embedding"))).alias("v"))
 
 
-def _matrix(col: pa.Array) -> np.ndarray:
-    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    x = flat.reshape(len(col), -1)
-    peak = np.abs(x).max(axis=1, keepdims=True)
-    x = x / peak
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _matrix(col: pa.Array) -> np.ndarray:
+    return _unit(col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1))
+
+
 def quantiser(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     """k unit centroids by spherical k-means from evenly spaced rows; empty cells keep their place."""
     c = x[np.linspace(0, len(x) - 1, k).astype(int)].astype(np.float32)
@@ -162,7 +168,7 @@ def entries(n: int) -> np.ndarray:
 
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("id")
-    x = np.stack(pdf.v.to_numpy()).astype(np.float64)
+    x = _unit(np.stack(pdf.v.to_numpy()))
     adj = build_graph(x.astype(np.float32))
     return pd.DataFrame({"shard": [pdf.shard.iloc[0]], "ids": [pdf.id.to_numpy(np.int64).tobytes()], "x": [x.tobytes()], "adj": [adj.tobytes()]})
 
@@ -175,7 +181,7 @@ def _search(k: int):
         ids = np.frombuffer(graph.ids.iloc[0], np.int64)
         x = np.frombuffer(graph.x.iloc[0], np.float64).reshape(len(ids), -1)
         adj = np.frombuffer(graph.adj.iloc[0], np.int32).reshape(len(ids), -1)
-        x32, q = x.astype(np.float32), np.stack(queries.v.to_numpy()).astype(np.float64)
+        x32, q = x.astype(np.float32), _unit(np.stack(queries.v.to_numpy()))
         qid = queries.id.to_numpy(np.int64)
         out = []
         for i in range(0, len(q), _BATCH):
@@ -193,26 +199,60 @@ def _search(k: int):
     return run
 
 
-def _routed(unit: DataFrame, centroids: np.ndarray, probes: int) -> DataFrame:
+def _routed(rep: DataFrame, centroids: np.ndarray, probes: int) -> DataFrame:
     """Adds cells: the ``probes`` nearest cells of each vector, nearest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            x = _matrix(b.column(1))
-            s = x.astype(np.float32) @ centroids.T
+            s = _matrix(b.column(1)).astype(np.float32) @ centroids.T
             k = min(probes, len(centroids))
-            near = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            cells = pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) * k + 1, k), pa.int32()), pa.array(near.ravel(), pa.int32()))
-            v = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), v, cells], names=["id", "v", "cells"])
+            near = np.argsort(-s, axis=1, kind="stable")[:, :k].astype(np.int64)
+            cells = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, k), pa.int32()), pa.array(near.ravel(), pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), cells], names=["id", "v", "cells"])
+
+    return rep.mapInArrow(run, f"id long, v {rep.schema['v'].dataType.simpleString()}, cells array<long>")
+
+
+def _in_blocks(asked: DataFrame, held: DataFrame, by: str, block: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``asked`` in blocks of about ``block`` per ``by``, and ``held`` (a row per ``by``) once for every block."""
+    per = cut(asked.groupBy(by).agg(F.count("*").alias("m")).select(by, F.ceil(F.col("m") / block).cast("int").alias("blocks")))
+    a = lookup(asked, per, by, "inner").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
+    return a, held.join(per, by).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+
+
+def _refined(routed: DataFrame, shard: int, probes: int) -> DataFrame:
+    """``routed`` by finer cells: those of each cell's own quantiser, numbered cell * MAX_CELLS + fine."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        x = _unit(np.stack(pdf.v.to_numpy()))
+        c = quantiser(x, max(1, min(int(pdf.f.iloc[0]), len(x))))
+        return pd.DataFrame({"cell": [pdf.cell.iloc[0]], "c": [c.astype(np.float32).tobytes()]})
+
+    def near(key, queries: pd.DataFrame, fine: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(fine):
+            return pd.DataFrame({"id": pd.Series([], dtype="int64"), "cell": pd.Series([], dtype="int64"), "s": pd.Series([], dtype="float32")})
+        q = _unit(np.stack(queries.v.to_numpy())).astype(np.float32)
+        s = q @ np.frombuffer(fine.c.iloc[0], np.float32).reshape(-1, q.shape[1]).T
+        k = min(probes, s.shape[1])
+        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        return pd.DataFrame({"id": np.repeat(queries.id.to_numpy(np.int64), k), "cell": (int(fine.cell.iloc[0]) * MAX_CELLS + top).ravel(), "s": np.take_along_axis(s, top, 1).ravel()})
 
-    return unit.mapInArrow(run, "id long, v array<double>, cells array<int>")
+    sizes = routed.groupBy(F.col("cells")[0].alias("cell")).agg(F.count("*").alias("m"))
+    sizes = sizes.withColumn("f", F.least(F.lit(MAX_CELLS), F.ceil(F.col("m") / (shard // 2))))
+    home = routed.select("id", "v", F.col("cells")[0].alias("cell")).join(F.broadcast(sizes), "cell")  # at most MAX_CELLS rows
+    some = home.filter(F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.ceil(F.col("m") / F.least(F.lit(SAMPLE), 64 * F.col("f"))))) == 0)
+    fine = cut(some.select("id", "v", "cell", "f").groupBy("cell").applyInPandas(fit, "cell long, c binary"))
+    asked, held = _in_blocks(routed.select("id", "v", F.explode("cells").alias("cell")), fine, "cell", 8 * shard)
+    hits = asked.groupBy("cell", "block").cogroup(held.groupBy("cell", "block")).applyInPandas(near, "id long, cell long, s float")
+    best = hits.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.col("s"), (-F.col("cell")).alias("c"))), False), 1, probes).alias("t"))  # probes squared at most
+    return routed.select("id", "v").join(best, "id").select("id", "v", F.transform("t", lambda x: -x["c"]).alias("cells"))
 
 
 def nearest(points: DataFrame, k: int = 10, probes: int = PROBES, shard: int = SHARD) -> DataFrame:
-    """(id, other, cosine, rank): the k most similar of the other points for every row of ``points`` (id long, v array<double>).
+    """(id, other, cosine, rank): the k most similar of the other points for every row of ``points`` (id long, v array<double> or array<float>).
 
     Points with the same vector are searched as one and listed first, smaller ids before larger ones; ties elsewhere
     are broken by the smaller id. One point has no neighbours; an empty table gives no rows.
@@ -228,19 +268,20 @@ def nearest(points: DataFrame, k: int = 10, probes: int = PROBES, shard: int = S
     n = rep.count()
     if n == 0:
         return spark.createDataFrame([], "id long, other long, cosine double, rank int")
-    cells = max(1, min(MAX_CELLS, -(-n // (shard // 2))))
+    wanted = -(-n // (shard // 2))
+    cells = max(1, min(MAX_CELLS, wanted))
     sample = rep.orderBy(F.xxhash64("id")).limit(min(SAMPLE, 64 * cells)).select("v").toArrow()
     centroids = quantiser(_matrix(sample.column(0).combine_chunks()), min(cells, sample.num_rows))
     routed = cut(_routed(rep, centroids, probes))
-    sizes = routed.groupBy(F.col("cells")[0].alias("cell")).agg(F.count("*").alias("m")).select("cell", F.ceil(F.col("m") / shard).cast("int").alias("parts"))
-    home = routed.select("id", "v", F.col("cells")[0].alias("cell")).join(F.broadcast(sizes), "cell")
-    name = F.col("cell").cast("long") * F.lit(1 << 32)
+    if wanted > MAX_CELLS:
+        routed = cut(_refined(routed, shard, probes))
+    sizes = cut(routed.groupBy(F.col("cells")[0].alias("cell")).agg(F.count("*").alias("m")).select("cell", F.ceil(F.col("m") / shard).cast("int").alias("parts")))
+    home = attach(routed.select("id", "v", F.col("cells")[0].alias("cell")), sizes, "cell", "inner")
+    name = F.col("cell") * F.lit(1 << 32)
     graphs = cut(home.select("id", "v", (name + F.pmod(F.xxhash64("id"), F.col("parts"))).alias("shard")).groupBy("shard").applyInPandas(_build, "shard long, ids binary, x binary, adj binary"))
-    asked = routed.select("id", "v", F.explode("cells").alias("cell")).join(F.broadcast(sizes), "cell")
+    asked = attach(routed.select("id", "v", F.explode("cells").alias("cell")), sizes, "cell", "inner")
     asked = asked.select("id", "v", F.explode(F.sequence(name, name + F.col("parts") - 1)).alias("shard"))
-    per = asked.groupBy("shard").agg(F.count("*").alias("m")).select("shard", F.ceil(F.col("m") / (4 * shard)).cast("int").alias("blocks"))
-    asked = asked.join(F.broadcast(per), "shard").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    held = graphs.join(F.broadcast(per), "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    asked, held = _in_blocks(asked, graphs, "shard", 4 * shard)
     hits = asked.select("shard", "block", "id", "v").groupBy("shard", "block").cogroup(held.select("shard", "block", "ids", "x", "adj").groupBy("shard", "block")).applyInPandas(_search(k), "id long, other long, cosine double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))
     found = cut(hits.withColumn("rank", rank).filter(F.col("rank") <= k))
@@ -252,13 +293,17 @@ def nearest(points: DataFrame, k: int = 10, probes: int = PROBES, shard: int = S
 
 def _expand(points: DataFrame, members: DataFrame, alone: DataFrame, found: DataFrame, k: int) -> DataFrame:
     """Neighbours of classes of equal vectors to neighbours of their members."""
-    firsts = members.withColumn("rep", F.min("id").over(Window.partitionBy("v"))).select("rep", F.col("id").alias("member"), "v")
-    of = points.join(firsts.select("v", "rep").distinct(), "v").select("id", "rep")
-    same = of.join(firsts.select("rep", F.col("member").alias("other")), "rep").filter("id <> other").select("id", "other", F.lit(1.0).alias("cosine"))
-    near = found.select(F.col("id").alias("rep"), F.col("other").alias("orep"), "cosine").join(firsts.select(F.col("rep").alias("orep"), F.col("member").alias("other")), "orep")
+    firsts = cut(members.withColumn("rep", F.min("id").over(Window.partitionBy("v"))).select("rep", F.col("id").alias("member"), "v"))
+    # a class holds at most k + 1 members here, so a table by class is no hot side; points of a class may be many
+    classes = firsts.groupBy("rep").agg(F.min("v").alias("v"), F.collect_list("member").alias("members"))
+    of = lookup(points, classes, "v", "inner").select("id", "rep", "members")
+    same = of.select("id", F.explode("members").alias("other"), F.lit(1.0).alias("cosine")).filter("id <> other")
+    near = found.select(F.col("id").alias("rep"), F.col("other").alias("orep"), "cosine")
+    near = lookup(near, classes.select(F.col("rep").alias("orep"), "members"), "orep", "inner").select("rep", F.explode("members").alias("other"), "cosine")
     cap = Window.partitionBy("rep").orderBy(F.desc("cosine"), "other")
-    near = near.withColumn("__r", F.row_number().over(cap)).filter(F.col("__r") <= k).select("rep", "other", "cosine")
-    both = same.union(of.join(near, "rep").select("id", "other", "cosine"))
+    near = near.withColumn("__r", F.row_number().over(cap)).filter(F.col("__r") <= k)
+    near = near.groupBy("rep").agg(F.collect_list(F.struct("other", "cosine")).alias("near"))  # k at most
+    both = same.union(lookup(of.select("id", "rep"), near, "rep", "inner").select("id", F.inline("near")))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))
     return both.withColumn("rank", rank).filter(F.col("rank") <= k)
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kelpie.common import cut, lookup
+from kelpie.common import attach, cut
 from kelpie.llm import lexers, productions, python_grammar
 
 # Languages by extension.
@@ -145,7 +145,7 @@ def _group_faults(tok: DataFrame) -> DataFrame:
     shaped = groups.filter("nesting IS NULL").select("file_id", "lang", role.alias("role"), runs.alias("content"))
     shapes = shaped.groupBy("lang", "role", "content").agg(F.lit(1).alias("one")).select("lang", "role", "content")
     bad = shapes.mapInArrow(_underived, "lang string, role string, content string")
-    hits = lookup(shaped, bad, ["lang", "role", "content"], "inner")
+    hits = attach(shaped, bad, ["lang", "role", "content"], "inner")
     return groups.filter("nesting IS NOT NULL").select("file_id", F.col("nesting").alias("fault")).union(hits.select("file_id", F.concat(F.lit("no production of "), "role").alias("fault")))
 
 
@@ -208,7 +208,7 @@ def _line_faults(tok: DataFrame) -> DataFrame:
     odd = held.select("role", "content", "p.prev", "p.sym").join(F.broadcast(table), ["prev", "sym"], "left_anti").groupBy("role", "content").agg(F.min(F.concat(F.lit("misplaced "), "sym", F.lit(" after "), "prev")).alias("fault"))
     rest = shapes.join(odd, ["role", "content"], "left_anti").select(F.lit("python").alias("lang"), "role", "content")
     bad = odd.union(rest.mapInArrow(_underived, "lang string, role string, content string").select("role", "content", F.concat(F.lit("no production of "), "role")))
-    return x.filter("fault IS NOT NULL").select("file_id", "fault").union(lookup(rows, bad, ["role", "content"], "inner").select("file_id", "fault"))
+    return x.filter("fault IS NOT NULL").select("file_id", "fault").union(attach(rows, bad, ["role", "content"], "inner").select("file_id", "fault"))
 
 
 def faults(files: DataFrame) -> DataFrame:

@@ -261,9 +261,11 @@ def test_recall_with_many_shards(spark, monkeypatch):
     x = np.concatenate([c + r.normal(scale=0.25, size=(int(n), 64)) for c, n in zip(centres, r.integers(1, 25, 300))])
     ids = np.arange(len(x)) * 3 + 1
     v = spark.createDataFrame([(int(i), [float(y) for y in row]) for i, row in zip(ids, x)], "id long, v array<double>")
-    got = {(min(r.id, r.other), max(r.id, r.other)) for r in neighbours.nearest(v, 10, shard=256).filter("cosine >= 0.85").collect()}
     want = brute(ids, x, 10, 0.85)
-    assert len(got & want) >= 0.97 * len(want)
+    for cells in (neighbours.MAX_CELLS, 8):  # one level of cells, and two
+        monkeypatch.setattr(neighbours, "MAX_CELLS", cells)
+        got = {(min(r.id, r.other), max(r.id, r.other)) for r in neighbours.nearest(v, 10, shard=256).filter("cosine >= 0.85").collect()}
+        assert len(got & want) >= 0.97 * len(want)
 
 
 def test_neighbour_edges(spark):
