@@ -42,9 +42,25 @@ def _t(x: str) -> str:
 
 # -- rows that fail to parse
 
-_query("p7_found", "presubmit_raw")(badrows.found)
+_W = "' ' || chr(9) || chr(10) || chr(13)"
+_RECORD = {name: "^" + sep.join(['("(?:[^"]|"")*"|[^"\\r\\n' + sep + "]*)"] * 4) + "$" for name, sep in ((",", ","), ("|", "\\|"), ("tab", "\\t"))}
+_LOADED = f"""h AS (SELECT source_file, arg_min(raw_line, (raw_id, raw_line)) AS h FROM presubmit_raw WHERE line_no = 1 GROUP BY 1),
+c AS (SELECT source_file, s, list_transform(string_split(regexp_replace(h, '^\ufeff', ''), s), lambda x: lower(trim(replace(x, '"', ''), {_W}))) AS names FROM h, (VALUES (','), ('|'), (chr(9))) v(s)),
+l AS (SELECT r.raw_id, r.source_file, r.line_no, raw_line, s, names FROM presubmit_raw r LEFT JOIN (SELECT * FROM c WHERE list_sort(names) = ['build', 'test_duration', 'test_name', 'test_result']) USING (source_file) WHERE line_no IS DISTINCT FROM 1),
+x AS (SELECT *, CASE s WHEN ',' THEN regexp_extract(raw_line, '{_RECORD[',']}', ['a', 'b', 'c', 'd']) WHEN '|' THEN regexp_extract(raw_line, '{_RECORD['|']}', ['a', 'b', 'c', 'd']) WHEN chr(9) THEN regexp_extract(raw_line, '{_RECORD['tab']}', ['a', 'b', 'c', 'd']) END AS g,
+ coalesce(CASE s WHEN ',' THEN regexp_full_match(raw_line, '{_RECORD[',']}') WHEN '|' THEN regexp_full_match(raw_line, '{_RECORD['|']}') WHEN chr(9) THEN regexp_full_match(raw_line, '{_RECORD['tab']}') END, false) AS sound FROM l),
+y AS (SELECT *, list_transform([g.a, g.b, g.c, g.d], lambda q: trim(CASE WHEN q LIKE '"%' THEN replace(q[2:-2], '""', '"') ELSE q END, {_W})) AS v FROM x),
+z AS (SELECT raw_id, source_file, line_no, v[list_position(names, 'test_duration')] AS td, v[list_position(names, 'build')] AS bu, v[list_position(names, 'test_name')] AS tn, v[list_position(names, 'test_result')] AS tr, sound FROM y),
+w AS (SELECT *, sound AND (td = '' OR regexp_full_match(td, '(?:[0-9]+(?:\\.[0-9]*)?|\\.[0-9]+)(?:[eE][+-]?[0-9]+)?')) AND regexp_full_match(bu, '[0-9a-fA-F]{{10}}(?:[/_][0-9a-fA-F]{{10}})*') AND tn <> '' AND upper(tr) IN ('PASSED', 'FAILED', 'SKIPPED') AS ok FROM z)"""
+_query("p7_found", "presubmit_raw", sql=f"WITH {_LOADED} SELECT raw_id FROM w WHERE NOT ok")(badrows.found)
 _query("p7_load", "presubmit_raw")(badrows.load)
-_query("p7_report", "presubmit_raw")(badrows.report)
+_query("p7_rows", "presubmit_raw", sql=f"WITH {_LOADED} SELECT raw_id, {_r('TRY_CAST(td AS DOUBLE)', 'test_duration')}, bu AS build, tn AS test_name, upper(tr) AS test_result FROM w WHERE ok")(
+    lambda t: badrows.load(t).filter(F.size("reasons") == 0).select("raw_id", "test_duration", "build", "test_name", "test_result")
+)
+_query(
+    "p7_report", "presubmit_raw",
+    sql=f"WITH {_LOADED} SELECT source_file, count(*) AS n_lines, count(*) FILTER (WHERE ok) AS n_loaded, count(*) FILTER (WHERE NOT ok) AS n_rejected, {_r('count(*) FILTER (WHERE NOT ok) / count(*)::DOUBLE', 'rejected_share')} FROM w GROUP BY source_file",
+)(badrows.report)
 
 # -- telemetry
 
@@ -239,7 +255,12 @@ FROM tm JOIN up ON up.node = tm.module GROUP BY test""",
 _query("graph_degrees", "part", sql=f"WITH e AS ({_EDGES}), o AS (SELECT importer AS node, count(DISTINCT imported) AS a FROM e GROUP BY 1), i AS (SELECT imported AS node, count(DISTINCT importer) AS b FROM e GROUP BY 1) SELECT node, coalesce(a, 0) AS n_imports, coalesce(b, 0) AS n_importers FROM o FULL JOIN i USING (node)")(
     lambda p: graph.degrees(_edges(p))
 )
-_query("forward_depth", "part")(lambda p: graph.forward_depth(_edges(p), _seeds(p)))
+_query(
+    "forward_depth", "part",
+    sql=f"""WITH RECURSIVE edges AS ({_EDGES}), r(s, n, d) USING KEY (s, n) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey % 100 = 0
+ UNION SELECT r.s, e.imported, min(r.d + 1) FROM r JOIN edges e ON e.importer = r.n LEFT JOIN recurring.r x ON x.s = r.s AND x.n = e.imported WHERE x.n IS NULL OR x.d > r.d + 1 GROUP BY r.s, e.imported)
+SELECT s AS seed, max(d) AS depth FROM r GROUP BY s""",
+)(lambda p: graph.forward_depth(_edges(p), _seeds(p)))
 _query("cycles", "part")(lambda p: graph.cycles(_edges(p)).select("component", F.array_join(F.transform("cycle", lambda x: x.cast("string")), ">").alias("cycle")))
 _query(
     "strong_components", "part",
