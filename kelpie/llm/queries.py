@@ -52,7 +52,22 @@ one AS (SELECT item, count(*) AS c FROM runs GROUP BY item),
 two AS (SELECT a.item AS item_a, b.item AS item_b, count(*) AS n FROM runs a JOIN runs b ON a.run_id = b.run_id AND a.item < b.item GROUP BY ALL)
 """
 
+_MISSING = "('', '-', '--', '.', '?', 'n/a', '#n/a', 'n.a.', 'na', 'nan', 'nil', 'none', 'null', 'missing', 'undefined', 'unknown', '(null)', '<null>', '(none)', '<na>', 'tbd')"
+_BLANK = "' ' || chr(9) || chr(10) || chr(13)"
+
+
+def _key(column: str, letter: str, separators: str) -> str:
+    """Rows (r, k) of records and their keys of one kind."""
+    v = f"lower(trim({column}, {_BLANK}))"
+    words = f"list_filter(list_transform(regexp_split_to_array({v}, '{separators}'), lambda x: trim(x, {_BLANK})), lambda x: x <> '')"
+    return f"SELECT record_id AS r, '{letter}' || array_to_string({words}, '/') AS k FROM combined_submit WHERE {v} NOT IN {_MISSING} AND len({words}) > 0"
+
+
 SQL: dict[str, str] = {
+    "p3_found": f"""WITH RECURSIVE e AS (SELECT DISTINCT * FROM ({_key('build', 'b', '[/_]')} UNION ALL {_key('test_name', 't', '[./:#_-]')})),
+c(n, g) USING KEY (n) AS (SELECT n, min(r) FROM (SELECT k AS n, r FROM e) GROUP BY n
+ UNION SELECT f.k, min(c.g) FROM c JOIN e ON e.k = c.n JOIN e f ON f.r = e.r JOIN recurring.c x ON x.n = f.k WHERE c.g < x.g GROUP BY f.k)
+SELECT record_id, coalesce(g, record_id) AS group_id FROM combined_submit LEFT JOIN (SELECT r, min(g) AS g FROM e JOIN c ON c.n = e.k GROUP BY r) ON r = record_id""",
     "p2_found": r"SELECT item_id FROM embedding_result WHERE len(regexp_extract_all(coalesce(snippet, ''), '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n]')) > 512",
     "p5_found": """
 WITH good AS (SELECT module_id, CAST(embedding AS DOUBLE[]) AS v, updated_at FROM module_registry WHERE len(embedding) = 64 AND module_id IS NOT NULL
