@@ -42,6 +42,7 @@ _BY_SOURCE = {"subject", "prose", "last", "last2"}  # types of statistics that a
 _OWN = _BY_SOURCE | {"lastall", "head", "form", "marked"}  # types that a text's own last line feeds
 
 _WORD = re.compile(r"\d+(?:[.,:]\d+)*[^\W_]*|(?=[^\W\d_]+\d)[^\W_]+|[^\W\d_]+(?:'[^\W\d_]+)*|\S")
+_BREAK = re.compile(r"\r\n|\n|\r")
 _FORMAT = re.compile("[\u200b-\u200f\u2060\ufeff\u00ad]")
 _ANSI = re.compile(r"\x1b\[[0-9;]*m?|\x1b$")
 _MARK = re.compile(r"\s*(?:(?<=\n)\[[a-z][^\]\n]{3,60}\]?|\.\.\.+|…|\[(?:\.\.\.|…|truncated|cut|snip|more)[^\]\n]{0,40}\]|<(?:truncated|cut|snip)[^>\n]{0,40}>|\((?:truncated|cut|snip|more)[^)\n]{0,40}\))$", re.I)
@@ -59,14 +60,6 @@ def shape(line: str) -> str:
     return s if len(s) <= 200 else s[:100] + hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
 
 
-def _kind(line: str, first: bool, alone: bool, log: bool) -> str:
-    if log:
-        return "log"
-    if _LIST.match(line):
-        return "list"
-    return "subject" if first and alone else "prose"
-
-
 def _mask(t: str) -> str:
     """Numbers and words with digits as 0, with up to three letters of a unit."""
     if t.isalpha() or not any(c.isdigit() for c in t):
@@ -79,14 +72,23 @@ def _plain(text: str) -> str:
     return _FORMAT.sub("", _ANSI.sub("", text)).replace("\u00a0", " ").rstrip()
 
 
-def _lines(text: str, source: str) -> Iterator[tuple[str, str, bool]]:
-    """(line, kind, last) of the lines that are not blank."""
-    rows = re.split(r"\r\n|\n|\r", text)
-    full = [i for i, x in enumerate(rows) if x.strip()]
+def _lines(text: str, source: str, only_last: bool = False) -> Iterator[tuple[str, str, bool]]:
+    """(line, kind, last) of the lines that are not blank; kind is log, list, subject (a first line that stands alone) or prose."""
+    rows = _BREAK.split(text)
+    full = [i for i, x in enumerate(rows) if x and not x.isspace()]
+    if not full:
+        return
     log = source.endswith("log")
-    for i in full:
-        alone = i == full[0] and (i + 1 == len(rows) or not rows[i + 1].strip())
-        yield rows[i], _kind(rows[i], i == full[0], alone, log or bool(_LOG.match(rows[i])) and len(full) > 3 and bool(_LOG.match(rows[full[0]]))), i == full[-1]
+    like = not log and len(full) > 3 and _LOG.match(rows[full[0]]) is not None
+    for i in full[-1:] if only_last else full:
+        line = rows[i]
+        if log or like and _LOG.match(line):
+            kind = "log"
+        elif _LIST.match(line):
+            kind = "list"
+        else:
+            kind = "subject" if i == full[0] and (i + 1 == len(rows) or not rows[i + 1].strip()) else "prose"
+        yield line, kind, i == full[-1]
 
 
 class _Counts:
@@ -127,9 +129,7 @@ def _count(text: str, source: str, into: _Counts, at_limit: bool, own: bool = Fa
     """
     any_, end = into.any, into.end
     text = _plain(text)
-    for line, kind, last in _lines(text, source):
-        if own and not last:
-            continue
+    for line, kind, last in _lines(text, source, own):
         raw = _WORD.findall(_MARK.sub("", line) if last else line)
         if not raw:
             continue
@@ -220,7 +220,7 @@ def _ending(text: str, source: str, own) -> dict:
     text = _plain(text)
     mark = bool(_MARK.search(text))
     body = _MARK.sub("", text)
-    *_, (line, kind, _) = [("", "prose", True), *_lines(body, source)]
+    *_, (line, kind, _) = [("", "prose", True), *_lines(body, source, True)]
     toks = [_mask(t) for t in _WORD.findall(line)]
     last = toks[-1] if toks else ""
     keys: list[tuple[str, int, str]] = []
@@ -274,30 +274,31 @@ def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def lengths():
-    """The stored length of a text under every measure: an array of (measure, length)."""
+    """The stored length of a text under every measure, in the order of ``MEASURES``."""
     t = F.col("text")
     n = F.length(t)
     count = lambda c: F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))
     breaks = count("\n")
-    wide = F.length(F.regexp_replace(t, r"[^\x{10000}-\x{10FFFF}]", ""))
+    quotes, returns = count('"'), count("\r")
     values = {
         "chars": n,
         "bytes": F.octet_length(t),
-        "utf16": n + wide,
-        "html": n + count("&") * 4 + count("<") * 3 + count(">") * 3 + count('"') * 5 + count("'") * 4,
-        "json": n + count('"') + count("\\") + breaks + count("\t") + count("\r"),
-        "crlf": n + breaks - F.regexp_count(t, F.lit("\r\n")),
+        "utf16": (F.octet_length(F.encode(t, "UTF-16BE")) / 2).cast("int"),
+        "html": n + count("&") * 4 + count("<") * 3 + count(">") * 3 + quotes * 5 + count("'") * 4,
+        "json": n + quotes + count("\\") + breaks + count("\t") + returns,
+        "crlf": n + breaks - F.when(returns > 0, F.regexp_count(t, F.lit("\r\n"))).otherwise(0),
     }
-    return F.array(*[F.struct(F.lit(m).alias("measure"), values[m].cast("int").alias("length")) for m in MEASURES])
+    return F.array(*[values[m].cast("int") for m in MEASURES])
 
 
 def limits(documents: DataFrame) -> DataFrame:
     """(source, measure, length, n): hidden storage limits, the lengths that hold far more texts than their neighbours."""
-    return _limits(documents.select("source", lengths().alias("lengths")))
+    names = F.array(*[F.lit(m) for m in MEASURES])
+    return _limits(documents.select("source", lengths().alias("lengths"))).select("source", names[F.col("measure")].alias("measure"), "length", "n")
 
 
 def _limits(texts: DataFrame) -> DataFrame:
-    counts = texts.select("source", F.inline("lengths")).groupBy("source", "measure", "length").agg(F.count("*").alias("n"))
+    counts = texts.select("source", F.posexplode("lengths").alias("measure", "length")).groupBy("source", "measure", "length").agg(F.count("*").alias("n"))
     near = Window.partitionBy("source", "measure").orderBy("length").rangeBetween(-NEAR, NEAR)
     mean = (F.sum("n").over(near) - F.col("n")) / (2 * NEAR)
     return counts.withColumn("mean", mean).filter((F.col("n") >= SPIKE) & (F.col("n") >= RATIO * F.col("mean"))).select("source", "measure", "length", "n")
@@ -308,10 +309,16 @@ def _texts(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", source.alias("source"), "text").filter(F.col("text").rlike(r"(?U)[^\s\u200b-\u200f\u2060\ufeff]") & F.col("doc_id").isNotNull())
 
 
+# Fixed value: characters that Unicode counts as white space.
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def _hash():
     """The same for copies, whatever ``_plain`` takes away."""
-    t = F.regexp_replace("text", r"\x1b\[[0-9;]*m?|\x1b$|[\u200b-\u200f\u2060\ufeff\u00ad]", "")
-    return F.sha2(F.regexp_replace(F.translate(t, "\u00a0", " "), r"(?U)\s+$", ""), 256)
+    t = F.col("text")
+    t = F.when(F.contains(t, F.lit("\x1b")), F.regexp_replace(t, r"\x1b\[[0-9;]*m?|\x1b$", "")).otherwise(t)
+    t = F.translate(t, "\u00a0\u200b\u200c\u200d\u200e\u200f\u2060\ufeff\u00ad", " ")
+    return F.sha2(F.rtrim(t, F.lit(_WHITE)), 256)
 
 
 def inspect(documents: DataFrame) -> DataFrame:
@@ -322,14 +329,17 @@ def inspect(documents: DataFrame) -> DataFrame:
     together, so a text that holds a third of the rows costs and tells as much as one; keys of any frequency are summed
     before the shuffle.
     """
-    plain = _texts(documents).withColumn("hash", _hash()).withColumn("lengths", lengths())
-    held = _limits(plain.select("source", "hash", "lengths").distinct()).groupBy("source").agg(F.collect_set(F.struct("measure", "length")).alias("limits"))
-    at = F.coalesce(F.arrays_overlap("lengths", "limits"), F.lit(False))
-    rows = attach(plain, held, "source").select("doc_id", "source", "hash", at.alias("at_limit"), "text")
+    text_id = F.xxhash64("text").alias("text_id")
+    base = cut(_texts(documents).select("doc_id", "source", _hash().alias("hash"), lengths().alias("lengths"), text_id))  # texts are measured once
+    held = _limits(base.select("source", "hash", "lengths").distinct()).groupBy("source").agg(F.collect_set(F.struct("measure", "length")).alias("limits"))
+    at = F.exists("limits", lambda x: F.get("lengths", x["measure"]) == x["length"])
+    rows = attach(base, held, "source").select("doc_id", "source", "hash", F.coalesce(at, F.lit(False)).alias("at_limit"), "text_id")
     # a text counts once per source for what is kept per source, and once, under its first source, for all else
     first = F.min(F.struct("source", "at_limit")).over(Window.partitionBy("hash"))
     here = F.min("at_limit").over(Window.partitionBy("hash", "source"))
-    texts = rows.groupBy(*_GROUP).agg(F.min("text").alias("text")).select("*", first.alias("first"), here.alias("here"))
+    groups = rows.groupBy(*_GROUP).agg(F.min(F.struct("doc_id", "text_id")).alias("of")).select(*_GROUP, "of.*", first.alias("first"), here.alias("here"))
+    # one text of every group, found by its row
+    texts = _texts(documents).select("doc_id", "text", text_id).join(groups, ["doc_id", "text_id"]).dropDuplicates(["doc_id", "text_id"])
     texts = cut(texts.select(*_GROUP, "text", "here", F.col("first.source").alias("home"), F.col("first.at_limit").alias("home_limit")))
     near = F.col("at_limit") == F.col("here")
     counted = texts.select("text", "source", "at_limit", (near & (F.col("source") == F.col("home"))).alias("lead"), near.alias("near"))
