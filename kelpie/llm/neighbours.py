@@ -218,7 +218,7 @@ def _routed(rep: DataFrame, centroids: np.ndarray, probes: int) -> DataFrame:
 def _in_blocks(asked: DataFrame, held: DataFrame, by: str, block: int) -> tuple[DataFrame, DataFrame]:
     """Rows of ``asked`` in blocks of about ``block`` per ``by``, and ``held`` (a row per ``by``) once for every block."""
     per = cut(asked.groupBy(by).agg(F.count("*").alias("m")).select(by, F.ceil(F.col("m") / block).cast("int").alias("blocks")))
-    a = lookup(asked, per, by, "inner").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
+    a = attach(asked, per, by, "inner").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
     return a, held.join(per, by).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
 
