@@ -6,13 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# Languages by extension, for files, for diffs, and for embedding.
-EXTENSIONS = {"py": "python", "java": "java", "js": "javascript", "mjs": "javascript", "ts": "typescript", "go": "go", "rb": "ruby", "rs": "rust"}
-DIFF_EXTENSIONS = {"py": "python", "js": "javascript", "ts": "typescript", "java": "java", "go": "go", "rb": "ruby", "rs": "rust"}
-DETECTED_EXTENSIONS = {
-    "py": "python", "java": "java", "ts": "typescript", "js": "javascript", "go": "go", "kt": "kotlin",
-    "scala": "scala", "cpp": "cpp", "c": "c", "cs": "csharp", "rb": "ruby", "rs": "rust",
-}
+from kelpie.functions.paths import DETECTED_EXTENSIONS, DIFF_EXTENSIONS, extension, language, one_line_end, stem
 
 # Patterns of imports, functions and classes by language, and how many of each are listed.
 STRUCTURE = {
@@ -41,27 +35,6 @@ MIGRATION = r"(?i)migration|alembic|flyway|liquibase|alter\s+table|add\s+column"
 TAGS = ["auth", "payment", "user", "order", "cart", "api", "db", "kafka", "email", "notification"]
 
 
-def extension(path: Column | str) -> Column:
-    return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
-
-
-def language(path: Column | str, names: dict[str, str] = EXTENSIONS) -> Column:
-    """The language of a path's extension, or unknown."""
-    ext, out = extension(path), F.lit("unknown")
-    for e, name in names.items():
-        out = F.when(ext == e, name).otherwise(out)
-    return out
-
-
-def stem(path: Column | str) -> Column:
-    """The last part of a path without its last extension; a leading dot is no extension."""
-    return F.regexp_extract(F.element_at(F.split(path, "/"), -1), r"^(.+?)(?:\.[^.]*)?$", 1)
-
-
-def one_line_end(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-
-
 def file_facts(files: DataFrame) -> DataFrame:
     """Name, stem, extension, language by extension, lines and content hash of each file."""
     name = F.element_at(F.split("file_path", "/"), -1)

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kelpie.common import cut, lookup
+from kelpie.functions.paths import extension, folder, normal, one_line_end, stem
 from kelpie.operators import outline
-from kelpie.operators.codetext import extension, one_line_end, stem
 
 # Patterns of test files, folders left out of the graph, suffixes tried for a module, and relative imports.
 TEST_FILES = [r"test_.*\.py$", r".*_test\.py$", r".*_spec\.py$", r".*Test\.java$", r".*Spec\.java$", r".*\.test\.(js|ts)$", r".*\.spec\.(js|ts)$"]
@@ -38,17 +38,6 @@ def named_like_tests(files: DataFrame) -> DataFrame:
     return files.filter(low.contains("test") | low.contains("spec")).select("repo", "file_path").distinct()
 
 
-def _folder(path: Column | str) -> Column:
-    return F.regexp_replace(path, "/?[^/]*$", "")
-
-
-def normal(path: Column) -> Column:
-    """A path without . and .. parts; null where it leaves the root."""
-    step = lambda acc, s: F.when(s.isin("", "."), acc).when(s == "..", F.when(F.size(acc) > 0, F.slice(acc, F.lit(1), F.size(acc) - 1))).otherwise(F.concat(acc, F.array(s)))
-    parts = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), lambda acc, s: F.when(acc.isNotNull(), step(acc, s)))
-    return F.when(F.size(parts) > 0, F.array_join(parts, "/"))
-
-
 def _best(asked: DataFrame, candidates: Column, files: DataFrame) -> DataFrame:
     """``asked`` (distinct) with ``imported``: the first of its candidate paths that is a file of its repo; others are left out."""
     have = files.select("repo", F.col("file_path").alias("path")).distinct()
@@ -67,7 +56,7 @@ def python_edges(files: DataFrame) -> DataFrame:
     """
     src = files.select(F.col("file_id").cast("long").alias("file_id"), "repo", "file_path")
     rows = outline.outlines(files).select("file_id", F.inline("imports")).filter("module <> ''").join(src, "file_id")
-    rows = rows.select("repo", "file_path", "module", "level", F.when(F.col("level") > 0, _folder("file_path")).alias("folder"))
+    rows = rows.select("repo", "file_path", "module", "level", F.when(F.col("level") > 0, folder("file_path")).alias("folder"))
     rows = cut(rows)
     parts = F.split("module", r"\.")
     count = F.size(parts)
@@ -87,7 +76,7 @@ def script_requires(files: DataFrame) -> DataFrame:
     js = files.filter(extension("file_path").isin("js", "mjs", "ts", "jsx", "tsx"))
     t = one_line_end(F.coalesce("source_text", F.lit("")))
     rows = js.select("repo", "file_path", F.explode(F.array_distinct(F.regexp_extract_all(t, F.lit("(?md)" + SCRIPT_IMPORT), F.lit(1)))).alias("spec"))
-    return rows.select("repo", "file_path", "spec", normal(F.concat_ws("/", _folder("file_path"), "spec")).alias("path"))
+    return rows.select("repo", "file_path", "spec", normal(F.concat_ws("/", folder("file_path"), "spec")).alias("path"))
 
 
 def script_edges(files: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kelpie.common import cut, in_ranges, lookup
-from kelpie.operators.codetext import stem
+from kelpie.functions.paths import stem
 
 FEATURES = [
     "cosine_similarity", "change_size", "module_impact_score", "is_direct_dependency", "transitive_depth", "is_shared_db", "is_frontend_contract", "is_shared_utility",

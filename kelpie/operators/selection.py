@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kelpie.common import cut, even, lookup
+from kelpie.functions.paths import stem
 from kelpie.operators import scoring
-from kelpie.operators.codetext import stem
 from kelpie.operators.similarity import cosine, dot
 
 # Similarity of a pair, tests listed per changed module, and the share of failures that makes a test always run.

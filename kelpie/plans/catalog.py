@@ -304,7 +304,7 @@ _query(
 
 # -- code and text
 
-_LANG = "CASE ext " + " ".join(f"WHEN '{e}' THEN '{l}'" for e, l in codetext.EXTENSIONS.items()) + " ELSE 'unknown' END"
+_LANG = "CASE ext WHEN 'py' THEN 'python' WHEN 'java' THEN 'java' WHEN 'js' THEN 'javascript' WHEN 'mjs' THEN 'javascript' WHEN 'ts' THEN 'typescript' WHEN 'go' THEN 'go' WHEN 'rb' THEN 'ruby' WHEN 'rs' THEN 'rust' ELSE 'unknown' END"
 _query(
     "file_facts", "file_ast",
     sql=rf"""SELECT file_id, name, regexp_replace(name, '\.[^.]*$', '') AS stem, ext AS extension, {_LANG} AS language, length(t) - length(replace(t, chr(10), '')) + 1 AS n_lines, sha256(t) AS sha256

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelpie.common import cut
+from kelpie.functions import paths
 from kelpie.operators import codetext, imports, models, outline, scoring, selection, similarity, telemetry
 from kelpie.plans.catalog import _VEC, _query, _r
 
@@ -159,7 +160,7 @@ de AS (SELECT *, CASE WHEN rule = 'PRUNED' THEN 'PRUNE' ELSE 'RUN' END AS decisi
 
 def _rates(c: DataFrame) -> DataFrame:
     fine = c.filter("build IS NOT NULL AND test_name IS NOT NULL AND pass_rate_pre IS NOT NULL AND NOT isnan(pass_rate_pre)")
-    return fine.groupBy(codetext.stem("test_name").alias("stem")).agg(F.max_by(1 - F.col("pass_rate_pre"), F.struct("build", "test_name", "record_id")).alias("failure_rate"))
+    return fine.groupBy(paths.stem("test_name").alias("stem")).agg(F.max_by(1 - F.col("pass_rate_pre"), F.struct("build", "test_name", "record_id")).alias("failure_rate"))
 
 
 def decided(f: DataFrame, m: DataFrame, c: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kelpie.functions.paths import extension
 from kelpie.operators import badrows
-from kelpie.operators.codetext import extension
 
 SKIP_DIRS = ["node_modules", "__pycache__", "dist", "build", "target", "venv"]
 
