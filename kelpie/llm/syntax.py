@@ -29,7 +29,7 @@ from kelpie.llm import lexers, productions, python_grammar
 LANGUAGES = {"py": "python", "java": "java", "js": "js", "mjs": "js", "go": "go"}
 _ROWS = 100_000
 
-_SCHEMA = "file_id long, lang string, pos int, prev string, sym string, delta int, role string"
+_SCHEMA = "row long, lang string, pos int, prev string, sym string, delta int, role string"
 
 
 def language(path: Column) -> Column:
@@ -46,19 +46,20 @@ def _lexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def batch() -> pa.RecordBatch:
         types = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string())
-        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["file_id", "lang", "pos", "prev", "sym", "delta", "role"])
+        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["row", "lang", "pos", "prev", "sym", "delta", "role"])
         for c in cols:
             c.clear()
         return out
 
     for b in batches:
-        for fid, lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+        for row, fid, lang, text in zip(*(b.column(i).to_pylist() for i in range(4))):
             if lang == "python":
                 rows = [(line, level, "line") for level, line in lexers.python_lines(text)]
             else:
                 rows = lexers.lex(text, lang) or [("", 0, "empty")]
             syms = [r[0] for r in rows]
-            for c, v in zip(cols, ([fid] * len(rows), [lang] * len(rows), range(len(rows)), ["", *syms][: len(rows)], syms, [r[1] for r in rows], [r[2] for r in rows])):
+            n = len(rows)
+            for c, v in zip(cols, ([row] * (n + 1), [lang] * (n + 1), range(-1, n), [str(fid), *["", *syms][:n]], ["", *syms], [0, *[r[1] for r in rows]], ["file", *[r[2] for r in rows]])):
                 c.extend(v)
             if len(cols[0]) >= _ROWS:
                 yield batch()
@@ -66,8 +67,11 @@ def _lexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def tokens(files: DataFrame) -> DataFrame:
-    """Token rows (file_id, lang, pos, prev, sym, delta, role); delta is the indent level for a Python line."""
-    rows = files.select(F.col("file_id").cast("long").alias("file_id"), language(F.col("file_path")).alias("lang"), "source_text")
+    """Token rows (row, lang, pos, prev, sym, delta, role); delta is the indent level for a Python line.
+
+    ``row`` numbers the files, as a file_id may be repeated; a file's first row, at -1, has its file_id in ``prev``.
+    """
+    rows = files.select(F.monotonically_increasing_id().alias("row"), F.col("file_id").cast("long").alias("file_id"), language(F.col("file_path")).alias("lang"), "source_text")
     return rows.filter("lang IS NOT NULL AND source_text IS NOT NULL AND file_id IS NOT NULL").mapInArrow(_lexed, _SCHEMA)
 
 
@@ -105,13 +109,13 @@ def permitted() -> list[tuple[str, str, str]]:
 def _pair_faults(tok: DataFrame) -> DataFrame:
     spark = tok.sparkSession
     table = F.broadcast(spark.createDataFrame([p for p in permitted() if p[0] != "python"], "lang string, prev string, sym string"))
-    pairs = tok.filter("lang <> 'python' AND sym <> '' AND prev <> '' AND NOT sym LIKE 'fault:%'").select("lang", "prev", "sym", "file_id").distinct()
-    return pairs.join(table, ["lang", "prev", "sym"], "left_anti").select("file_id", F.concat(F.lit("misplaced "), F.col("sym"), F.lit(" after "), F.col("prev")).alias("fault"))
+    pairs = tok.filter("lang <> 'python' AND sym <> '' AND prev <> '' AND NOT sym LIKE 'fault:%'").select("lang", "prev", "sym", "row").distinct()
+    return pairs.join(table, ["lang", "prev", "sym"], "left_anti").select("row", F.concat(F.lit("misplaced "), F.col("sym"), F.lit(" after "), F.col("prev")).alias("fault"))
 
 
 def _group_faults(tok: DataFrame) -> DataFrame:
     code = tok.filter("lang <> 'python' AND NOT sym LIKE 'fault:%'")
-    by_file = Window.partitionBy("file_id").orderBy("pos")
+    by_file = Window.partitionBy("row").orderBy("pos")
     d = code.withColumn("d", F.sum("delta").over(by_file))
     # an opener starts a group at its inner depth and stands for it at the depth around
     part = lambda depth, order, what, content: F.struct(depth.alias("depth"), F.lit(order).alias("o"), F.when(F.lit(what) == "start", F.col("pos")).alias("start"), F.when(F.lit(what) == "start", F.struct("role", F.substring("sym", 1, 1).alias("opener"))).alias("open"), F.when(F.lit(what) == "end", F.col("sym")).alias("close"), content.alias("content"))
@@ -122,10 +126,10 @@ def _group_faults(tok: DataFrame) -> DataFrame:
         .when(F.col("delta") == -1, F.array(part(F.col("d") + 1, 1, "end", none)))
         .otherwise(F.array(part(F.col("d"), 1, "in", sym)))
     )
-    rows = d.select("file_id", "lang", "pos", F.inline(parts))
-    by_depth = Window.partitionBy("file_id", "depth").orderBy("pos", "o")
+    rows = d.select("row", "lang", "pos", F.inline(parts))
+    by_depth = Window.partitionBy("row", "depth").orderBy("pos", "o")
     rows = rows.withColumn("group", F.coalesce(F.last("start", ignorenulls=True).over(by_depth), F.lit(-1)))
-    groups = rows.groupBy("file_id", "lang", "depth", "group").agg(
+    groups = rows.groupBy("row", "lang", "depth", "group").agg(
         F.max("open").alias("open"), F.count("close").alias("n_close"), F.max("close").alias("close"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("content").isNotNull(), F.struct("pos", "content")))), lambda x: x["content"]), " ").alias("content"),
     )
@@ -142,11 +146,11 @@ def _group_faults(tok: DataFrame) -> DataFrame:
     runs = F.col("content")
     for one in ("n", "s"):  # tables of literals differ in length only
         runs = F.regexp_replace(runs, f"(?:\\b{one} , (?:N )?){{3,}}+", f"{one} , {one} , ")
-    shaped = groups.filter("nesting IS NULL").select("file_id", "lang", role.alias("role"), runs.alias("content"))
+    shaped = groups.filter("nesting IS NULL").select("row", "lang", role.alias("role"), runs.alias("content"))
     shapes = shaped.groupBy("lang", "role", "content").agg(F.lit(1).alias("one")).select("lang", "role", "content")
     bad = shapes.mapInArrow(_underived, "lang string, role string, content string")
     hits = attach(shaped, bad, ["lang", "role", "content"], "inner")
-    return groups.filter("nesting IS NOT NULL").select("file_id", F.col("nesting").alias("fault")).union(hits.select("file_id", F.concat(F.lit("no production of "), "role").alias("fault")))
+    return groups.filter("nesting IS NOT NULL").select("row", F.col("nesting").alias("fault")).union(hits.select("row", F.concat(F.lit("no production of "), "role").alias("fault")))
 
 
 def _derived(lang: str, role: str, content: str) -> bool:
@@ -163,9 +167,9 @@ def _underived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _line_faults(tok: DataFrame) -> DataFrame:
-    """(file_id, fault) of Python files: blocks that do not fit together, and lines with a forbidden pair or no production."""
-    lines = tok.filter("lang = 'python'").select("file_id", "pos", F.col("delta").alias("level"), F.col("sym").alias("content"))
-    w, same = Window.partitionBy("file_id").orderBy("pos"), Window.partitionBy("file_id", "level").orderBy("pos")
+    """(row, fault) of Python files: blocks that do not fit together, and lines with a forbidden pair or no production."""
+    lines = tok.filter("lang = 'python'").select("row", "pos", F.col("delta").alias("level"), F.col("sym").alias("content"))
+    w, same = Window.partitionBy("row").orderBy("pos"), Window.partitionBy("row", "level").orderBy("pos")
     word = F.split("content", " ")
     x = lines.withColumn("word", word[0]).withColumn("first", F.when(F.col("word") == "async", F.coalesce(F.get(word, F.lit(1)), F.lit(""))).otherwise(F.col("word")))
     x = x.withColumn("opens", F.endswith("content", F.lit(" :"))).withColumn("group", (F.col("first") == "except") & (F.get(word, F.lit(1)) == "*"))
@@ -197,9 +201,9 @@ def _line_faults(tok: DataFrame) -> DataFrame:
         .when((c == "try") & ~F.coalesce(F.col("follows").isin("except", "finally"), F.lit(False)), "try without except or finally")
         .when((c == "@") & ~decorated, "decorator without a definition")
     )
-    x = x.select("file_id", F.when(F.col("parent") == "match", "case").otherwise("line").alias("role"), "content", fault.alias("fault"))
+    x = x.select("row", F.when(F.col("parent") == "match", "case").otherwise("line").alias("role"), "content", fault.alias("fault"))
     x = cut(x)
-    rows = x.filter("NOT content LIKE 'fault:%'").select("file_id", "role", "content")
+    rows = x.filter("NOT content LIKE 'fault:%'").select("row", "role", "content")
     shapes = cut(rows.select("role", "content").distinct())
     # adjacent pairs of the distinct lines, each once
     t = F.split("content", " ")
@@ -208,7 +212,7 @@ def _line_faults(tok: DataFrame) -> DataFrame:
     odd = held.select("role", "content", "p.prev", "p.sym").join(F.broadcast(table), ["prev", "sym"], "left_anti").groupBy("role", "content").agg(F.min(F.concat(F.lit("misplaced "), "sym", F.lit(" after "), "prev")).alias("fault"))
     rest = shapes.join(odd, ["role", "content"], "left_anti").select(F.lit("python").alias("lang"), "role", "content")
     bad = odd.union(rest.mapInArrow(_underived, "lang string, role string, content string").select("role", "content", F.concat(F.lit("no production of "), "role")))
-    return x.filter("fault IS NOT NULL").select("file_id", "fault").union(attach(rows, bad, ["role", "content"], "inner").select("file_id", "fault"))
+    return x.filter("fault IS NOT NULL").select("row", "fault").union(attach(rows, bad, ["role", "content"], "inner").select("row", "fault"))
 
 
 def faults(files: DataFrame) -> DataFrame:
@@ -218,14 +222,14 @@ def faults(files: DataFrame) -> DataFrame:
     extensions of other languages are not judged; an empty file is valid, but for Go, which needs a package clause;
     a repeated file_id is judged by all its rows.
     """
-    files = files.select("file_id", "file_path", "source_text").distinct()
-    tok = cut(tokens(files))
-    lexical = tok.filter("lang <> 'python' AND sym LIKE 'fault:%'").select("file_id", F.col("sym").alias("fault"))
+    every = cut(tokens(files.select("file_id", "file_path", "source_text")))
+    tok = every.filter("pos >= 0")
+    lexical = tok.filter("lang <> 'python' AND sym LIKE 'fault:%'").select("row", F.col("sym").alias("fault"))
     # what follows a lexical fault is not known, so nesting and productions of such a file are not judged
-    whole = tok.filter("lang <> 'python'").join(lexical.select("file_id"), "file_id", "left_anti")
+    whole = tok.filter("lang <> 'python'").join(lexical.select("row"), "row", "left_anti")
     found = lexical.union(_pair_faults(tok)).union(_group_faults(whole)).union(_line_faults(tok))
-    out = found.groupBy("file_id").agg(F.min("fault").alias("reason"))
-    return files.select("file_id", language(F.col("file_path")).alias("lang")).dropDuplicates(["file_id"]).join(out, "file_id")
+    heads = every.filter("pos = -1").select("row", F.col("prev").cast("long").alias("file_id"), "lang")
+    return heads.join(found, "row").groupBy("file_id").agg(F.min("lang").alias("lang"), F.min("fault").alias("reason"))
 
 
 def found(files: DataFrame) -> DataFrame:
