@@ -19,6 +19,7 @@ leaves both open, a length exactly at a hidden limit decides.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import unicodedata
@@ -60,6 +61,7 @@ def shape(line: str) -> str:
     return s if len(s) <= 200 else s[:100] + hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
 
 
+@functools.lru_cache(1 << 16)
 def _mask(t: str) -> str:
     """Numbers and words with digits as 0, with up to three letters of a unit."""
     if t.isalpha() or not any(c.isdigit() for c in t):
@@ -117,9 +119,12 @@ class _Counts:
         cols = [pa.array(types, pa.string()), pa.array(keys, pa.string()), *(pa.array(x, pa.int64()) for x in (n, *ends))]
         return pa.RecordBatch.from_arrays(cols, names=["type", "key", "n_any", "n_end0", "n_end1", "n_end2"])
 
-    def flat(self) -> dict[tuple[str, int, str], tuple[int, int]]:
-        """(n_end, n_any) by type, distance from the end and key."""
-        return {(kind, d, f"{of} {t}" if of else t): (self.end.get((kind, of, d), {}).get(t, 0), n) for (kind, of), c in self.any.items() for t, n in c.items() for d in range(3)}
+    def of(self, kind: str, distance: int, key: str, kept_for: str) -> tuple[int, int]:
+        """(n_end, n_any) of one key."""
+        t = key[len(kept_for) + 1 :] if kept_for else key
+        n = self.any.get((kind, kept_for))
+        e = self.end.get((kind, kept_for, distance))
+        return (e.get(t, 0) if e else 0), (n.get(t, 0) if n else 0)
 
 
 def _count(text: str, source: str, into: _Counts, at_limit: bool, own: bool = False, per_source: bool = False) -> None:
@@ -205,14 +210,18 @@ def _last(source: str, toks: list[str]) -> list[tuple[str, int, str]]:
 
 def _own(text: str, source: str, here: bool, home: str, home_limit: bool):
     """A function of a key: what the text's own last line added to its counts, (n_end, n_any)."""
-    counts = _Counts()
-    _count(text, source, counts, here, True)
-    near = far = counts.flat()
+    near = far = _Counts()
+    _count(text, source, near, here, True)
     if (home, home_limit) != (source, here):
-        counts = _Counts()
-        _count(text, home, counts, home_limit, True)
-        far = counts.flat()
-    return lambda key: (near if key[0] in _BY_SOURCE else far).get(key, (0, 0)) if key[0] in _OWN else (0, 0)
+        far = _Counts()
+        _count(text, home, far, home_limit, True)
+
+    def of(key: tuple[str, int, str]) -> tuple[int, int]:
+        if key[0] in _BY_SOURCE:
+            return near.of(*key, source)
+        return far.of(*key, "") if key[0] in _OWN else (0, 0)
+
+    return of
 
 
 def _ending(text: str, source: str, own) -> dict:
