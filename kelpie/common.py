@@ -90,6 +90,18 @@ def in_ranges(df: DataFrame, *order: str) -> DataFrame:
     return cut(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
 
 
+def ranked(df: DataFrame, by: str, *order: str) -> DataFrame:
+    """``df`` with ``rank``: 1, 2, ... within ``by`` (not null) in ascending order of ``order``, from ranges of both.
+
+    A key that holds most rows is spread over many ranges, so no task sorts it alone.
+    """
+    r = in_ranges(df, by, *order)
+    own = r.groupBy(by, "__p").agg(F.count("*").alias("__n"))
+    base = own.select(by, "__p", (F.sum("__n").over(Window.partitionBy(by).orderBy("__p")) - F.col("__n")).alias("__b"))
+    at = F.row_number().over(Window.partitionBy(by, "__p").orderBy(*order)) + F.col("__b")
+    return r.join(base, [by, "__p"]).withColumn("rank", at).drop("__p", "__b")
+
+
 def join_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", small: bool = False) -> DataFrame:
     """Join by keys that may be null, null meeting null; ``small`` says that the right side has a proven bound."""
     r = right.select(*[F.col(k).alias(f"__r_{k}") if k in on else F.col(k) for k in right.columns])

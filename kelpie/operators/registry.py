@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kelpie.common import ranked
+
 
 def latest(registry: DataFrame) -> DataFrame:
     """One row per repo and path: the one updated last (ties: the larger hash). An upsert's view of an append log."""
@@ -64,6 +66,12 @@ def top_by_value(registry: DataFrame, k: int = 10) -> DataFrame:
     return value_scores(registry).withColumn("score", F.round(F.col("score") + 1.234567e-9, 6)).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def listing(registry: DataFrame) -> DataFrame:
+    """All modules of each repo with their rank by score, the highest first; ties by module_id. Rows without a repo are left out."""
+    s = value_scores(registry).filter("repo IS NOT NULL").withColumn("score", F.round(F.col("score") + 1.234567e-9, 6)).withColumn("__down", -F.col("score"))
+    return ranked(s, "repo", "__down", "module_id").drop("__down")
+
+
 def runs_once(log: DataFrame) -> DataFrame:
     """One row per run_id: the one logged last."""
     keep = [c for c in log.columns if c != "run_id"]

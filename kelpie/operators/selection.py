@@ -180,6 +180,49 @@ def labels(decided: DataFrame) -> DataFrame:
     return g.select("repo", F.array_compact(F.array(F.when(F.col("p"), "pruned"), F.when(F.col("h"), "historic"))).alias("labels"))
 
 
+def commands(decided: DataFrame, command: str = "pytest") -> DataFrame:
+    """Per repo what a runner needs: the test command, selected and pruned tests in order of name, pruning rate and matrix.
+
+    A repo's tests make up one command line, so they are gathered in one row; the command alone is left where none is run.
+    """
+    run = lambda d: F.sort_array(F.collect_set(F.when(F.col("decision") == d, F.col("test"))))
+    g = decided.groupBy("repo").agg(run("RUN").alias("s"), run("PRUNE").alias("p"))
+    rate = F.round(F.size("p") / F.greatest(F.size("s") + F.size("p"), F.lit(1)) + 1.234567e-9, 3)
+    matrix = F.to_json(F.struct(F.transform("s", lambda t: F.struct(t.alias("test"))).alias("include")))
+    return g.select("repo", F.concat_ws(" ", F.lit(command), F.array_join("s", " ")).alias("x"), "s", "p", rate.alias("pruning_rate"), matrix.alias("matrix")).select(
+        "repo", F.trim("x").alias("test_command"), F.array_join("s", " ").alias("selected_tests"), F.array_join("p", " ").alias("pruned_tests"), "pruning_rate", "matrix"
+    )
+
+
+def safety(tests: DataFrame, decided: DataFrame) -> DataFrame:
+    """(repo, test, decision, reason): all known tests of the repos for which no candidate was found; they run."""
+    left = tests.select("repo", F.col("file_path").alias("test")).distinct().join(decided.select("repo").distinct(), "repo", "left_anti")
+    return left.select("repo", "test", F.lit("RUN").alias("decision"), F.lit("Safety: no_candidates_found").alias("reason"))
+
+
+def module_weights(changed: DataFrame, registry: DataFrame) -> DataFrame:
+    """(repo, file_path, impact) of changed modules: by the registry's features, or by their own where it does not know them.
+
+    ``changed`` has num_functions, num_imports, num_lines; ``registry`` repo, file_path and ast_features. Missing counts are 0,
+    missing lines 100.
+    """
+    known = registry.filter("ast_features IS NOT NULL").groupBy("repo", "file_path").agg(F.max(F.struct("ast_features.num_functions", "ast_features.num_imports", "ast_features.num_lines")).alias("k"))
+    j = changed.join(known, ["repo", "file_path"], "left")
+    get = lambda c, missing: F.coalesce(F.col(f"k.{c}"), F.col(c), F.lit(missing))
+    return j.select("repo", "file_path", module_impact(get("num_functions", 0), get("num_imports", 0), get("num_lines", 100)).alias("impact"))
+
+
+def small_features(c: DataFrame) -> DataFrame:
+    """The nine features of every candidate, with its repo and test; a candidate out of the graph has depth 5."""
+    low = F.lower("test")
+    has = lambda *w: sum((F.contains(low, F.lit(x)).cast("int") for x in w), F.lit(0)).cast("boolean").cast("double")
+    zero = F.lit(0.0)
+    return c.select(
+        "repo", "test", F.col("max_sim").alias("cosine_similarity"), F.col("total_lines").cast("double").alias("change_size"), F.col("impact").alias("module_impact_score"), zero.alias("is_kafka_consumer"), zero.alias("is_kafka_producer"),
+        has("db", "database").alias("is_shared_db"), has("contract", "api").alias("is_frontend_contract"), has("util", "helper").alias("is_shared_utility"), F.when(F.col("depth") < NONE, F.col("depth")).otherwise(5).cast("double").alias("transitive_depth"),
+    )
+
+
 def explained(decided: DataFrame, through: DataFrame, most: int = 3) -> DataFrame:
     """(repo, test, why): direct, transitive through up to ``most`` modules, by similarity, or pruned.
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -62,3 +66,31 @@ def mean_vectors(registry: DataFrame) -> DataFrame:
     """(repo, pos, value): the mean vector of each repo's usable modules, one row per dimension."""
     v = usable(registry).join(registry.select("module_id", "repo").distinct(), "module_id")
     return v.select("repo", F.posexplode("v").alias("pos", "x")).groupBy("repo", "pos").agg(F.avg("x").alias("value"))
+
+
+def entry_point(thing, names: tuple[str, ...] = ("embed_batch", "embed", "encode")) -> Callable:
+    """The first of the methods ``names`` that ``thing`` has, or ``thing`` itself if it can be called."""
+    for n in names:
+        if callable(getattr(thing, n, None)):
+            return getattr(thing, n)
+    if callable(thing):
+        return thing
+    raise TypeError(f"needs one of the methods {', '.join(names)}")
+
+
+def embed(texts: DataFrame, make: Callable, id_col: str, text_col: str) -> DataFrame:
+    """(id_col, embedding): vectors of all texts by a pluggable embedder, in Arrow batches.
+
+    ``make`` builds the embedder once per task; it has a method of ``entry_point`` from a list of texts to as many vectors.
+    Null texts have a null vector.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        call = entry_point(make())
+        for b in batches:
+            t = b.column(1).to_pylist()
+            given = [x for x in t if x is not None]
+            got = iter([[float(x) for x in np.asarray(v).ravel()] for v in call(given)] if given else [])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else next(got) for x in t], pa.list_(pa.float64()))], names=[id_col, "embedding"])
+
+    return texts.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {texts.schema[id_col].dataType.simpleString()}, embedding array<double>")

@@ -194,6 +194,7 @@ _query(
     sql=f"""WITH {_LATEST}, s AS (SELECT x.module_id AS module_id, repo, file_path, {_r(_SCORE, 'score')} FROM latest)
 SELECT *, row_number() OVER (PARTITION BY repo ORDER BY score DESC, module_id) AS rank FROM s QUALIFY rank <= 10""",
 )(registry.top_by_value)
+_query("registry_listing", "module_registry", sql=f"WITH {_LATEST}, s AS (SELECT x.module_id AS module_id, repo, file_path, {_r(_SCORE, 'score')} FROM latest) SELECT *, row_number() OVER (PARTITION BY repo ORDER BY score DESC, module_id) AS rank FROM s")(registry.listing)
 _ONCE = """once AS (SELECT run_id, arg_max(x, (x.created_at, coalesce(x.pr, -1), coalesce(x.co, -1))) AS x
 FROM (SELECT run_id, {'repo': repo, 'pr_number': pr_number, 'created_at': created_at, 'pr': pruning_rate, 'co': carbon_gco2} AS x FROM pr_run_log) GROUP BY run_id)"""
 _query(

@@ -2,7 +2,8 @@
 
 The files of the test tables import nothing of their repositories, so the graph queries read a view of them (``linked``):
 every Python file imports the first file of its class (file_id modulo 16, by path) and that file imports the first one of the
-next class; scripts require likewise; and a test named after each such first file imports it. What changed is what the
+next class; scripts require likewise; a function of each Python file calls that of the next class; and a test named after
+each such first file imports it. What changed is what the
 latest pull requests of a repository saw last.
 """
 
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 
 from kelpie.common import cut
 from kelpie.functions import paths
-from kelpie.operators import codetext, imports, models, outline, scoring, selection, similarity, telemetry
-from kelpie.plans.catalog import _VEC, _query, _r
+from kelpie.operators import codetext, graph, imports, models, outline, scoring, selection, similarity, telemetry
+from kelpie.plans.catalog import _STRUCTURE, _VEC, _query, _r
 
 _PLAIN = r"^(?:[A-Za-z_][A-Za-z0-9_]*/)*[A-Za-z_][A-Za-z0-9_]*\.(?:py|js)$"
 
@@ -30,7 +31,9 @@ def linked(files: DataFrame) -> DataFrame:
     how = F.pmod("file_id", F.lit(3))
     py = F.when(how == 0, F.concat(F.lit("import os, "), dotted("to"), F.lit("\n"))).when(how == 1, F.concat(F.lit("import "), dotted("to"), F.lit(".thing as t\nfrom . import u\n"))).otherwise(F.concat(F.lit("def f():\n    from "), F.repeat(F.lit("."), up), dotted("to"), F.lit(" import z\n")))
     js = F.concat(F.lit("const a = require('./"), F.repeat(F.lit("../"), up - 1), F.regexp_replace("to", r"\.js$", ""), F.lit("');\nimport b from \"lib\";\n"))
-    text = F.when(F.col("to").isNull(), "").when(F.col("ext") == "py", py).otherwise(js)
+    k = lambda i: F.pmod(F.col("k") + i, F.lit(16)).cast("string")
+    calls = F.concat(F.lit("\ndef fn_"), k(0), F.lit("(a):\n    return m.fn_"), k(1), F.lit("(a)\n"))
+    text = F.when(F.col("ext") == "py", F.concat(F.when(F.col("to").isNull(), "").otherwise(py), calls)).when(F.col("to").isNull(), "").otherwise(js)
     own = j.select("file_id", "repo", "file_path", text.alias("source_text"))
     name = F.element_at(F.split("target", "/"), -1)
     tests = g.filter("ext = 'py' AND NOT target LIKE '%test%'").select((-F.col("first_id")).alias("file_id"), "repo", F.concat(F.lit("tests/unit/"), F.col("k").cast("string"), F.lit("/test_"), name).alias("file_path"), F.concat(F.lit("import "), dotted("target"), F.lit("\n")).alias("source_text"))
@@ -204,6 +207,37 @@ _query(
     sql=f"""WITH RECURSIVE {_CANDIDATES} SELECT repo, concat_ws(',', CASE WHEN max((decision = 'PRUNE')::INT) = 1 THEN 'pruned' END, CASE WHEN max((failure_rate >= 0.2)::INT) = 1 THEN 'historic' END) AS labels FROM de GROUP BY repo""",
 )(lambda *t: selection.labels(decided(*t)).withColumn("labels", F.array_join("labels", ",")))
 
+_query(
+    "test_commands", *_T3,
+    sql=f"""WITH RECURSIVE {_CANDIDATES}, q AS (SELECT repo, coalesce(string_agg(test, ' ' ORDER BY test) FILTER (WHERE decision = 'RUN'), '') AS s, coalesce(string_agg(test, ' ' ORDER BY test) FILTER (WHERE decision = 'PRUNE'), '') AS p,
+ count(*) FILTER (WHERE decision = 'PRUNE') / count(*)::DOUBLE AS r, coalesce(string_agg('{{"test":"' || test || '"}}', ',' ORDER BY test) FILTER (WHERE decision = 'RUN'), '') AS m FROM de GROUP BY repo)
+SELECT repo, trim('pytest ' || s) AS test_command, s AS selected_tests, p AS pruned_tests, {_r('round(r + 1.234567e-9, 3)', 'pruning_rate')}, '{{"include":[' || m || ']}}' AS matrix FROM q""",
+)(lambda *t: selection.commands(decided(*t)))
+_query(
+    "safety_tests", *_T3,
+    sql=f"WITH RECURSIVE {_CANDIDATES} SELECT DISTINCT repo, file_path AS test, 'RUN' AS decision, 'Safety: no_candidates_found' AS reason FROM file_ast WHERE (file_path ILIKE '%test%' OR file_path ILIKE '%spec%') AND repo NOT IN (SELECT repo FROM de)",
+)(lambda f, m, c: selection.safety(imports.named_like_tests(f), decided(f, m, c)))
+_query(
+    "small_features", *_T3,
+    sql=f"""WITH RECURSIVE {_CANDIDATES} SELECT repo, test, {_r('max_sim', 'cosine_similarity')}, {_r('total_lines', 'change_size')}, {_r('impact', 'module_impact_score')}, 0.0::DOUBLE AS is_kafka_consumer, 0.0::DOUBLE AS is_kafka_producer,
+regexp_matches(lower(test), 'db|database')::INT::DOUBLE AS is_shared_db, regexp_matches(lower(test), 'contract|api')::INT::DOUBLE AS is_frontend_contract, regexp_matches(lower(test), 'util|helper')::INT::DOUBLE AS is_shared_utility,
+CASE WHEN depth < 999 THEN depth ELSE 5 END::DOUBLE AS transitive_depth FROM de""",
+)(lambda *t: selection.small_features(decided(*t)))
+
+
+def _small_scores(*t: DataFrame) -> DataFrame:
+    f = selection.small_features(decided(*t)).withColumn("record_id", F.xxhash64("repo", "test")).withColumn("label", F.lit(0))
+    model = models.fit(models.small_prior(f.sparkSession), models.SMALL_FEATURES, trees=50, depth=3)
+    return models.score(model, f).select("record_id", "pf", "predicted")
+
+
+_query("small_model_scores", *_T3)(_small_scores)
+_query(
+    "module_weights", "file_ast", "module_registry",
+    sql=f"""WITH {_STRUCTURE}, k AS (SELECT repo, file_path, max(struct_pack(f := ast_features.num_functions, i := ast_features.num_imports, l := ast_features.num_lines)) AS k FROM module_registry WHERE ast_features IS NOT NULL GROUP BY ALL)
+SELECT a.repo, a.file_path, {_r("least((0.4 * coalesce(k.f, len(st.f), 0) + 0.3 * coalesce(k.i, len(st.i), 0) + 0.2 * ln(coalesce(k.l, len(string_split(t, chr(10))), 100) + 1)) / 20, 1)", 'impact')} FROM file_ast a JOIN st USING (file_id) LEFT JOIN k USING (repo, file_path)""",
+)(lambda f, m: selection.module_weights(f.select("file_id", "repo", "file_path").join(codetext.structure(f).select("file_id", "num_functions", "num_imports", "num_lines"), "file_id"), m))
+
 
 def _explained(f: DataFrame, m: DataFrame, c: DataFrame) -> DataFrame:
     changed = cut(_changed(_modules(f, m)))
@@ -243,7 +277,20 @@ _query("gatekeeper_pairs", *_T3)(lambda *t: selection.gated(_features(*t)))
 _query("value_scores_ast", "file_ast")(outline.value_scores)
 _query("fingerprints", "file_ast")(outline.fingerprints)
 _query("function_snippets", "file_ast")(outline.snippets)
-_query("call_graph", "file_ast")(outline.calls)
+_CALLS = f"ck AS (SELECT DISTINCT repo, k FROM lf WHERE ext = 'py'), calls AS (SELECT a.repo, 'fn_' || a.k AS caller, 'fn_' || b.k AS callee FROM ck a JOIN ck b ON a.repo = b.repo AND b.k = (a.k + 1) % 16)"
+_query("call_graph", "file_ast", sql=f"WITH {_LINKED}, {_CALLS} SELECT * FROM calls")(lambda f: outline.calls(linked(f)))
+_query(
+    "call_expansion", "file_ast",
+    sql=f"""WITH RECURSIVE {_LINKED}, {_CALLS}, r(f, s, d) AS (SELECT DISTINCT callee, callee, 0 FROM calls WHERE callee IN ('fn_0', 'fn_7') UNION SELECT c.caller, r.s, d + 1 FROM r JOIN calls c ON c.callee = r.f WHERE d < 3)
+SELECT f AS function, arg_min(s, (d, s)) AS seed, min(d) AS depth FROM r GROUP BY f""",
+)(lambda f: _expansion(f))
+
+
+def _expansion(f: DataFrame) -> DataFrame:
+    calls = cut(outline.calls(linked(f)).select("caller", "callee").distinct())
+    return graph.expand_calls(calls, calls.filter("callee IN ('fn_0', 'fn_7')").select(F.col("callee").alias("function")))
+
+
 _query("structural_changes", "file_ast")(lambda f: outline.successive(f).select("file_id", *[F.array_join(c, ",").alias(c) for c in ("added_functions", "removed_functions", "changed_functions", "added_classes", "removed_classes", "added_imports", "removed_imports")], "is_meaningful", "summary"))
 _query(
     "java_outline", "file_ast",

@@ -214,6 +214,18 @@ def test_selection_signals(spark):
         scoring.valid_threshold(0)
 
 
+def test_pluggable_embedder(spark):
+    class Lengths:
+        def embed(self, texts):
+            return [[len(t), 1] for t in texts]
+
+    d = spark.createDataFrame([(1, "abc"), (2, None), (3, "")], "id long, t string")
+    assert {r.id: r.embedding for r in similarity.embed(d, lambda: Lengths(), "id", "t").collect()} == {1: [3.0, 1.0], 2: None, 3: [0.0, 1.0]}
+    assert similarity.embed(d.limit(0), lambda: Lengths(), "id", "t").count() == 0
+    with pytest.raises(TypeError):
+        similarity.entry_point(object())
+
+
 def test_first_outcome_by_substring(spark):
     runs_ = spark.createDataFrame([("r1", ["tests/test_login.py", "x/ab.py", "nope_nothing.py", None]), ("r2", None)], "run_id string, selected_tests array<string>")
     rows = [(5, "suite.test_login_fast", 1, 0.5), (3, "zz.test_login", 0, 0.9), (9, "cab", 1, None), (1, None, 1, 1.0)]
