@@ -1,7 +1,7 @@
 """Source files that do not parse, by the language of the path's extension.
 
-Files are lexed into rows, one per token (one per logical line for Python, whose lexer needs the brackets to find them). Three
-checks follow on the rows:
+Files are lexed into rows, one per bracket and per run of tokens between brackets (one per logical line for Python, whose lexer
+needs the brackets to find them). Three checks follow on the rows:
 
 1. adjacent pairs of tokens are anti-joined against the pairs the grammar permits; for Python these are derived from the
    grammar's rules, for the others from classes of tokens;
@@ -41,6 +41,23 @@ def language(path: Column) -> Column:
     return out
 
 
+def _runs(tokens: list[lexers.Token]) -> list[lexers.Token]:
+    """Tokens with those between two brackets joined to one; faults and empty symbols stay alone."""
+    out: list[lexers.Token] = []
+    run: list[str] = []
+    for t in tokens:
+        if not t[1] and t[0] and not t[0].startswith("fault:"):
+            run.append(t[0])
+            continue
+        if run:
+            out.append((" ".join(run), 0, ""))
+            run = []
+        out.append(t)
+    if run:
+        out.append((" ".join(run), 0, ""))
+    return out
+
+
 def _lexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cols: list[list] = [[], [], [], [], [], [], []]
 
@@ -56,10 +73,11 @@ def _lexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if lang == "python":
                 rows = [(line, level, "line") for level, line in lexers.python_lines(text)]
             else:
-                rows = lexers.lex(text, lang) or [("", 0, "empty")]
+                rows = _runs(lexers.lex(text, lang)) or [("", 0, "empty")]
             syms = [r[0] for r in rows]
             n = len(rows)
-            for c, v in zip(cols, ([row] * (n + 1), [lang] * (n + 1), range(-1, n), [str(fid), *["", *syms][:n]], ["", *syms], [0, *[r[1] for r in rows]], ["file", *[r[2] for r in rows]])):
+            ends = [x[x.rfind(" ") + 1 :] for x in syms[:-1]]
+            for c, v in zip(cols, ([row] * (n + 1), [lang] * (n + 1), range(-1, n), [str(fid), *["", *ends][:n]], ["", *syms], [0, *[r[1] for r in rows]], ["file", *[r[2] for r in rows]])):
                 c.extend(v)
             if len(cols[0]) >= _ROWS:
                 yield batch()
@@ -67,7 +85,9 @@ def _lexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def tokens(files: DataFrame) -> DataFrame:
-    """Token rows (row, lang, pos, prev, sym, delta, role); delta is the indent level for a Python line.
+    """Token rows (row, lang, pos, prev, sym, delta, role): a bracket, or the tokens between two brackets with blanks between them.
+
+    ``prev`` is the token before. A Python row is a logical line, and delta its indent level.
 
     ``row`` numbers the files, as a file_id may be repeated; a file's first row, at -1, has its file_id in ``prev``.
     """
@@ -109,8 +129,17 @@ def permitted() -> list[tuple[str, str, str]]:
 def _pair_faults(tok: DataFrame) -> DataFrame:
     spark = tok.sparkSession
     table = F.broadcast(spark.createDataFrame([p for p in permitted() if p[0] != "python"], "lang string, prev string, sym string"))
-    pairs = tok.filter("lang <> 'python' AND sym <> '' AND prev <> '' AND NOT sym LIKE 'fault:%'").select("lang", "prev", "sym", "row").distinct()
-    return pairs.join(table, ["lang", "prev", "sym"], "left_anti").select("row", F.concat(F.lit("misplaced "), F.col("sym"), F.lit(" after "), F.col("prev")).alias("fault"))
+    rows = tok.filter("lang <> 'python' AND sym <> '' AND NOT sym LIKE 'fault:%'")
+    words = F.split("sym", " ")
+    say = F.concat(F.lit("misplaced "), F.col("sym"), F.lit(" after "), F.col("prev")).alias("fault")
+    across = rows.filter("prev <> ''").select("lang", "prev", words[0].alias("sym"), "row").distinct()
+    out = across.join(table, ["lang", "prev", "sym"], "left_anti").select("row", say)
+    # pairs inside a run, once for every distinct run
+    runs = rows.filter("sym LIKE '% %'").select("lang", F.col("sym").alias("run"))
+    w = F.split("run", " ")
+    held = runs.groupBy("lang", "run").agg(F.lit(1).alias("one")).select("lang", "run", F.explode(F.array_distinct(F.arrays_zip(F.slice(w, F.lit(1), F.size(w) - 1).alias("prev"), F.slice(w, F.lit(2), F.size(w) - 1).alias("sym")))).alias("p"))
+    odd = held.select("lang", "run", "p.prev", "p.sym").join(table, ["lang", "prev", "sym"], "left_anti").groupBy("lang", "run").agg(F.min(say).alias("fault"))
+    return out.union(attach(rows.select("row", "lang", F.col("sym").alias("run")), odd, ["lang", "run"], "inner").select("row", "fault"))
 
 
 def _group_faults(tok: DataFrame) -> DataFrame:
