@@ -130,6 +130,9 @@ def test_pieces_edges(spark):
     rows = pieces.split(d).collect()
     assert {r.item_id for r in rows} == {5, 6} and all(r.n_tokens <= 512 for r in rows)
     assert pieces.split(d.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, "word " * 200_000)], "item_id long, snippet string")
+    got = sorted((r.piece_no, r.start, len(r.piece)) for r in pieces.split(long, 60, 10).collect())
+    assert len(got) >= 4000 and all(b[1] == a[1] + a[2] - 49 for a, b in zip(got, got[1:]))
 
 
 # -- 3
@@ -202,6 +205,28 @@ def test_batches_keep_splits_and_quarantine_conflicts(spark, tmp_path):
     assert again == split
 
 
+def test_two_batches_of_a_table(spark, sf):
+    t = table(spark, sf, "combined_submit")
+    rows = groups.batched(t).collect()
+    assert len(rows) == t.count() == len({r.record_id for r in rows})
+    by = collections.defaultdict(set)
+    for r in rows:
+        if r.split != "quarantine":
+            by[r.group_id].add(r.split)
+    assert all(len(v) == 1 for v in by.values())
+    first = {r.record_id for r in rows if r.batch == 1}
+    want = components_by_hand([(r.record_id, r.build, r.test_name) for r in t.collect() if r.record_id in first])
+    assert {r.record_id: r.group_id for r in rows if r.batch == 1} == want
+    # a later record that only meets one stored group joins it
+    whole = components_by_hand([(r.record_id, r.build, r.test_name) for r in t.collect()])
+    roots = collections.defaultdict(set)
+    for k in first:
+        roots[whole[k]].add(want[k])
+    for r in rows:
+        if r.batch == 2 and len(roots[whole[r.record_id]]) == 1:
+            assert r.group_id in roots[whole[r.record_id]] and r.split in by[r.group_id]
+
+
 # -- 4
 
 
@@ -210,6 +235,9 @@ def test_repair_finds_repeats():
     fid = np.repeat(np.arange(4), [len(s) for s in seqs])
     owner, uses, span, _, final = repair.infer(fid, repair.dense(fid, np.array(sum(seqs, []))), 4)
     assert max(u * s for o, u, s in zip(owner, uses, span) if o == 0 and s >= 4) == 80
+    wide = np.arange(1 << 21) % (3 << 19)  # more symbols than fit in twenty bits
+    o, u, w, _, f = repair.infer(np.zeros(len(wide), np.int64), wide, 1)
+    assert f[0] == (3 << 19) - (1 << 19) + 2 and w.max() == 1 << 19
     assert final[1] == 50 and final[0] <= 10 and final[2] <= 4 and final[3] == 0
 
 
@@ -345,6 +373,23 @@ def test_mix_edges(spark):
     assert mixing.mix(d.limit(0), t).count() == 0 and mixing.mix(d, t.limit(0)).count() == 0
 
 
+def test_mix_without_texts_of_a_source_and_without_labels(spark):
+    s = "doc_id long, text string, source string"
+    words = {"a": "red green blue", "b": "one two three", "c": "north south east"}
+    d = spark.createDataFrame([(i, f"{words['abc'[i % 3]]} {i}", "abc"[i % 3]) for i in range(60)] + [(100 + i, "green two south", None) for i in range(1)] + [(200 + i, f"unknown{i}", "?") for i in range(30)], s)
+    t = spark.createDataFrame([("a", 0.3, 1), ("b", 0.3, 1), ("c", 0.3, 1), ("z", 0.1, 1)], "source string, target_share double, max_repeats int")
+    rep = {r.source: r for r in mixing.report(d, t).collect()}
+    assert rep["z"].reached_share == 0 and all(rep[k].n_tokens > 0 and rep[k].most_repeats == 1 for k in "abc")
+    drawn = {r.doc_id for r in mixing.mix(d, t).collect()}
+    assert any(k >= 200 for k in drawn)  # a text without a label can be drawn even where each share of it is below one
+    near = {r.doc_id: r for r in mixing.likeliest(d, t).collect()}
+    assert all(near[i].likeliest == "abc"[i % 3] for i in range(60)) and set(near) == {r.doc_id for r in d.collect()}
+    member = mixing.posteriors(d.filter("source IN ('a', 'b', 'c')"), d.filter("source = '?'"), ["a", "b", "c", "z"]).collect()
+    assert all(abs(sum(r.member) - 1) < 1e-12 and all(abs(x * 100 - round(x * 100)) < 1e-9 for x in r.member) for r in member)
+    with pytest.raises(ValueError):
+        mixing.mix(d, spark.range(1001).select(F.col("id").cast("string").alias("source"), F.lit(0.001).alias("target_share"), F.lit(1).alias("max_repeats")))
+
+
 # -- 10
 
 
