@@ -67,14 +67,14 @@ def lookup(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "l
 MOST_ROWS, MOST_BYTES = 100_000, 8 << 20
 
 
-def attach(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "left") -> DataFrame:
-    """``lookup`` for a right side that is usually small: it is written and measured, and broadcast if it is.
+def attach(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "left", written: bool = False) -> DataFrame:
+    """``lookup`` for a right side that is usually small: it is written (unless it is ``written``) and measured, and broadcast if it is.
 
     Up to ``MOST_ROWS`` rows and ``MOST_BYTES`` (as JSON) are sent to all executors, so that the left side is not shuffled;
     anything larger is joined with salt.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    held = cut(right)
+    held = right if written else cut(right)
     size = held.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("b")).first()
     if size.n <= MOST_ROWS and size.b <= MOST_BYTES:
         return left.join(F.broadcast(held), keys, how)
