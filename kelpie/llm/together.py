@@ -18,9 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kelpie.common import blanks, cut, lookup
+from kelpie.common import attach, blanks, cut
 
 _BLOCK = 256  # a run of more items is cut into chunks, and pairs are made chunk by chunk
+_MOST = (1 << 31) - 1  # items that two halves of a code can name; more are an error, never mixed up
 _BUFFER = 1 << 20  # pair codes sorted at once in a task
 
 
@@ -40,7 +41,7 @@ def holdings(runs: DataFrame) -> DataFrame:
 
 def dense_ids(items: DataFrame) -> DataFrame:
     """Adds ``id``: 0, 1, ... in no meaningful order, without gathering all items in one task."""
-    b = items.withColumn("__b", F.pmod(F.xxhash64("item"), F.lit(256)))
+    b = items.withColumn("__b", F.pmod(F.xxhash64("item"), F.lit(4096)))
     base = b.groupBy("__b").agg(F.count("*").alias("m")).select("__b", (F.sum("m").over(Window.orderBy("__b")) - F.col("m")).alias("__base"))
     rn = F.row_number().over(Window.partitionBy("__b").orderBy("item"))
     return b.withColumn("__rn", rn).join(F.broadcast(base), "__b").withColumn("id", F.col("__base") + F.col("__rn") - 1).drop("__b", "__rn", "__base")
@@ -106,7 +107,7 @@ def count_pairs(baskets: DataFrame) -> DataFrame:
     """(code, n) of distinct (run_id, id): the number of runs that hold both ids of the code."""
     sizes = baskets.groupBy("run_id").agg(F.count("*").alias("m")).filter(F.col("m") > _BLOCK)
     k = F.coalesce(F.ceil(F.col("m") / _BLOCK), F.lit(1)).cast("int")
-    chunked = lookup(baskets, sizes, "run_id").withColumn("k", k).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    chunked = attach(baskets, sizes, "run_id").withColumn("k", k).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
     meet = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")
     blocks = chunked.select("run_id", "id", "chunk", meet).select("run_id", "id", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
     side = lambda cond: F.collect_list(F.when(cond, F.col("id")))
@@ -129,12 +130,14 @@ def pairs(runs: DataFrame, min_runs: int = 1, min_lift: float = 0.0) -> DataFram
     if min_lift > 0:
         kept = kept.filter(F.col("n_item") * F.lit(float(min_lift)) <= total)
     ids = cut(dense_ids(kept))
-    baskets = lookup(held, ids.select("item", "id"), "item", "inner").select("run_id", "id")
+    if ids.count() > _MOST:
+        raise ValueError(f"more than {_MOST} items")
+    baskets = attach(held, ids.select("item", "id"), "item", "inner", written=True).select("run_id", "id")
     n = count_pairs(baskets).filter(F.col("n") >= min_runs)
     coded = n.select(F.shiftright("code", 32).alias("x"), F.col("code").bitwiseAND(F.lit(0xFFFFFFFF)).alias("y"), "n")
     a = ids.select(F.col("id").alias("x"), F.col("item").alias("ix"), F.col("n_item").alias("nx"))
     b = ids.select(F.col("id").alias("y"), F.col("item").alias("iy"), F.col("n_item").alias("ny"))
-    named = lookup(lookup(coded, a, "x", "inner"), b, "y", "inner")
+    named = attach(attach(coded, a, "x", "inner", written=True), b, "y", "inner", written=True)
     first = F.col("ix") < F.col("iy")
     pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
     out = named.select(pick("ix", "iy").alias("item_a"), pick("iy", "ix").alias("item_b"), "n", pick("nx", "ny").alias("n_a"), pick("ny", "nx").alias("n_b"), F.lit(total).cast("long").alias("n_runs"))
