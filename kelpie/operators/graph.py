@@ -33,13 +33,13 @@ def closure(edges: DataFrame, seeds: DataFrame, depth: int | None = 5) -> DataFr
 
 
 def upstream(edges: DataFrame, seeds: DataFrame, depth: int | None = 5) -> DataFrame:
-    """(node, depth) reached from any seed: one search for all seeds at once."""
+    """(node, depth) reached from any seed: one search for all seeds at once. The edges of a hub are spread over several tasks."""
     seen = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     frontier, d = seen, 0
     step = edges.select(F.col("imported").alias("node"), F.col("importer").alias("next")).distinct()
     while depth is None or d < depth:
         d += 1
-        reached = frontier.join(step, "node").select(F.col("next").alias("node")).distinct()
+        reached = lookup(step, frontier.select("node"), "node", "inner").select(F.col("next").alias("node")).distinct()
         frontier = cut(reached.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(d)))
         if frontier.isEmpty():
             break
@@ -103,7 +103,7 @@ def expand_calls(calls: DataFrame, tests: DataFrame, depth: int = 3) -> DataFram
     seen = cut(tests.select(F.col("function"), F.col("function").alias("seed")).distinct().withColumn("depth", F.lit(0)))
     frontier = seen
     for d in range(1, depth + 1):
-        up = frontier.join(calls.select(F.col("callee").alias("function"), "caller"), "function").groupBy("caller").agg(F.min("seed").alias("seed"))
+        up = lookup(calls.select(F.col("callee").alias("function"), "caller"), frontier.select("function", "seed"), "function", "inner").groupBy("caller").agg(F.min("seed").alias("seed"))
         frontier = cut(up.select(F.col("caller").alias("function"), "seed", F.lit(d).alias("depth")).join(seen.select("function"), "function", "left_anti"))
         if frontier.isEmpty():
             break

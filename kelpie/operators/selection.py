@@ -83,7 +83,7 @@ def reached(edges: DataFrame, test_map: DataFrame, changed: DataFrame, depth: in
     seen = cut(changed.select("repo", "file_path").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
     for d in range(1, depth + 1):
-        near = frontier.join(step, ["repo", "file_path"]).select("repo", F.col("next").alias("file_path")).distinct()
+        near = lookup(step, frontier.select("repo", "file_path"), ["repo", "file_path"], "inner").select("repo", F.col("next").alias("file_path")).distinct()
         frontier = cut(near.join(seen.select("repo", "file_path"), ["repo", "file_path"], "left_anti").withColumn("depth", F.lit(d)))
         if frontier.isEmpty():
             break
