@@ -18,9 +18,9 @@ TOKEN = r"(?:[A-Za-z0-9_]++|[^A-Za-z0-9_ \t\r\n])"
 GAP = r"[ \t\r\n]*+"
 
 
-def tokens(column: str):
-    """The tokens of a text: longest runs of word characters, or single other characters that are not blank."""
-    return F.regexp_extract_all(F.col(column), F.lit(TOKEN), F.lit(0))
+def count_tokens(column: str):
+    """The number of tokens: longest runs of word characters, or single other characters that are not blank."""
+    return F.regexp_count(F.col(column), F.lit(TOKEN))
 
 
 def pattern(limit: int, overlap: int) -> str:
@@ -33,12 +33,6 @@ def pattern(limit: int, overlap: int) -> str:
     return f"{unit}{{1,{room}}}+{GAP}\\z|" + "|".join(bounded) + f"|{unit}{{1,{room}}}"
 
 
-def counted(items: DataFrame, id_col: str = "item_id", text_col: str = "snippet") -> DataFrame:
-    """id, text and n_tokens (0 for null, empty and blank texts)."""
-    base = items.select(F.col(id_col).alias("item_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return base.withColumn("n_tokens", F.size(tokens("text")))
-
-
 def split(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, id_col: str = "item_id", text_col: str = "snippet") -> DataFrame:
     """item_id, piece_no (from 0), piece, n_tokens, start (character offset of the piece in the text), n_overlap.
 
@@ -46,7 +40,8 @@ def split(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, id_col:
     of at most ``limit`` tokens; consecutive pieces share exactly ``overlap`` tokens; the new parts of the pieces cover
     all tokens of the text once. Repeated rows are split each on its own.
     """
-    big = counted(items, id_col, text_col).filter(F.col("n_tokens") > limit)
+    base = items.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text"))
+    big = base.filter((F.length("text") > limit) & (count_tokens("text") > limit))  # a text has no more tokens than characters
     # explode(array(x)) keeps x from being evaluated again for each element of the transforms that read it
     own = big.select("item_id", F.explode(F.array(F.regexp_extract_all("text", F.lit(pattern(limit, overlap)), F.lit(0)))).alias("own"))
     head = F.lit(f"\\A(?:{GAP}{TOKEN}){{{overlap}}}")  # of the reversed piece: tokens read the same from either end
@@ -60,7 +55,7 @@ def split(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, id_col:
     lead = "IF(i = 0, '', coalesce(back[i - 1], ''))"
     parts = F.expr(f"transform(own, (s, i) -> struct(i AS piece_no, concat({lead}, s) AS piece, {offset} - length({lead}) AS start, IF(i = 0, 0, {overlap}) AS n_overlap))")
     out = rows.select("item_id", F.inline(parts))
-    return out.withColumn("n_tokens", F.size(tokens("piece"))).select("item_id", "piece_no", "piece", "n_tokens", "start", "n_overlap")
+    return out.withColumn("n_tokens", count_tokens("piece")).select("item_id", "piece_no", "piece", "n_tokens", "start", "n_overlap")
 
 
 def oversized(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
