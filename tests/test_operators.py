@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kelpie import common
 from kelpie.common import quantiles, table
 from kelpie.operators import codetext, graph, imports, models, outline, registry, scoring, selection, similarity, telemetry
 from kelpie.sources import files, synthetic
@@ -234,6 +235,25 @@ def test_first_outcome_by_substring(spark):
     assert models.retrain(runs_, c) is None
 
 
+def test_attach_with_small_and_large_sides(spark, monkeypatch):
+    left = spark.createDataFrame([(i % 3, i) for i in range(90)] + [(None, 1)], "k int, v int")
+    right = spark.createDataFrame([(0, "a"), (1, "b"), (7, "c")], "k int, w string")
+    small = sorted(map(str, common.attach(left, right, "k").collect()))
+    monkeypatch.setattr(common, "MOST_ROWS", 1)
+    assert sorted(map(str, common.attach(left, right, "k").collect())) == small and len(small) == 91
+    assert sorted(map(str, common.lookup(left, right, "k").collect())) == small
+    assert common.attach(left, right.limit(0), "k", "inner").count() == 0
+    ranks = common.ranked(left.filter("k IS NOT NULL"), "k", "v").collect()
+    assert {(r.k, r.v): r["rank"] for r in ranks} == {(i % 3, i): i // 3 + 1 for i in range(90)}
+
+
+def test_cut_starts_with_fresh_estimates(spark):
+    d = spark.range(3)
+    for _ in range(6):
+        d = common.cut(d.join(d.withColumnRenamed("id", "other"), F.col("id") == F.col("other")).select("id"))
+    assert d.count() == 3 and d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= 1 << 64
+
+
 def test_quantiles_are_exact(spark):
     r = np.random.default_rng(4)
     data = {"a": r.integers(0, 50, 1001).astype(float), "b": r.normal(size=10), "c": np.array([7.0])}
