@@ -310,6 +310,17 @@ _query("gbt_scores", "combined_submit")(lambda c: models.evaluated(_matrix(c), t
 _query("gbt_metrics", "combined_submit")(lambda c: models.metrics(cut(models.evaluated(_matrix(c), trees=20, depth=4)[1])))
 _query("gbt_importance", "combined_submit")(lambda c: models.importance(models.evaluated(_matrix(c), trees=20, depth=4)[0]))
 _query("prior_scores", "combined_submit")(lambda c: models.score(models.fit(models.prior(c.sparkSession), trees=80, depth=4), _matrix(c)))
-_query("stratified_split", "combined_submit")(lambda c: models.stratified(_matrix(c)).groupBy("label", "held_out").count())
+_query(
+    "stratified_split", "combined_submit",
+    sql="""WITH c AS (SELECT coalesce(regression_detected, 0) AS label, count(*) AS n FROM combined_submit GROUP BY 1)
+SELECT label, true AS held_out, CAST(round(n * 0.2) AS BIGINT) AS count FROM c WHERE round(n * 0.2) > 0 UNION ALL SELECT label, false, CAST(n - round(n * 0.2) AS BIGINT) FROM c WHERE n > round(n * 0.2)""",
+)(lambda c: models.stratified(_matrix(c)).groupBy("label", "held_out").count())
+_query(
+    "first_outcomes", "pr_run_log", "combined_submit",
+    sql=f"""WITH t AS (SELECT run_id, test, {_STEM.format('test')} AS stem FROM (SELECT run_id, unnest(list_distinct(selected_tests)) AS test FROM pr_run_log) WHERE test IS NOT NULL),
+n AS (SELECT test_name, arg_min(struct_pack(r := record_id, g := regression_detected, p := pass_rate_pre), record_id) AS o FROM combined_submit WHERE test_name IS NOT NULL GROUP BY test_name),
+m AS (SELECT stem, arg_min(o, o.r) AS o FROM (SELECT DISTINCT stem FROM t WHERE stem <> '') JOIN n ON contains(test_name, stem) GROUP BY stem)
+SELECT run_id, test, o.r AS record_id, coalesce(o.g, 0) AS regression, {_r('coalesce(o.p, 1)', 'pass_rate')} FROM t JOIN m USING (stem)""",
+)(models.first_outcomes)
 _query("retraining_matrix", "pr_run_log", "combined_submit")(models.retraining_matrix)
 _query("content_vectors", "file_ast")(lambda f: models.content_vectors(f, 1000, 64).select("file_id", F.posexplode("vector").alias("pos", "x")).filter("x <> 0"))
