@@ -373,11 +373,12 @@ def inspect(documents: DataFrame) -> DataFrame:
 def _prefixes(words: DataFrame, asked: DataFrame) -> DataFrame:
     """(key, n_any): how often words (key, n_any) occur that are longer than each ``asked`` key and begin with it.
 
-    Prefixes of up to ``LONG`` characters are summed for all words at once; longer asked ones meet the words that share
-    their first ``LONG`` characters.
+    Prefixes of up to ``LONG`` characters are taken of all words and summed where they are asked; longer asked ones meet the
+    words that share their first ``LONG`` characters.
     """
     cuts = F.sequence(F.lit(1), F.least(F.length("key") - 1, F.lit(LONG)))
-    short = words.filter(F.length("key") > 1).select(F.explode(F.transform(cuts, lambda i: F.substring("key", F.lit(1), i))).alias("key"), "n_any").groupBy("key").agg(F.sum("n_any").alias("n_any"))
+    every = words.filter(F.length("key") > 1).select(F.explode(F.transform(cuts, lambda i: F.substring("key", F.lit(1), i))).alias("key"), "n_any")
+    short = attach(every, asked.filter(F.length("key") <= LONG), "key", "inner").groupBy("key").agg(F.sum("n_any").alias("n_any"))
     head = F.substring("key", 1, LONG)
     far = asked.filter(F.length("key") > LONG).select(head.alias("head"), F.col("key").alias("asked"))
     long = words.filter(F.length("key") > LONG).select(head.alias("head"), "key", "n_any").join(far, "head")
