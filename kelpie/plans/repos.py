@@ -268,8 +268,27 @@ def _features(f: DataFrame, m: DataFrame, c: DataFrame) -> DataFrame:
     return selection.pair_features(tests, cut(changed), _mapped(f)[2], telemetry.history_of(tests.select(F.col("file_path").alias("test")), c))
 
 
-_query("pair_features", *_T3)(_features)
-_query("gatekeeper_pairs", *_T3)(lambda *t: selection.gated(_features(*t)))
+_FEATURES = f"""{_MODULES}, {_LINKED}, {_STRUCTURE}, {_HISTORY},
+ch AS (SELECT c.repo, c.file_path, c.v, c.lines, least((0.4 * len(st.f) + 0.3 * len(st.i) + 0.2 * ln(len(string_split(st.t, chr(10))) + 1)) / 20, 1) AS impact FROM changed c JOIN file_ast a ON a.repo = c.repo AND a.file_path = c.file_path JOIN st ON st.file_id = a.file_id),
+cp AS (SELECT repo, list(x ORDER BY pos) AS cv FROM (SELECT repo, pos, avg(x) AS x FROM (SELECT repo, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM ch WHERE v IS NOT NULL) GROUP BY ALL) GROUP BY repo),
+w2 AS (SELECT repo, sum(lines) AS ln, avg(impact) AS im, count(*) AS nc, min(file_path) AS fp FROM ch GROUP BY repo),
+mp AS (SELECT tm.repo, tm.test, max((ch.repo IS NOT NULL)::INT) AS direct FROM tm LEFT JOIN ch ON ch.repo = tm.repo AND ch.file_path = tm.module GROUP BY ALL),
+ft AS (SELECT md.repo, md.file_path AS test, coalesce(list_cosine_similarity(cv, md.v), 0.5) AS sim, least(ln / 500.0::DOUBLE, 1) AS cs, coalesce(im, 0.5) AS im, coalesce(direct, 0) AS direct, CASE direct WHEN 1 THEN 1 WHEN 0 THEN 3 ELSE 5 END / 6.0::DOUBLE AS td,
+ coalesce(a.v.rate, b.v.rate, 0) AS rate, ln(coalesce(a.v.dur, b.v.dur, 30) + 1) AS dl, least(nc / 20.0::DOUBLE, 1) AS nf, (ends_with(md.file_path, fp) OR contains({_STEM.format('fp')}, {_STEM.format('md.file_path')}))::INT AS it
+ FROM md JOIN w2 USING (repo) LEFT JOIN cp USING (repo) LEFT JOIN mp ON mp.repo = md.repo AND mp.test = md.file_path LEFT JOIN hk a ON a.s = 's' AND a.k = {_STEM.format('md.file_path')} LEFT JOIN hk b ON b.s = 'n' AND b.k = md.file_path
+ WHERE md.file_path ILIKE '%test%' OR md.file_path ILIKE '%spec%')"""
+_query(
+    "pair_features", *_T3,
+    sql=f"""WITH {_FEATURES} SELECT repo, test, {_r('sim', 'cosine_similarity')}, {_r('cs', 'change_size')}, {_r('im', 'module_impact_score')}, direct AS is_direct_dependency, {_r('td', 'transitive_depth')}, contains(lower(test), 'db')::INT AS is_shared_db,
+contains(lower(test), 'contract')::INT AS is_frontend_contract, contains(lower(test), 'util')::INT AS is_shared_utility, 0 AS is_kafka_consumer, 0 AS is_kafka_producer, {_r('rate', 'historical_failure_rate')}, 0.0::DOUBLE AS test_flakiness_score,
+{_r('dl', 'duration_log')}, 1 AS hash_changed, {_r('nf', 'num_functions_changed')}, it AS is_test_file FROM ft""",
+)(_features)
+_query(
+    "gatekeeper_pairs", *_T3,
+    sql=f"""WITH {_FEATURES}, g AS (SELECT repo, test, rate, round(0.40 * sim + 0.25 * direct + 0.20 * rate + 0.15 + 1.234567e-9, 4) AS pf FROM ft),
+h AS (SELECT *, CASE WHEN pf >= 0.6::DOUBLE THEN 'RUN_ALL_TESTS' WHEN pf >= 0.35::DOUBLE THEN 'RUN_TEST' ELSE 'PRUNE_TEST' END AS gate FROM g)
+SELECT repo, test, {_r('pf', 'pf')}, gate, CASE WHEN rate >= 0.2::DOUBLE OR gate <> 'PRUNE_TEST' THEN 'RUN' ELSE 'PRUNE' END AS decision FROM h""",
+)(lambda *t: selection.gated(_features(*t)))
 
 
 # -- structure
