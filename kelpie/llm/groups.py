@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kelpie.common import blanks, cut, lookup
+from kelpie.common import attach, blanks, cut, lookup
 
 # Spellings that stand for a missing build or test, in lower case.
 MISSING = ["", "-", "--", ".", "?", "n/a", "#n/a", "n.a.", "na", "nan", "nil", "none", "null", "missing", "undefined", "unknown", "(null)", "<null>", "(none)", "<na>", "tbd"]
@@ -50,14 +50,15 @@ def _pointers(edges: DataFrame) -> DataFrame:
     """
     e = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     rounds: list[DataFrame] = []
-    follow = lambda df, c, to: lookup(df, to.select(F.col("u").alias(c), F.col("p").alias("__p")), c)
+    follow = lambda df, c, to: attach(df, to.select(F.col("u").alias(c), F.col("p").alias("__p")), c, written=True)
     while not e.isEmpty():
         point = cut(e.groupBy("u").agg(F.min("v").alias("p")))
         while True:  # doubles the reach of every pointer, so a chain of n nodes takes log2(n) jumps
-            jumped = cut(follow(point, "p", point).select("u", F.coalesce("__p", "p").alias("p"), F.col("__p").isNotNull().alias("moved")))
-            point = jumped.select("u", "p")
-            if jumped.filter("moved").isEmpty():
+            # the distinct targets that point on; a target of many pointers is looked up once
+            on = cut(point.select("p").distinct().join(point.select(F.col("u").alias("p"), F.col("p").alias("further")), "p"))
+            if on.isEmpty():
                 break
+            point = cut(attach(point, on, "p", written=True).select("u", F.coalesce("further", "p").alias("p")))
         rounds.append(point)
         e = follow(e, "u", point).select(F.coalesce("__p", "u").alias("u"), "v")
         e = follow(e, "v", point).select("u", F.coalesce("__p", "v").alias("v")).filter("u <> v")
@@ -99,7 +100,7 @@ def key_table(records: DataFrame) -> DataFrame:
     to = _pointers(lookup(at, tests, "t", "inner").select("u", "v"))
     lone = r.filter("b IS NULL AND t IS NULL").select(F.concat(F.lit("r:"), "record_id").alias("key"), F.col("record_id").alias("u")).distinct()
     keys = builds.select(F.concat(F.lit("b:"), "b").alias("key"), "u").union(tests.select(F.concat(F.lit("t:"), "t"), "v")).union(lone)
-    return cut(lookup(keys, to, "u").select("key", F.coalesce("p", "u").alias("group_id")))
+    return cut(attach(keys, to, "u", written=True).select("key", F.coalesce("p", "u").alias("group_id")))
 
 
 def _grouped(records: DataFrame, keys: DataFrame) -> DataFrame:
